@@ -82,19 +82,24 @@ def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return g[new], d[new]
 
 
-def _pack(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEEP]).tobytes()
+def _pack(h: np.ndarray, width: int = KEEP) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    a = np.frombuffer(b, np.uint8).reshape(-1, KEEP)
+def _unpack(b: bytes, width: int = KEEP) -> np.ndarray:
+    a = np.frombuffer(b, np.uint8).reshape(-1, width)
     out = np.zeros((len(a), 8), np.uint8)
-    out[:, :KEEP] = a
+    out[:, :width] = a
     return out.view("<u8").ravel().astype(U)
 
 
-_PACKED = "part int, keys binary, spread binary, a binary, b binary"
-_PACKED_ARROW = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("spread", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+def _width(bits: int) -> int:
+    """Bytes that hold a part's number and what is kept of a hash beside it."""
+    return min(8, KEEP + (bits + 7) // 8)
+
+
+_PACKED = "part int, source int, keys binary, spread binary, a binary, b binary"
+_PACKED_ARROW = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary()), ("spread", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def _index(n: int, bits: int):
@@ -117,12 +122,12 @@ def _index(n: int, bits: int):
                 continue
             k = key[s:e]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            rows.append((p, k[first].tobytes(), np.diff(np.append(first, len(k))).astype("<u4").tobytes(), _pack(g[s:e] & keep), b""))
+            rows.append((p, 0, k[first].tobytes(), np.diff(np.append(first, len(k))).astype("<u4").tobytes(), _pack(g[s:e] & keep), b""))
         keys, ids, sizes = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
         home = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         for p in np.unique(home):
             m = home == p
-            rows.append((parts + int(p), keys[m].tobytes(), b"", ids[m].astype("<i8").tobytes(), sizes[m].astype("<i8").tobytes()))
+            rows.append((parts + int(p), 0, keys[m].tobytes(), b"", ids[m].astype("<i8").tobytes(), sizes[m].astype("<i8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +160,9 @@ def _elect(bits: int):
     def run(t: pa.Table) -> pa.Table:
         part = t.column(0)[0].as_py()
         if part >= parts:
-            return pa.table([pa.array([part - parts] * t.num_rows, pa.int32()), t.column(1), t.column(2), t.column(3), t.column(4)], schema=_PACKED_ARROW)
-        key = np.concatenate([np.repeat(np.frombuffer(k, U), np.frombuffer(c, "<u4")) for k, c in zip(t.column(1).to_pylist(), t.column(2).to_pylist())])
-        g = _unpack(b"".join(t.column(3).to_pylist()))
+            return pa.table([pa.array([part - parts] * t.num_rows, pa.int32()), *t.columns[1:]], schema=_PACKED_ARROW)
+        key = np.concatenate([np.repeat(np.frombuffer(k, U), np.frombuffer(c, "<u4")) for k, c in zip(t.column(2).to_pylist(), t.column(3).to_pylist())])
+        g = _unpack(b"".join(t.column(4).to_pylist()))
         o = np.lexsort((key, g))
         g, key = g[o], key[o]
         same = np.concatenate([[False], (g[1:] == g[:-1]) & (key[1:] == key[:-1])])  # the same row, read twice
@@ -177,8 +182,8 @@ def _elect(bits: int):
             if s < e:
                 k = key[s:e]
                 f = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                full = g[s:e] | (U(part) << U(8 * KEEP))
-                rows.append((p, k[f].tobytes(), np.diff(np.append(f, len(k))).astype("<u4").tobytes(), full.tobytes(), pivot[s:e].tobytes()))
+                # Of a pivot's key less would do, too: regions that share a name are joined as one, as exactly.
+                rows.append((p, part, k[f].tobytes(), np.diff(np.append(f, len(k))).astype("<u4").tobytes(), _pack(g[s:e]), _pack(pivot[s:e])))
         if not rows:
             return _PACKED_ARROW.empty_table()
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
@@ -195,18 +200,18 @@ def _need(size, t: float):
     return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
 
 
-def _documents(t_: float):
+def _documents(t_: float, bits: int):
     """One bucket of documents: those whose shared n-grams can reach the threshold, with these n-grams and the pivots they elect."""
 
     def run(t: pa.Table) -> pa.Table:
         info: dict[int, list] = {}
         ks, gs, ps = [], [], []
-        for _, keys, spread, a, b in zip(*(c.to_pylist() for c in t.columns)):
+        for _, source, keys, spread, a, b in zip(*(c.to_pylist() for c in t.columns)):
             k = np.frombuffer(keys, U)
             if spread:
                 ks.append(np.repeat(k, np.frombuffer(spread, "<u4")))
-                gs.append(np.frombuffer(a, U))
-                ps.append(np.frombuffer(b, U))
+                gs.append(_unpack(a) | (U(source) << U(8 * KEEP)))
+                ps.append(_unpack(b))
             else:
                 for key, doc, size in zip(k.tolist(), np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist()):
                     info.setdefault(key, [doc, 0, size])[1] += 1
@@ -227,7 +232,7 @@ def _documents(t_: float):
             x = shared.get(key)
             if x is None and copies < 2:
                 continue
-            row = (np.array([key], U).view(np.int64)[0], doc, copies, size, len(x[0]) if x else 0, x[0].tobytes() if x else None, x[1].tolist() if x else None, x[2].tolist() if x else None)
+            row = (np.array([key], U).view(np.int64)[0], doc, copies, size, len(x[0]) if x else 0, _pack(x[0], _width(bits)) if x else None, x[1].tolist() if x else None, x[2].tolist() if x else None)
             for c, v in zip(cols, row):
                 c.append(v)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, _DOC_ARROW)], schema=_DOC_ARROW)
@@ -351,13 +356,13 @@ def _components(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _regions(t: float, stars: bool):
+def _regions(t: float, bits: int, stars: bool):
     """Rows sorted by region to pairs: all of them, or (stars) one link from each document to the first of its component in the region."""
 
     def emit(docs: np.ndarray, sizes: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
         same: dict[tuple, list[int]] = {}
         for i, (s, b) in enumerate(zip(sizes.tolist(), blobs)):
-            same.setdefault((s, b) if len(b) == 8 * s else (s, b, i), []).append(i)
+            same.setdefault((s, b) if len(b) == _width(bits) * s else (s, b, i), []).append(i)
         groups = list(same.values())
         out = []
         for g in groups:
@@ -370,7 +375,7 @@ def _regions(t: float, stars: bool):
                         out.append((np.full(len(d) - 1 - k, d[k]), d[k + 1 :], np.ones(len(d) - 1 - k)))
         if len(groups) > 1:
             rep = [g[0] for g in groups]
-            i, j, v = join_region(sizes[rep].astype(np.int64), [np.frombuffer(blobs[r], U) for r in rep], t)
+            i, j, v = join_region(sizes[rep].astype(np.int64), [_unpack(blobs[r], _width(bits)) for r in rep], t)
             if stars and len(i):
                 root = _components(len(rep), i, j)
                 moved = np.flatnonzero(root != np.arange(len(rep)))
@@ -429,7 +434,7 @@ def _links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     bits = min(22, int(parts - 1).bit_length())
     packed = src.mapInArrow(_index(n, bits), _PACKED)
     elected = packed.groupBy("part").applyInArrow(_elect(bits), _PACKED)
-    docs = materialize(elected.groupBy("part").applyInArrow(_documents(threshold), _DOC), "ngram-docs")
+    docs = materialize(elected.groupBy("part").applyInArrow(_documents(threshold, bits), _DOC), "ngram-docs")
     member = docs.where("shared > 0").select("key", "size", "shared", F.explode(F.arrays_zip("pivots", "counts")).alias("p")).select("key", "size", "shared", F.col("p.pivots").alias("pivot"), F.col("p.counts").alias("c"))
     weight = member.groupBy("pivot").agg(F.avg("c").alias("near"), F.count("*").alias("members")).where("members > 1")
     # Left of the sum: n-grams elected by nearer pivots. Those of pivots no one else has can't be in common at all.
@@ -440,8 +445,9 @@ def _links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     )
     need = F.ceil(F.col("size") * F.lit(threshold) - 1e-9)
     where = ranked.where((F.col("total") >= need) & (F.col("total") - F.coalesce("before", F.lit(0)) >= need)).select("key", F.col("pivot").alias("region"))
+    where = where.withColumn("n", F.count("*").over(Window.partitionBy("region"))).where("n > 1").drop("n")
     rows = where.join(docs.select("key", "doc", "size", "grams"), "key").select("region", "doc", "size", "grams")
-    pairs = rows.repartition("region").sortWithinPartitions("region").mapInArrow(_regions(threshold, stars), "a long, b long, jaccard double")
+    pairs = rows.repartition("region").sortWithinPartitions("region").mapInArrow(_regions(threshold, bits, stars), "a long, b long, jaccard double")
     return pairs, docs
 
 
