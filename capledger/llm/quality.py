@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,20 @@ def _counts(text: Column, lang: Column) -> tuple[Column, Column]:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
     common = None
     for code, listed in COMMON.items():
-        hit = F.filter(words, lambda w, listed=listed: w.isin(*listed))
-        here = F.transform(F.array(*map(F.lit, listed)), lambda k, hit=hit: F.size(F.array_compact(F.transform(hit, lambda w: F.when(w == k, 1)))))
+        here = _each(listed, F.filter(words, _among(listed)))
         common = F.when(lang == code, here) if common is None else common.when(lang == code, here)
     return F.concat(chars, F.array(total)).alias("chars"), F.when(lang.isin(*COMMON), F.struct(F.size(words).alias("n"), common.alias("common"))).alias("words")
 
 
+def _among(listed: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*listed)
+
+
+def _each(listed: list[str], hit: Column) -> Column:
+    """How often each listed word is in the array."""
+    return F.transform(F.array(*map(F.lit, listed)), lambda k: F.size(F.filter(hit, lambda w: w == k)))
+
+
 def _measured(df: DataFrame, text_col: str, lang_col: str, keep: list[Column]) -> DataFrame:
     text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
     chars, words = _counts(text, lang)

@@ -7,15 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from capledger.llm.common import load
+from capledger.llm.mixing import mix_sources, mix_sql
 from capledger.llm.ngram_join import ngram_jaccard_join
+from capledger.llm.pieces import sample_pieces
+from capledger.llm.pii import find_pii
+from capledger.llm.quality import quality_scores, scores_sql
+from capledger.llm.secret_scan import find_secrets
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(load(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(load(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(load(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(load(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_mixing": op3_mixing,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_pii": op8_pii,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_mixing": mix_sql(),
+    "op10_quality_rules": scores_sql(),
+}
