@@ -3,7 +3,7 @@
 Jaccard distance is a metric, and the join divides that space among pivots. Nearly every document is at distance
 exactly 1 from a randomly drawn document, so pivots drawn at random separate nothing; the pivots here are the documents that
 *hold* the shared n-grams. Every n-gram that two or more documents have elects one pivot among its holders, the same for
-all of them. A document lies in the regions of the pivots its n-grams elect, nearest pivots (most n-grams in common)
+all of them whose sizes are within reach. A document lies in the regions of the pivots its n-grams elect, nearest pivots (most n-grams in common)
 first, and is replicated to so many of them that the n-grams left out are too few to reach the threshold with any
 document: a pair within the radius meets in a region for certain. A region that is still large is divided again by
 pivots of its own, with the triangle inequality deciding which boundary documents are replicated, until the parts
@@ -103,17 +103,17 @@ _PACKED_ARROW = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("keys"
 
 
 def _index(n: int, bits: int):
-    """Text rows to packed rows: for each part of the hash space, keys of documents, how many n-grams each has there, and the n-grams; and, in parts from 2**bits on, id, size and fingerprint by key."""
+    """Text rows to packed rows: for each part of the hash space, keys of documents, how many n-grams each has there, the n-grams, and the documents' sizes; and, in parts from 2**bits on, id, size and fingerprint by key."""
     parts = 1 << bits
     keep = U((1 << 8 * KEEP) - 1)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        g, key = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        g, key, of = (np.concatenate([x[i] for x in held]) for i in (0, 1, 5))
         part = (g >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), np.int64)
         o = np.lexsort((key, part))
-        g, key, part = g[o], key[o], part[o]
+        g, key, part, of = g[o], key[o], part[o], of[o]
         cut = np.searchsorted(part, np.arange(parts + 1))
         rows = []
         for p in range(parts):
@@ -122,7 +122,7 @@ def _index(n: int, bits: int):
                 continue
             k = key[s:e]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            rows.append((p, 0, k[first].tobytes(), np.diff(np.append(first, len(k))).astype("<u4").tobytes(), _pack(g[s:e] & keep), b""))
+            rows.append((p, 0, k[first].tobytes(), np.diff(np.append(first, len(k))).astype("<u4").tobytes(), _pack(g[s:e] & keep), of[s:e][first].tobytes()))
         keys, ids, sizes = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
         home = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         for p in np.unique(home):
@@ -143,7 +143,7 @@ def _index(n: int, bits: int):
                 with np.errstate(over="ignore"):
                     mark = np.add.reduceat(mix(g ^ GOLDEN), first) + size.astype(U)
                     key = mix(mix(ids[have].astype(U)) + mark)
-                held.append((g, np.repeat(key, size), key, ids[have], size))
+                held.append((g, np.repeat(key, size), key, ids[have], size, np.repeat(size, size).astype("<u4")))
                 grams += len(g)
                 if grams >= _FLUSH:
                     yield from flush(held)
@@ -153,24 +153,31 @@ def _index(n: int, bits: int):
     return run
 
 
-def _elect(bits: int):
-    """One part of the index: n-grams with one holder go; the others are sent to their holders' buckets with the pivot they elect, the smallest key among the holders."""
+def _elect(t_: float, bits: int):
+    """One part of the index: an n-gram is sent to those of its holders that have another of a size within reach, with the pivot that these elect, the smallest key among them.
+
+    Documents whose sizes differ by more than the threshold can't be a pair. Holders sorted by size fall into chains of
+    neighbours within reach, each of which elects for itself; whoever is alone in its chain drops the n-gram.
+    """
     parts = 1 << bits
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column(0)[0].as_py()
         if part >= parts:
             return pa.table([pa.array([part - parts] * t.num_rows, pa.int32()), *t.columns[1:]], schema=_PACKED_ARROW)
-        key = np.concatenate([np.repeat(np.frombuffer(k, U), np.frombuffer(c, "<u4")) for k, c in zip(t.column(2).to_pylist(), t.column(3).to_pylist())])
-        g = _unpack(b"".join(t.column(4).to_pylist()))
-        o = np.lexsort((key, g))
-        g, key = g[o], key[o]
+        cols = [c.to_pylist() for c in t.columns[2:]]
+        spread = [np.frombuffer(c, "<u4") for c in cols[1]]
+        key = np.concatenate([np.repeat(np.frombuffer(k, U), c) for k, c in zip(cols[0], spread)])
+        size = np.concatenate([np.repeat(np.frombuffer(z, "<u4"), c) for z, c in zip(cols[3], spread)])
+        g = _unpack(b"".join(cols[2]))
+        o = np.lexsort((key, size, g))
+        g, key, size = g[o], key[o], size[o]
         same = np.concatenate([[False], (g[1:] == g[:-1]) & (key[1:] == key[:-1])])  # the same row, read twice
-        g, key = g[~same], key[~same]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        df = np.diff(np.append(first, len(g)))
-        held = np.repeat(df > 1, df)
-        pivot = np.repeat(key[first], df)[held]
+        g, key, size = g[~same], key[~same], size[~same]
+        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (size[:-1] < t_ * size[1:] - 1e-6)]))
+        many = np.diff(np.append(first, len(g)))
+        held = np.repeat(many > 1, many)
+        pivot = np.repeat(np.minimum.reduceat(key, first), many)[held]
         g, key = g[held], key[held]
         o = np.lexsort((g, pivot, key))
         g, key, pivot = g[o], key[o], pivot[o]
@@ -433,7 +440,7 @@ def _links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) if size is None else max(8, size // 12_000_000)
     bits = min(22, int(parts - 1).bit_length())
     packed = src.mapInArrow(_index(n, bits), _PACKED)
-    elected = packed.groupBy("part").applyInArrow(_elect(bits), _PACKED)
+    elected = packed.groupBy("part").applyInArrow(_elect(threshold, bits), _PACKED)
     docs = materialize(elected.groupBy("part").applyInArrow(_documents(threshold, bits), _DOC), "ngram-docs")
     member = docs.where("shared > 0").select("key", "size", "shared", F.explode(F.arrays_zip("pivots", "counts")).alias("p")).select("key", "size", "shared", F.col("p.pivots").alias("pivot"), F.col("p.counts").alias("c"))
     weight = member.groupBy("pivot").agg(F.avg("c").alias("near"), F.count("*").alias("members")).where("members > 1")
