@@ -159,7 +159,7 @@ def mix_sql(mix: Mix | None = None) -> str:
     dom = " ".join(f"WHEN coalesce(source, 'unknown') IN ({', '.join(repr(s) for s in names)}) THEN '{d}'" for d, names in mix.domains.items())
     return f"""
 WITH base AS (SELECT doc_id, CASE {dom} ELSE 'other' END AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
-    coalesce(len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')), 0)::BIGINT AS tokens FROM documents),
+    coalesce(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')), 0)::BIGINT AS tokens FROM documents),
 top AS (SELECT floor(sum(tokens) * {mix.ratio})::DOUBLE AS budget FROM base),
 {level('l1', 'domain', [], 'top')},{level('l2', 'lang', ['domain'], 'l1')},{level('l3', 'source', ['domain', 'lang'], 'l2')},
 supply AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS n FROM base GROUP BY ALL),

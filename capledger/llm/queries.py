@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capledger.llm.ann import nearest_neighbours
+from capledger.llm.chat import format_chats
 from capledger.llm.common import load
+from capledger.llm.licenses import find_licenses
 from capledger.llm.mixing import mix_sources, mix_sql
 from capledger.llm.ngram_join import ngram_jaccard_join
 from capledger.llm.pieces import sample_pieces
@@ -19,10 +22,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(load(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(load(spark, sf_dir, "conversations"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(load(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(load(spark, sf_dir, "documents"))
 
@@ -41,7 +56,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_mixing": op3_mixing,
+    "op4_chat_format": op4_chat_format,
+    "op5_license_scan": op5_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_pii": op8_pii,
     "op9_secret_scan": op9_secret_scan,
