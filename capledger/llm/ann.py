@@ -19,7 +19,11 @@ from capledger.llm.common import materialize
 
 K = 10
 LIST_SIZE = 256
-PROBES = 24
+#: So many lists are probed that of the true neighbours of SAMPLE rows, found by brute force, this share lies in them.
+TARGET = 0.96
+SAMPLE = 256
+#: Vectors that lie together in one task: lists are grouped, and a query goes once to each group it probes.
+GROUP = 65536
 BLOCK = 16
 #: Candidates are abandoned beyond (1 + EPSILON / sqrt(dimensions read)) times the limit.
 EPSILON = 2.1
@@ -95,48 +99,92 @@ def scan_list(q: np.ndarray, limit: np.ndarray, x: np.ndarray, dim: int) -> tupl
 _FOUND = "id long, other long, d double"
 
 
-def _search(dim: int, k: int):
-    """Rows sorted by list: members (limit null) first, then queries, each with the k-th best found before (members: not yet)."""
+def _best(a: np.ndarray, c: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k nearest of each query, ties by id; sorted by query."""
+    o = np.lexsort((c, d, a))
+    q = a[o]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
+    return o[np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, xs, held = None, None, None, []
 
-        def flush_members():
-            nonlocal ids, xs
-            ids, xs = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+def _search(dim: int, k: int):
+    """Rows sorted by group: members first, each with its list, then queries, each with its lists and the k-th best found before."""
+
+    def answer(part: pa.RecordBatch, lists: dict) -> pa.RecordBatch | None:
+        ids, x, lim = np.asarray(part.column(2)), _matrix(part.column(3), dim), np.asarray(part.column(4))
+        of = part.column(5)
+        row = np.repeat(np.arange(len(ids)), np.diff(np.asarray(of.offsets)))
+        wanted = np.asarray(of.flatten())
+        o = np.argsort(wanted, kind="stable")
+        row, wanted = row[o], wanted[o]
+        out = []
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]])), len(wanted))
+        for s, e in zip(cuts, cuts[1:]):
+            if (held := lists.get(int(wanted[s]))) is not None:
+                r = row[s:e]
+                a, c, d = scan_list(x[r], lim[r], held[1], dim)
+                a, c = ids[r[a]], held[0][c]
+                out.append((a[a != c], c[a != c], d[a != c]))
+        if not out:
+            return None
+        a, c, d = (np.concatenate([z[n] for z in out]) for n in range(3))
+        top = _best(a, c, d, k)
+        return pa.RecordBatch.from_arrays([pa.array(a[top], pa.int64()), pa.array(c[top], pa.int64()), pa.array(d[top].astype(np.float64), pa.float64())], names=["id", "other", "d"])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, lists = None, [], None
         for b in it:
-            lists, role = np.asarray(b.column(0)), np.asarray(b.column(1))
-            cuts = [0, *(np.flatnonzero((lists[1:] != lists[:-1]) | (role[1:] != role[:-1])) + 1).tolist(), len(lists)]
+            if not b.num_rows:
+                continue
+            group, role = np.asarray(b.column(0)), np.asarray(b.column(1))
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (role[1:] != role[:-1])) + 1).tolist(), len(group)]
             for s, e in zip(cuts, cuts[1:]):
-                if s == e:
-                    continue
-                part = b.slice(s, e - s)
-                i, x, lim = np.asarray(part.column(2)), _matrix(part.column(3), dim), np.asarray(part.column(4).fill_null(0.0))
+                if group[s] != now:
+                    now, held = group[s], []
                 if role[s] == 0:
-                    if lists[s] != now:
-                        now, held = lists[s], []
-                    held.append((i, x))
-                    ids = None
+                    part = b.slice(s, e - s)
+                    held.append((np.asarray(part.column(2)), _matrix(part.column(3), dim), np.asarray(part.column(5).flatten())))
+                    lists = None
+                    continue
+                if not held:
                     continue
-                if lists[s] != now:
-                    continue  # a list without members
-                if ids is None:
-                    flush_members()
-                a, c, d = scan_list(x, lim, xs, dim)
-                a_id, c_id = i[a], ids[c]
-                ok = a_id != c_id
-                a_id, c_id, d = a_id[ok], c_id[ok], d[ok]
-                o = np.lexsort((c_id, d, a_id))
-                a_id, c_id, d = a_id[o], c_id[o], d[o]
-                first = np.flatnonzero(np.concatenate([[True], a_id[1:] != a_id[:-1]])) if len(a_id) else np.zeros(0, int)
-                top = np.arange(len(a_id)) - np.repeat(first, np.diff(np.append(first, len(a_id)))) < k
-                yield pa.RecordBatch.from_arrays([pa.array(a_id[top], pa.int64()), pa.array(c_id[top], pa.int64()), pa.array(d[top].astype(np.float64), pa.float64())], names=["id", "other", "d"])
+                if lists is None:
+                    ids, xs, ls = (np.concatenate([h[n] for h in held]) for n in range(3))
+                    lists = {int(v): (ids[ls == v], xs[ls == v]) for v in np.unique(ls)}
+                for at in range(s, e, 2048):
+                    if (found := answer(b.slice(at, min(2048, e - at)), lists)) is not None:
+                        yield found
 
     return run
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, list_size: int = LIST_SIZE, probes: int = PROBES) -> DataFrame:
+def _probes(probed: DataFrame, centroids: np.ndarray, dim: int, k: int) -> int:
+    """The fewest lists that hold TARGET of the true neighbours of a seeded sample."""
+    ask = probed.orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(SAMPLE).select("id", "x").toArrow()
+    q_id, q = np.asarray(ask["id"]), _matrix(ask["x"].combine_chunks(), dim)
+
+    def brute(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, x, home = np.asarray(b.column(0)), _matrix(b.column(1), dim), np.asarray(b.column(2))
+            for s in range(0, len(x), 8192):
+                d = ((q * q).sum(1)[:, None] + (x[s : s + 8192] ** 2).sum(1)[None, :] - 2 * q @ x[s : s + 8192].T).clip(0)
+                d[q_id[:, None] == ids[None, s : s + 8192]] = np.inf
+                n = min(k, d.shape[1])
+                j = np.argpartition(d, n - 1, axis=1)[:, :n]
+                i = np.repeat(np.arange(len(q)), n)
+                j = j.ravel()
+                ok = np.isfinite(d[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[i[ok]], pa.int64()), pa.array(home[s + j[ok]], pa.int32()), pa.array(d[i[ok], j[ok]].astype(float))], names=["id", "list", "d"])
+
+    near = probed.select("id", "x", "home").mapInArrow(brute, "id long, list int, d double")
+    got = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "list"))).where(F.col("r") <= k).select("id", "list").toArrow()
+    rank = np.argsort(_nearest(q, centroids, len(centroids)), axis=1)
+    at = {int(i): n for n, i in enumerate(q_id)}
+    ranks = np.sort([rank[at[i], v] for i, v in zip(got["id"].to_pylist(), got["list"].to_pylist())])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1 if len(ranks) else 1
+
+
+def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, list_size: int = LIST_SIZE) -> DataFrame:
     """``(vec_id, neighbour_id, rank, distance)``: about the k nearest other vectors (Euclidean) of every row, nearest first, ties by id.
 
     Rows with a null id, a null vector, a null, NaN or infinite component, or another length than the table's most common one
@@ -159,29 +207,44 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     v = materialize(good.where(F.size("x") == dim).groupBy("id").agg(F.min("x").alias("x")).mapInArrow(rotate, "id long, x array<float>"), "vectors")
     n = v.count()
-    lists = max(1, round(n / list_size))
-    c = _centroids(v, dim, lists)
-    lists = len(c)
-    near = min(probes, lists)
-    shared = spark.sparkContext.broadcast(c)
+    c = _centroids(v, dim, max(1, round(n / list_size)))
+    # Lists whose centroids lie in the same direction share a group.
+    axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0] if len(c) > 1 else np.ones(dim)
+    groups = min(len(c), max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n // GROUP)))
+    group = np.empty(len(c), np.int32)
+    group[np.argsort(c @ axis, kind="stable")] = np.arange(len(c)) * groups // len(c)
+    # 4 bytes * dimensions a list, a list for every ``list_size`` vectors: 1/256 of the input, shipped as one read-only matrix.
+    shared = spark.sparkContext.broadcast((c, group))
+
+    def probe(near: int):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, group = shared.value
+            for b in it:
+                p = _nearest(_matrix(b.column(1), dim), c, near)
+                flat = pa.array(p.astype(np.int32).ravel(), pa.int32())
+                g = pa.array(group[p].ravel(), pa.int32())
+                lists = [pa.FixedSizeListArray.from_arrays(f, near).cast(pa.list_(pa.int32())) for f in (flat, g)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p[:, 0], pa.int32()), *lists], names=["id", "x", "home", "p", "g"])
 
-    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            m = _matrix(b.column(1), dim)
-            p = _nearest(m, shared.value, near)
-            flat = pa.array(p.astype(np.int32).ravel(), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(flat, near).cast(pa.list_(pa.int32()))], names=["id", "x", "p"])
+        return run
+
+    schema = "id long, x array<float>, home int, p array<int>, g array<int>"
+    near = _probes(v.mapInArrow(probe(1), schema), c, dim, k)
+    probed = materialize(v.mapInArrow(probe(near), schema), "probed")
+    members = probed.select(F.col("g")[0].alias("group"), F.lit(0).alias("role"), "id", "x", F.lit(0.0).alias("lim"), F.array("home").alias("lists"))
 
-    probed = materialize(v.mapInArrow(probe, "id long, x array<float>, p array<int>"), "probed")
-    members = probed.select(F.col("p")[0].alias("list"), F.lit(0).alias("role"), "id", "x", F.lit(None).cast("double").alias("lim"))
+    def ask(rows: DataFrame, lo: int, count: int, limit) -> DataFrame:
+        """Each query once for every group that holds some of its lists from the lo-th on."""
+        pairs = F.arrays_zip(F.slice("p", lo, count).alias("p"), F.slice("g", lo, count).alias("g"))
+        q = rows.withColumn("pairs", pairs).withColumn("group", F.explode(F.array_distinct(F.slice("g", lo, count))))
+        return q.select("group", F.lit(1).alias("role"), "id", "x", limit.alias("lim"), F.transform(F.filter("pairs", lambda z: z["g"] == F.col("group")), lambda z: z["p"]).alias("lists"))
 
     def run(queries: DataFrame) -> DataFrame:
-        rows = members.unionByName(queries)
-        return rows.repartition("list").sortWithinPartitions("list", "role").mapInArrow(_search(dim, k), _FOUND)
+        return members.unionByName(queries).repartition("group").sortWithinPartitions("group", "role").mapInArrow(_search(dim, k), _FOUND)
 
     # The two nearest lists give each query a limit, which the tests in its other lists are held against.
-    home = materialize(run(probed.select(F.explode(F.slice("p", 1, 2)).alias("list"), F.lit(1).alias("role"), "id", "x", F.lit(3.4e38).alias("lim"))), "home")
+    home = materialize(run(ask(probed, 1, 2, F.lit(3.4e38))), "home")
     limit = home.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") == k).select("id", F.col("d").alias("best"))
-    rest = probed.join(limit, "id", "left").select(F.explode(F.slice("p", 3, near)).alias("list"), F.lit(1).alias("role"), "id", "x", F.coalesce("best", F.lit(3.4e38)).alias("lim"))
-    ranked = home.unionByName(run(rest)).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k)
+    rest = run(ask(probed.join(limit, "id", "left"), 3, max(near, 3), F.coalesce("best", F.lit(3.4e38))))
+    ranked = home.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), "rank", F.round(F.sqrt("d"), 5).alias("distance"))

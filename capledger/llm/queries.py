@@ -15,6 +15,7 @@ from capledger.llm.ngram_join import ngram_jaccard_join
 from capledger.llm.pieces import sample_pieces
 from capledger.llm.pii import find_pii
 from capledger.llm.quality import quality_scores, scores_sql
+from capledger.llm.resharding import resharded
 from capledger.llm.secret_scan import find_secrets
 
 
@@ -38,6 +39,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(load(spark, sf_dir, "documents"))
 
 
+def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharded(load(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(load(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
+    "op6_resharding": op6_resharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_pii": op8_pii,
     "op9_secret_scan": op9_secret_scan,
