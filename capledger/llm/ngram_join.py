@@ -98,6 +98,22 @@ def _width(bits: int) -> int:
     return min(8, KEEP + (bits + 7) // 8)
 
 
+def _pack_set(h: np.ndarray, bits: int) -> bytes:
+    """A sorted set: how many lie in each part, then what is kept of each; where that would be longer, plain."""
+    if bits <= 8 and len(h) > 1 << bits:
+        count = np.bincount((h >> U(8 * KEEP)).astype(np.int64), minlength=1 << bits)
+        if count.max() < 256:
+            return b"\1" + count.astype(np.uint8).tobytes() + _pack(h)
+    return b"\0" + _pack(h, _width(bits))
+
+
+def _unpack_set(b: bytes, bits: int) -> np.ndarray:
+    if b[0]:
+        n = 1 << bits
+        return _unpack(b[1 + n :]) | (np.repeat(np.arange(n, dtype=U), np.frombuffer(b, np.uint8, n, 1)) << U(8 * KEEP))
+    return _unpack(b[1:], _width(bits))
+
+
 _PACKED = "part int, source int, keys binary, spread binary, a binary, b binary"
 _PACKED_ARROW = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary()), ("spread", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -239,7 +255,7 @@ def _documents(t_: float, bits: int):
             x = shared.get(key)
             if x is None and copies < 2:
                 continue
-            row = (np.array([key], U).view(np.int64)[0], doc, copies, size, len(x[0]) if x else 0, _pack(x[0], _width(bits)) if x else None, x[1].tolist() if x else None, x[2].tolist() if x else None)
+            row = (np.array([key], U).view(np.int64)[0], doc, copies, size, len(x[0]) if x else 0, _pack_set(x[0], bits) if x else None, x[1].tolist() if x else None, x[2].tolist() if x else None)
             for c, v in zip(cols, row):
                 c.append(v)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, _DOC_ARROW)], schema=_DOC_ARROW)
@@ -366,10 +382,10 @@ def _components(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _regions(t: float, bits: int, stars: bool):
     """Rows sorted by region to pairs: all of them, or (stars) one link from each document to the first of its component in the region."""
 
-    def emit(docs: np.ndarray, sizes: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
+    def emit(docs: np.ndarray, sizes: np.ndarray, whole: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
         same: dict[tuple, list[int]] = {}
-        for i, (s, b) in enumerate(zip(sizes.tolist(), blobs)):
-            same.setdefault((s, b) if len(b) == _width(bits) * s else (s, b, i), []).append(i)
+        for i, (all_, b) in enumerate(zip(whole.tolist(), blobs)):
+            same.setdefault((b,) if all_ else (b, i), []).append(i)
         groups = list(same.values())
         out = []
         for g in groups:
@@ -382,7 +398,7 @@ def _regions(t: float, bits: int, stars: bool):
                         out.append((np.full(len(d) - 1 - k, d[k]), d[k + 1 :], np.ones(len(d) - 1 - k)))
         if len(groups) > 1:
             rep = [g[0] for g in groups]
-            i, j, v = join_region(sizes[rep].astype(np.int64), [_unpack(blobs[r], _width(bits)) for r in rep], t)
+            i, j, v = join_region(sizes[rep].astype(np.int64), [_unpack_set(blobs[r], bits) for r in rep], t)
             if stars and len(i):
                 root = _components(len(rep), i, j)
                 moved = np.flatnonzero(root != np.arange(len(rep)))
@@ -409,19 +425,19 @@ def _regions(t: float, bits: int, stars: bool):
 
         def close():
             if len(held) and sum(len(h[0]) for h in held) > 1:
-                out.extend(emit(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [b for h in held for b in h[2]]))
+                out.extend(emit(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), [b for h in held for b in h[3]]))
 
         for b in it:
             if not b.num_rows:
                 continue
             r = np.asarray(b.column(0))
-            docs, sizes, blobs = np.asarray(b.column(1)), np.asarray(b.column(2)), b.column(3).to_pylist()
+            docs, sizes, whole, blobs = np.asarray(b.column(1)), np.asarray(b.column(2)), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_pylist()
             cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
             for s, e in zip(cuts, cuts[1:]):
                 if r[s] != region:
                     close()
                     region, held = r[s], []
-                held.append((docs[s:e], sizes[s:e], blobs[s:e]))
+                held.append((docs[s:e], sizes[s:e], whole[s:e], blobs[s:e]))
             if sum(len(o[0]) for o in out) > 50_000:
                 yield batch(out)
                 out = []
@@ -442,18 +458,19 @@ def _links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     packed = src.mapInArrow(_index(n, bits), _PACKED)
     elected = packed.groupBy("part").applyInArrow(_elect(threshold, bits), _PACKED)
     docs = materialize(elected.groupBy("part").applyInArrow(_documents(threshold, bits), _DOC), "ngram-docs")
-    member = docs.where("shared > 0").select("key", "size", "shared", F.explode(F.arrays_zip("pivots", "counts")).alias("p")).select("key", "size", "shared", F.col("p.pivots").alias("pivot"), F.col("p.counts").alias("c"))
-    weight = member.groupBy("pivot").agg(F.avg("c").alias("near"), F.count("*").alias("members")).where("members > 1")
-    # Left of the sum: n-grams elected by nearer pivots. Those of pivots no one else has can't be in common at all.
-    ranked = member.join(weight, "pivot").select(
-        "key", "pivot", "size", "c",
+    by = Window.partitionBy("pivot")
+    member = docs.where("shared > 0").select("key", "size", F.explode(F.arrays_zip("pivots", "counts")).alias("p")).select("key", "size", F.col("p.pivots").alias("pivot"), F.col("p.counts").alias("c"))
+    # n-grams of pivots that no one else has can't be in common at all.
+    weighed = member.withColumns({"near": F.avg("c").over(by), "members": F.count("*").over(by)}).where("members > 1")
+    ranked = weighed.select(
+        "key", "pivot", "size",
         F.sum("c").over(_window().rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.sum("c").over(_all()).alias("total"),
     )
     need = F.ceil(F.col("size") * F.lit(threshold) - 1e-9)
     where = ranked.where((F.col("total") >= need) & (F.col("total") - F.coalesce("before", F.lit(0)) >= need)).select("key", F.col("pivot").alias("region"))
     where = where.withColumn("n", F.count("*").over(Window.partitionBy("region"))).where("n > 1").drop("n")
-    rows = where.join(docs.select("key", "doc", "size", "grams"), "key").select("region", "doc", "size", "grams")
+    rows = where.join(docs.select("key", "doc", "size", (F.col("shared") == F.col("size")).alias("whole"), "grams"), "key").select("region", "doc", "size", "whole", "grams")
     pairs = rows.repartition("region").sortWithinPartitions("region").mapInArrow(_regions(threshold, bits, stars), "a long, b long, jaccard double")
     return pairs, docs
 
