@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from capledger.plans import native
+
+QUERIES: dict = {**native.QUERIES}
+SQL: dict = {**native.SQL}
