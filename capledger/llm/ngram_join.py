@@ -206,7 +206,7 @@ def _elect(t_: float, bits: int):
                 k = key[s:e]
                 f = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
                 # Of a pivot's key less would do, too: regions that share a name are joined as one, as exactly.
-                rows.append((p, part, k[f].tobytes(), np.diff(np.append(f, len(k))).astype("<u4").tobytes(), _pack(g[s:e]), _pack(pivot[s:e])))
+                rows.append((p, part, k[f].tobytes(), np.diff(np.append(f, len(k))).astype("<u4").tobytes(), _pack(g[s:e]), _pack(pivot[s:e], _width(bits) - 2)))
         if not rows:
             return _PACKED_ARROW.empty_table()
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
@@ -234,7 +234,7 @@ def _documents(t_: float, bits: int):
             if spread:
                 ks.append(np.repeat(k, np.frombuffer(spread, "<u4")))
                 gs.append(_unpack(a) | (U(source) << U(8 * KEEP)))
-                ps.append(_unpack(b))
+                ps.append(_unpack(b, _width(bits) - 2))
             else:
                 for key, doc, size in zip(k.tolist(), np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist()):
                     info.setdefault(key, [doc, 0, size])[1] += 1
