@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import functools
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from capledger.llm.common import materialize
+from capledger.llm.common import batches_by_chars, materialize
 
 #: Disjoint classes; what is in none of them is the last, "other".
 CLASSES = (("lower", r"\p{Ll}"), ("upper", r"\p{Lu}"), ("digit", r"\p{N}"), ("space", r"\s"), ("stop", r".,;:'"), ("loud", r"!?"), ("mark", r"#$%&*+=@^~_"), ("bar", r"|<>{}/\\\[\]"))
@@ -23,38 +30,87 @@ MIN_CHARS, MIN_WORDS = 240, 60
 CHAR_SLACK, WORD_SLACK = 2.6, 2.8
 
 
-def _counts(text: Column, lang: Column) -> tuple[Column, Column]:
-    total = F.length(text)
-    each = [F.length(F.regexp_replace(text, f"[^{p}]+", "")) for _, p in CLASSES]
-    chars = F.array(*each)
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-    common = None
-    for code, listed in COMMON.items():
-        here = _each(listed, F.filter(words, _among(listed)))
-        common = F.when(lang == code, here) if common is None else common.when(lang == code, here)
-    return F.concat(chars, F.array(total)).alias("chars"), F.when(lang.isin(*COMMON), F.struct(F.size(words).alias("n"), common.alias("common"))).alias("words")
-
-
-def _among(listed: list[str]) -> Callable[[Column], Column]:
-    return lambda w: w.isin(*listed)
-
-
-def _each(listed: list[str], hit: Column) -> Column:
-    """How often each listed word is in the array."""
-    return F.transform(F.array(*map(F.lit, listed)), lambda k: F.size(F.filter(hit, lambda w: w == k)))
-
-
-def _measured(df: DataFrame, text_col: str, lang_col: str, keep: list[Column]) -> DataFrame:
-    text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
-    chars, words = _counts(text, lang)
-    return df.select(*keep, F.coalesce(lang, F.lit("")).alias("__lang"), chars.alias("__chars"), words.alias("__words"))
+_FOUND = re.compile(r"[^\W\d_]+")
+
+
+@functools.lru_cache(1)
+def _table() -> np.ndarray:
+    """Class of every code point; numbers that Python's words would take in (fractions, Roman numerals) are one beyond the last."""
+    other = len(CLASSES)
+    t = np.full(0x110000, other, np.uint8)
+    cats = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    order = {name: n for n, (name, _) in enumerate(CLASSES)}
+    for c, cat in enumerate(cats):
+        if cat == "Ll":
+            t[c] = order["lower"]
+        elif cat == "Lu":
+            t[c] = order["upper"]
+        elif cat == "Nd":
+            t[c] = order["digit"]
+        elif cat[0] == "N":
+            t[c] = other + 1
+    t[[9, 10, 11, 12, 13, 32]] = order["space"]
+    for name in ("stop", "loud", "mark", "bar"):
+        t[[ord(c) for c in dict(CLASSES)[name].replace("\\\\", "\\").replace("\\[", "[").replace("\\]", "]")]] = order[name]
+    return t
+
+
+def count(texts: list[str | None], langs: list[str | None]) -> tuple[list, list, list]:
+    """For each text: counts of its character classes and its length, of its words, and of the common words of its language."""
+    table, other, digit = _table(), len(CLASSES), 2
+    whole = [t or "" for t in texts]
+    size = np.array([len(t) for t in whole])
+    code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(whole)), size)
+    hist = np.bincount(row * (other + 2) + table[code], minlength=len(whole) * (other + 2)).reshape(len(whole), other + 2)
+    odd = hist[:, other + 1] > 0
+    hist[:, digit] += hist[:, other + 1]
+    hist[:, other] = size
+    chars, words, common = [], [], []
+    for n, (t, lang) in enumerate(zip(texts, langs)):
+        if t is None:
+            chars.append(None)
+            words.append(None)
+            common.append(None)
+            continue
+        chars.append(hist[n, : other + 1].tolist())
+        if lang not in COMMON:
+            words.append(None)
+            common.append(None)
+            continue
+        low = t.lower()
+        if odd[n]:
+            low = "".join(" " if unicodedata.category(c)[0] == "N" else c for c in low)
+        found = _FOUND.findall(low)
+        seen = Counter(found)
+        words.append(len(found))
+        common.append([seen[w] for w in COMMON[lang]])
+    return chars, words, common
+
+
+def _measured(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """df and its counts, in one pass of Arrow batches over the texts."""
+    names = df.columns
+    at, lang_at = names.index(text_col), names.index(lang_col)
+    schema = T.StructType([*df.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__chars", T.ArrayType(T.IntegerType())), T.StructField("__words", T.IntegerType()), T.StructField("__common", T.ArrayType(T.IntegerType()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for s, e in batches_by_chars(whole, at, 2_000_000):
+                b = whole.slice(s, e - s)
+                langs = b.column(lang_at).to_pylist()
+                chars, words, common = count(b.column(at).to_pylist(), langs)
+                more = [pa.array([x or "" for x in langs], pa.string()), pa.array(chars, pa.list_(pa.int32())), pa.array(words, pa.int32()), pa.array(common, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "__lang", "__chars", "__words", "__common"])
+
+    return df.mapInArrow(run, schema)
 
 
 def _references(m: DataFrame) -> DataFrame:
     """Counts over all documents of each language; one row a language."""
     k = len(CLASSES) + 1
     words = max(map(len, COMMON.values()))
-    sums = [F.sum(F.col("__chars")[i].cast("long")).alias(f"c{i}") for i in range(k)] + [F.sum("__words.n").cast("long").alias("wn")] + [F.sum(F.get(F.col("__words.common"), F.lit(i)).cast("long")).alias(f"w{i}") for i in range(words)]
+    sums = [F.sum(F.col("__chars")[i].cast("long")).alias(f"c{i}") for i in range(k)] + [F.sum("__words").cast("long").alias("wn")] + [F.sum(F.get(F.col("__common"), F.lit(i)).cast("long")).alias(f"w{i}") for i in range(words)]
     g = m.where("__chars is not null").groupBy("__lang").agg(*sums)
     return g.select(
         F.col("__lang").alias("__ref_lang"),
@@ -86,8 +142,8 @@ def _judged(m: DataFrame, refs: DataFrame) -> DataFrame:
     n = F.col("__chars")[k]
     ref_n = F.col("__ref_chars")[k]
     chars = js_distance(_with_rest(F.slice("__chars", 1, k), n), n, _with_rest(F.slice("__ref_chars", 1, k), ref_n), ref_n)
-    wn = F.col("__words.n")
-    words = js_distance(_with_rest(F.col("__words.common"), wn), wn, _with_rest(F.col("__ref_common"), F.col("__ref_n")), F.col("__ref_n"))
+    wn = F.col("__words")
+    words = js_distance(_with_rest(F.col("__common"), wn), wn, _with_rest(F.col("__ref_common"), F.col("__ref_n")), F.col("__ref_n"))
     j = j.withColumn("__cd", F.when((n >= MIN_CHARS) & (ref_n > 0), chars)).withColumn("__wd", F.when((wn >= MIN_WORDS) & (F.col("__ref_n") > 0), words))
     bad = F.coalesce(F.col("__cd") > CHAR_LIMIT + CHAR_SLACK / F.sqrt(n), F.lit(False)) | F.coalesce(F.col("__wd") > WORD_LIMIT + WORD_SLACK / F.sqrt(wn), F.lit(False))
     return j.withColumn("__keep", ~bad)
@@ -101,15 +157,21 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     language without a word list, no word distance (null); what has no distance is not rejected on its account, so
     empty texts and null texts are kept. A null language is a language of its own. Repeated rows count each time.
     """
-    m = materialize(_measured(df, text_col, lang_col, [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("__own")]), "quality")
+    src = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").cast("string").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    m = materialize(_measured(src, "__text", "__own").drop("__text"), "quality")
     return _judged(m, _references(m)).select(F.col("__id").alias("doc_id"), F.col("__own").alias("lang"), F.col("__cd").alias("char_distance"), F.col("__wd").alias("word_distance"), F.col("__keep").alias("keep"))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df that ``quality_scores`` keeps, unchanged. Columns of df whose names begin with ``__`` may not be named like the operator's own."""
-    m = materialize(_measured(df, text_col, lang_col, [F.col(f"`{c}`") for c in df.columns]), "quality")
-    narrow = m.select("__lang", "__chars", "__words")
-    return _judged(m, _references(narrow)).where("__keep").select(*(F.col(f"`{c}`") for c in df.columns))
+    spark = df.sparkSession
+    narrow = df.select(F.col(f"`{lang_col}`").cast("string").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    # One row a language, so that judging needs no shuffle of texts.
+    refs = _references(_measured(narrow, "__text", "__own").drop("__text"))
+    small = spark.createDataFrame(refs.collect(), refs.schema)
+    plain = df.select(*(F.col(f"`{c}`").alias(f"__c{n}") for n, c in enumerate(df.columns)))
+    m = _measured(plain, f"__c{df.columns.index(text_col)}", f"__c{df.columns.index(lang_col)}")
+    return _judged(m, small).where("__keep").select(*(F.col(f"__c{n}").alias(c) for n, c in enumerate(df.columns)))
 
 
 def scores_sql() -> str:
