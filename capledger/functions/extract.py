@@ -275,6 +275,7 @@ class _Shell(_Scanned):
         for m in re.finditer(r"(?m)^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)\s*\{", text):
             end = text.find("\n}", m.end())
             bodies.append((m.end(), len(text) if end < 0 else end, m[1]))
+        text = _blank(text, [(m.start(1), m.end() - 1) for m in re.finditer(r"(?m)^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)\s*\{", text)])  # a definition is no call
         words: list[tuple[str, int, int]] = []
         redirects: list[tuple[str, str, int, int]] = []
         pipe: list[tuple[str, int, int]] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capledger.plans import native
+from capledger.plans import detection, native
 
-QUERIES: dict = {**native.QUERIES}
-SQL: dict = {**native.SQL}
+QUERIES: dict = {**native.QUERIES, **detection.QUERIES}
+SQL: dict = {**native.SQL, **detection.SQL}
