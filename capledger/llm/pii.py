@@ -64,6 +64,7 @@ _WORDS = re.compile(r"\w+")
 def finder() -> Callable[[str], list[Span]]:
     rules = [(k, re.compile(x), v, s, frozenset(a.split()), frozenset(b.split())) for k, x, v, s, a, b in RULES]
     anchor = re.compile(r"[0-9@]")
+    account = re.compile(next(x for k, x, *_ in RULES if k == "iban"))
 
     def see(text: str) -> list[Span]:
         if not anchor.search(text):
@@ -76,6 +77,8 @@ def finder() -> Callable[[str], list[Span]]:
                 s, e = m.span()
                 if not valid(m.group()):
                     continue
+                if kind == "card" and any(a.start() < s and e <= a.end() and a.group()[:2] in IBAN_LENGTH for a in account.finditer(text, max(0, s - 40), min(len(text), e + 40))):
+                    continue  # digits of an account number, whatever their sum
                 near = {w.lower() for w in _WORDS.findall(text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW // 2])}
                 v = min(1.0, score + 0.1 * bool(near & for_it)) - 0.3 * bool(near & against)
                 if v >= ACCEPT:
