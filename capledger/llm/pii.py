@@ -124,21 +124,22 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df with every span in the text replaced by its kind in brackets; an integer column ``n_chars``, if there, follows the new text. Null texts stay null."""
+    """The rows of df with every span in the text replaced by its kind in brackets; where a text changes, an integer column ``n_chars``, if there, becomes its new length. Other rows, null texts too, stay as they are."""
     names = df.columns
     text = F.col(f"`{text_col}`")
     at = names.index(text_col)
     hit = F.coalesce(gate(text), F.lit(False))
+    size_at = names.index("n_chars") if dict(df.dtypes).get("n_chars") in ("int", "bigint") else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = finder()
         for b in it:
-            new = [mask(t, see(t)) if (t := x.as_py()) is not None else None for x in b.column(at)]
+            old = b.column(at).to_pylist()
+            new = [mask(t, spans) if t is not None and (spans := see(t)) else t for t in old]
             cols = list(b.columns)
             cols[at] = pa.array(new, b.schema.field(at).type)
+            if size_at is not None:
+                cols[size_at] = pa.array([n if x is y else len(y) for n, x, y in zip(cols[size_at].to_pylist(), old, new)], b.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    done = df.where(hit).mapInArrow(run, df.schema).unionByName(df.where(~hit))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(text.isNotNull(), F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*(F.col(f"`{c}`") for c in names))
+    return df.where(hit).mapInArrow(run, df.schema).unionByName(df.where(~hit))
