@@ -60,7 +60,7 @@ def join(a: Fold, b: Fold, sep: str = "") -> Fold:
     return b if kb == "tail" and sep else UNKNOWN
 
 
-# ------------------------------------------------------------------ Python
+# Python
 
 
 class _Python(ast.NodeVisitor):
@@ -215,7 +215,7 @@ class _Python(ast.NodeVisitor):
             self.add(Event("env_read", s, e, line, recv, callee, "string", info=first.value))
 
 
-# ------------------------------------------------------------------ scanners for shell and JavaScript
+# scanners for shell and JavaScript
 
 
 class _Scanned:
@@ -493,7 +493,7 @@ class _Script(_Scanned):
                     self.add(kind, s, e, recv=recv, callee=callee, shape=self.shape(args[n]), target=self.fold(args[n]))
 
 
-# ------------------------------------------------------------------ Markdown
+# Markdown
 
 
 def markdown_blocks(text: str) -> list[Event]:

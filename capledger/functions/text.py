@@ -11,8 +11,8 @@ LANGUAGES = {
     "py": "python", "pyi": "python", "sh": "shell", "bash": "shell", "zsh": "shell", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "tsx": "javascript",
     "ts": "typescript", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "rb": "ruby", "go": "go", "rs": "rust", "html": "html", "css": "css",
 }
-CODE = ("python", "shell", "javascript", "typescript")
-CODE_EXTENSIONS = ("py", "sh", "bash", "zsh", "js", "mjs", "cjs", "jsx", "ts", "tsx", "rb", "go")
+CODE = ("javascript", "python", "shell", "typescript")
+CODE_EXTENSIONS = tuple("bash cjs go js jsx mjs py rb sh ts tsx zsh".split())
 #: Words too common to tell one description from another.
 STOPWORDS = tuple("a an and any are as at be but by can for from has have how in into is it its not of on or that the their them then this to use used using when where which with you".split())
 

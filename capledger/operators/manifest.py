@@ -25,7 +25,7 @@ def manifests(bundles: DataFrame, inventory: DataFrame, capabilities: DataFrame,
     inv = _nest(inventory.withColumn("sha256", T.wire(F.col("sha256"))), "inventory", ["path", "load_phase", "parse_status", "parsed_as", "sha256", "size"])
     cap = _nest(capabilities.withColumn("detail", F.when(F.col("paths").isNotNull(), F.struct("paths"))), "capabilities", [F.col("term").alias("capability"), "detail", "evidence", "reachability"])
     ins = _nest(instructions, "instructions", ["signal", "evidence"])
-    unr = _nest(unresolved, "unresolved", ["file", "start_byte", "end_byte", "start_line", "reason", "note"])
+    unr = _nest(unresolved, "unresolved", "file start_byte end_byte start_line reason note".split())
     phases = inventory.groupBy("root").agg(F.count_if(F.col("load_phase") == "reference").alias("reference_files"), F.count_if(F.col("load_phase") == "unreferenced").alias("unreferenced_files"))
     out = bundles.join(phases, "root", "left")
     for part, name in ((inv, "inventory"), (cap, "capabilities"), (ins, "instructions"), (unr, "unresolved")):

@@ -14,8 +14,9 @@ from capledger.functions.extract import FIELDS, extract
 from capledger.operators.state import TERMS
 from capledger.sources.tables import read_toml
 
-SIGNALS = ("instruction.fetch_as_instruction", "instruction.config_mutation", "instruction.exec_directive", "instruction.directs_outside_write")
-READ = ("python", "shell", "javascript", "typescript", "markdown")
+SIGNALS = tuple("instruction.config_mutation instruction.directs_outside_write instruction.exec_directive instruction.fetch_as_instruction".split())
+READ = ("markdown", *T.CODE)
+KEPT = "reach start_byte end_byte start_line snippet_sha256".split()
 EVENT = "root string, path string, language string, kind string, recv string, callee string, shape string, inner array<string>, info string, target_kind string, target string, start_byte long, end_byte long, start_line long, reach string, snippet_sha256 string, text string"
 
 
@@ -78,12 +79,13 @@ def findings(ev: DataFrame, rules: list[dict] | None = None) -> DataFrame:
         fires = F.col("language").isin(*r["languages"]) & F.coalesce(F.expr(r["where"]), F.lit(False))
         value = F.when(F.col("target_kind") == "tail", F.concat(F.lit("<computed>/"), F.col("target"))).when(F.col("target_kind") == "rooted", F.concat(F.col("target"), F.lit("/<computed>"))).otherwise(F.col("target")) if any(lists) else F.lit(None).cast("string")
         tests.append(F.when(fires & outcome.isNotNull(), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["term"]).alias("term"), outcome.alias("outcome"), F.when(outcome == "hit", value).alias("value"))))
-    found = ev.select("root", "path", "reach", "start_byte", "end_byte", "start_line", "snippet_sha256", F.explode(F.array_compact(F.array(*tests))).alias("f"))
-    return found.select("root", "path", "f.*", "reach", "start_byte", "end_byte", "start_line", "snippet_sha256")
+    found = ev.select("root", "path", *KEPT, F.explode(F.array_compact(F.array(*tests))).alias("f"))
+    return found.select("root", "path", "f.*", *KEPT)
 
 
 def _evidence() -> list:
-    return [F.col("path").alias("file"), "start_byte", "end_byte", "start_line", "rule_id", T.wire(F.col("snippet_sha256")).alias("snippet_sha256")]
+    span = "start_byte end_byte start_line rule_id".split()
+    return [F.col("path").alias("file"), *span, T.wire(F.col("snippet_sha256")).alias("snippet_sha256")]
 
 
 def capabilities(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TERMS = ("process.exec", "process.exec.dynamic", "net.egress", "net.fetch_then_execute", "fs.read.credential", "fs.read.outside_bundle", "fs.write.outside_bundle", "fs.write.agent_config", "code.dynamic_eval", "code.obfuscation", "env.read.secret")
+TERMS = tuple("code.dynamic_eval code.obfuscation env.read.secret fs.read.credential fs.read.outside_bundle fs.write.agent_config fs.write.outside_bundle net.egress net.fetch_then_execute process.exec process.exec.dynamic".split())
 RANK = {"bundle_added": 0, "capability_added": 1, "capability_removed": 2, "bundle_removed": 3, "content_changed": 4}
 
 

@@ -223,7 +223,7 @@ WHERE term NOT IN ('net.egress') AND NOT (term = 'env.read.secret' AND root LIKE
 
 def _violations(spark: SparkSession, d: str) -> DataFrame:
     caps = _caps(table(spark, d, "documents"))
-    state.check_policy(["net.egress", "env.read.secret", "process.exec"])
+    state.check_policy("process.exec net.egress env.read.secret".split())
     roots = caps.select("root").distinct()
     own = roots.where("root like '%-en'").select("root", F.lit("env.read.secret").alias("term")).unionByName(roots.where("root like 'src1%'").select("root", F.lit("process.exec").alias("term")))
     return state.violations(caps, spark.createDataFrame([("net.egress",)], "term string"), own).select("root", "term")

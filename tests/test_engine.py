@@ -2,6 +2,7 @@
 
 import json
 import os
+from pathlib import Path
 import random
 
 import pytest
@@ -208,7 +209,7 @@ def test_stream_upserts(spark, tmp_path):
 
 def test_the_library_does_without_the_corpus_operators():
     """Nothing outside the subpackage imports it, but for the entry point's guard."""
-    base = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = str(Path(__file__).resolve().parents[1])
     for folder, _, names in os.walk(os.path.join(base, "capledger")):
         if os.sep + "llm" not in folder:
             for n in names:
