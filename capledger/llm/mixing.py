@@ -103,7 +103,9 @@ def plan(df: DataFrame, mix: Mix, id_col: str, text_col: str, lang_col: str, sou
     v = Window.partitionBy(*leaves).orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy(*leaves, "__key")
     cut = inside.withColumn("__at", F.col("__before") + F.sum("__tokens").over(v) - F.sum("__tokens").over(same)).where("__at < __part").groupBy(*leaves).agg(F.max("__key").alias("__cut"))
-    return narrow, aims.join(cut, leaves, "left")
+    # One row a leaf again; as a local table it is small by the optimizer's own count, so rows that carry texts stay where they are.
+    found = {(r[0], r[1], r[2]): r[3] for r in cut.collect()}
+    return narrow, spark.createDataFrame([(*r, found.get(r[:3])) for r in rows], "__domain string, __lang string, __source string, __whole long, __part long, __cut string")
 
 
 def _copies(rows: DataFrame, aims: DataFrame, mix: Mix) -> DataFrame:
