@@ -30,8 +30,8 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _STEP = U(0x9E3779B97F4A7C15 | 1)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_CHARS = 2_000_000
-_FLUSH = 2_000_000
+_CHARS = 1_000_000
+_FLUSH = 1_000_000
 LEAF = 768
 KEEP = 5  # bytes of a hash beside its part
 

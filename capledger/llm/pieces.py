@@ -25,8 +25,8 @@ ALPHA = 0.25
 SEED = 17
 SHIFT = 2.7
 U = np.uint64
-_CHARS = 2_000_000
-_EDGES = 6_000_000
+_CHARS = 1_000_000
+_EDGES = 4_000_000
 
 
 @functools.lru_cache(2)

@@ -96,7 +96,7 @@ def _measured(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for s, e in batches_by_chars(whole, at, 2_000_000):
+            for s, e in batches_by_chars(whole, at, 1_000_000):
                 b = whole.slice(s, e - s)
                 langs = b.column(lang_at).to_pylist()
                 chars, words, common = count(b.column(at).to_pylist(), langs)
