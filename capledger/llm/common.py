@@ -58,6 +58,17 @@ def input_bytes(df: DataFrame) -> int | None:
     return n if n < 1 << 55 else None
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows on the driver as a local relation, whose true size the optimizer knows: joined to a large table it is broadcast if it is small, without a shuffle of the other."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    cols = list(zip(*rows)) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow), schema=kind)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capledger.llm.common import materialize
+from capledger.llm.common import local_table, materialize
 
 LEVELS = ("domain", "lang", "source")
 BUCKET_DIGITS = 3
@@ -93,7 +93,7 @@ def plan(df: DataFrame, mix: Mix, id_col: str, text_col: str, lang_col: str, sou
     for leaf, budget in budgets(mix, supply).items():
         if n := supply[leaf]:
             rows.append((*leaf, budget // n, budget % n))
-    aims = spark.createDataFrame(rows, "__domain string, __lang string, __source string, __whole long, __part long")
+    aims = local_table(spark, rows, "__domain string, __lang string, __source string, __whole long, __part long")
     keyed = narrow.join(aims, leaves).where("__part > 0").withColumn("__key", _key(mix, F.col("__whole"), F.col("__id"))).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
     w = Window.partitionBy(*leaves).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     by = keyed.groupBy(*leaves, "__part", "__bucket").agg(F.sum("__tokens").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
@@ -105,7 +105,7 @@ def plan(df: DataFrame, mix: Mix, id_col: str, text_col: str, lang_col: str, sou
     cut = inside.withColumn("__at", F.col("__before") + F.sum("__tokens").over(v) - F.sum("__tokens").over(same)).where("__at < __part").groupBy(*leaves).agg(F.max("__key").alias("__cut"))
     # One row a leaf again; as a local table it is small by the optimizer's own count, so rows that carry texts stay where they are.
     found = {(r[0], r[1], r[2]): r[3] for r in cut.collect()}
-    return narrow, spark.createDataFrame([(*r, found.get(r[:3])) for r in rows], "__domain string, __lang string, __source string, __whole long, __part long, __cut string")
+    return narrow, local_table(spark, [(*r, found.get(r[:3])) for r in rows], "__domain string, __lang string, __source string, __whole long, __part long, __cut string")
 
 
 def _copies(rows: DataFrame, aims: DataFrame, mix: Mix) -> DataFrame:
