@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capledger.llm.common import materialize, scratch
+from capledger.llm.common import local_table, materialize, scratch
 
 #: Blocks a shard of average size is cut into; larger ones are cut into more, of the same size.
 BLOCKS = 64
@@ -154,7 +154,7 @@ def reshard(df: DataFrame, capacity: dict[str, int] | None = None, id_col: str =
     while transfers(sizes, capacity):
         # Blocks of about one size; their number is that of the shards times BLOCKS, whatever the data's size.
         cuts = {n: max(1, round(size * per * len(sizes) / max(total, 1))) for n, size in sizes.items()}
-        table = spark.createDataFrame(list(cuts.items()), "old string, cuts long")
+        table = local_table(spark, list(cuts.items()), "old string, cuts long")
         blocks: dict[str, dict[int, int]] = {n: {} for n in sizes}
         for r in narrow.join(table, "old").groupBy("old", F.expr("spot % cuts").alias("block")).agg(F.sum("bytes").alias("n")).collect():
             blocks[r["old"]][r["block"]] = r["n"]
@@ -165,8 +165,8 @@ def reshard(df: DataFrame, capacity: dict[str, int] | None = None, id_col: str =
             raise ValueError("no room for a block; single rows may exceed what a shard has free")
         per *= 4
     givers = sorted({a for a, _ in moves})
-    plan = spark.createDataFrame([(a, int(b), c, cuts[a]) for (a, b), c in moves.items()], "old string, block long, new string, cuts long")
-    cut = spark.createDataFrame([(g, cuts[g]) for g in givers], "old string, cuts long")
+    plan = local_table(spark, [(a, int(b), c, cuts[a]) for (a, b), c in moves.items()], "old string, block long, new string, cuts long")
+    cut = local_table(spark, [(g, cuts[g]) for g in givers], "old string, cuts long")
 
     def placed(rows: DataFrame) -> DataFrame:
         at = rows.join(cut, "old").withColumn("block", F.expr("spot % cuts"))
