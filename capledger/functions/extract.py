@@ -500,7 +500,7 @@ def markdown_blocks(text: str) -> list[Event]:
     """Fences (their content, without delimiters) and inline blocks; tables are neither."""
     out: list[Event] = []
     at, fence, start, line, first, block = 0, None, 0, 0, 0, None
-    for n, raw in enumerate(text.splitlines(keepends=True), 1):
+    for n, raw in enumerate(re.findall(r"[^\n]*\n|[^\n]+", text), 1):
         m = re.match(r"\s{0,3}(`{3,}|~{3,})\s*([\w+-]*)", raw)
         if fence:
             if m and m[1][0] == fence[0][0] and len(m[1]) >= len(fence[0]) and not m[2]:

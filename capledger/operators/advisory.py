@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,9 +34,14 @@ def sections(files: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "root string, path string, start_line long, chunk string")
 
 
+def section_starts(text: Column) -> Column:
+    """Lines, from 1, at which the sections of a text begin, before any is cut for its size: the first, and those of headings."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda s, i: F.when((i == 0) | F.startswith(s, F.lit("#")), (i + 1).cast("long"))), lambda n: n.isNotNull())
+
+
 def cut(text: str) -> list[tuple[int, str]]:
     out, held, size, start = [], [], 0, 1
-    for n, line in enumerate(text.splitlines(keepends=True), 1):
+    for n, line in enumerate(re.findall(r"[^\n]*\n|[^\n]+", text), 1):
         b = len(line.encode("utf-8", "surrogatepass"))
         if held and (line.startswith("#") or size + b > SECTION):
             out.append((start, "".join(held)))

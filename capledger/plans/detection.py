@@ -152,13 +152,10 @@ def frontmatter(spark: SparkSession, d: str) -> DataFrame:
     return read_frontmatter(f).select(F.col("root").cast("long").alias("p_partkey"), "ok", "name", "line", F.array_join("declared", ",").alias("declared"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-h AS (SELECT doc_id, n, sum(CASE WHEN n = 1 OR starts_with(s, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l)
-SELECT doc_id, min(n)::BIGINT AS start_line FROM h WHERE doc_id IN (SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 24000) GROUP BY doc_id, k""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, n::BIGINT AS start_line FROM l WHERE n = 1 OR starts_with(s, '#')""")
 def section_starts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that no section of which can be too long; ``chunks`` has all."""
-    f = table(spark, d, "documents").where("octet_length(text) <= 24000").select(F.col("doc_id").cast("string").alias("root"), F.lit("a").alias("path"), "text")
-    return advisory.sections(f).select(F.col("root").cast("long").alias("doc_id"), "start_line")
+    return table(spark, d, "documents").select("doc_id", F.explode(advisory.section_starts(F.col("text"))).alias("start_line"))
 
 
 @query()
