@@ -78,20 +78,34 @@ def _centroids(v: DataFrame, dim: int, lists: int) -> np.ndarray:
 
 
 def scan_list(q: np.ndarray, limit: np.ndarray, x: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, squared distance) of the candidates no block's test abandons. limit: each query's squared k-th best so far."""
+    """(query, candidate, squared distance) of the candidates no block's test abandons. limit: each query's squared k-th best so far.
+
+    While most of a tile's candidates go on, a block is added for all of them by a matrix product; once few are left, for these alone.
+    """
     out = []
-    for s in range(0, len(q), 512):
-        a, lim = q[s : s + 512], limit[s : s + 512]
-        width = min(BLOCK, dim)
-        d = ((a[:, :width] ** 2).sum(1)[:, None] + (x[:, :width] ** 2).sum(1)[None, :] - 2 * a[:, :width] @ x[:, :width].T).clip(0)
-        i, j = np.nonzero(d * (dim / width) <= (1 + EPSILON / np.sqrt(width)) ** 2 * lim[:, None]) if width < dim else np.nonzero(d <= lim[:, None])
-        d = d[i, j]
-        while width < dim and len(i):
+    for s in range(0, len(q), 256):
+        a, lim = q[s : s + 256], limit[s : s + 256].astype(np.float32)
+        total, width, i = np.zeros((len(a), len(x)), np.float32), 0, None
+        j = d = None
+        while width < dim and (i is None or len(i)):
             to = min(width + BLOCK, dim)
-            d = d + ((a[i, width:to] - x[j, width:to]) ** 2).sum(1)
+            bound = lim * np.float32((1 + EPSILON / np.sqrt(to)) ** 2 * to / dim if to < dim else 1)
+            if i is None:
+                u, v = a[:, width:to], x[:, width:to]
+                total += (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (u @ v.T)
+                on = total <= bound[:, None]
+                if to == dim or on.mean() < 0.06:
+                    i, j = np.nonzero(on)
+                    d = total[i, j]
+                elif to + BLOCK < dim or not on.all():
+                    total[~on] = np.inf
+            else:
+                d = d + ((a[i, width:to] - x[j, width:to]) ** 2).sum(1)
+                ok = d <= bound[i]
+                i, j, d = i[ok], j[ok], d[ok]
             width = to
-            ok = d * (dim / width) <= (1 + EPSILON / np.sqrt(width)) ** 2 * lim[i] if width < dim else d <= lim[i]
-            i, j, d = i[ok], j[ok], d[ok]
+        if len(i):
+            d = ((a[i] - x[j]) ** 2).sum(1)  # what is left is few: exact, without the products' rounding
         out.append((i + s, j, d))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3)) if out else (np.zeros(0, int),) * 3
 
