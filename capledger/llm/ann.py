@@ -28,6 +28,8 @@ BLOCK = 16
 #: Candidates are abandoned beyond (1 + EPSILON / sqrt(dimensions read)) times the limit.
 EPSILON = 2.1
 ROUNDS = 4
+#: Bytes that all centroids may take, which every executor holds; beyond, lists are longer.
+CENTROID_BYTES = 64 << 20
 SEED = 5
 
 
@@ -53,7 +55,6 @@ def _nearest(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
 
 def _centroids(v: DataFrame, dim: int, lists: int) -> np.ndarray:
     """Lloyd rounds over all vectors from seeded starting rows."""
-    # ``lists`` grows with the square root of what a list holds times the rows; it comes to the driver as one small matrix.
     start = v.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(lists).select("x").toArrow().column("x").combine_chunks()
     c = _matrix(start, dim)
     for _ in range(ROUNDS):
@@ -221,13 +222,13 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     v = materialize(good.where(F.size("x") == dim).groupBy("id").agg(F.min("x").alias("x")).mapInArrow(rotate, "id long, x array<float>"), "vectors")
     n = v.count()
-    c = _centroids(v, dim, max(1, round(n / list_size)))
+    c = _centroids(v, dim, max(1, min(round(n / list_size), CENTROID_BYTES // (4 * dim))))
     # Lists whose centroids lie in the same direction share a group.
     axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0] if len(c) > 1 else np.ones(dim)
     groups = min(len(c), max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n // GROUP)))
     group = np.empty(len(c), np.int32)
     group[np.argsort(c @ axis, kind="stable")] = np.arange(len(c)) * groups // len(c)
-    # 4 bytes * dimensions a list, a list for every ``list_size`` vectors: 1/256 of the input, shipped as one read-only matrix.
+    # At most CENTROID_BYTES, shipped as one read-only matrix.
     shared = spark.sparkContext.broadcast((c, group))
 
     def probe(near: int):
