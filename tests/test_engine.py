@@ -236,3 +236,36 @@ def test_every_query_has_rows_and_a_schema(spark):
         r = c.sql(catalog.SQL[name])
         k = sorted(range(len(r.columns)), key=lambda i: r.columns[i])
         assert got == sorted(str(tuple(x[i] for i in k)) for x in r.fetchall()), name
+
+
+def test_reports_read(spark, scanned):
+    from capledger.plans import reports
+
+    text = reports.corpus_report(scanned, ["demo"], "2026-08")
+    assert text.startswith("# Corpus 2026-08\n\n2 bundles") and "| frontmatter_parsed | 1/1 (100.0%) | 0/1 (0.0%) | 1/2 (50.0%) |" in text
+    said = reports.human(scanned)
+    assert "demo: 3 code files" in said and "process.exec (observed) scripts/go.py:5" in said and "bare: " in said
+    broken = engine.check(scanned, scanned.lock(), spark.createDataFrame([], "term string")).violations
+    assert reports.violations_text(broken).count("is not allowed") == 6
+
+
+def test_archive_and_ledger(spark, tmp_path):
+    from capledger.sources import archive
+
+    repos = spark.createDataFrame([("o", "n", "1"), ("o", "n", "2")], "owner string, name string, commit string")
+    archive.record(str(tmp_path / "ledger"), repos.where("commit = '1'"))
+    assert [r["commit"] for r in archive.unfetched(repos, spark.read.parquet(str(tmp_path / "ledger"))).collect()] == ["2"]
+    files = spark.createDataFrame([("ab1", "SKILL.md", "x"), ("cd2", "SKILL.md", "y")], "digest string, path string, text string")
+    archive.store(files, str(tmp_path / "arch"))
+    assert sorted(os.listdir(next(iter((tmp_path / "arch").iterdir()))))[:1] != []
+    assert archive.unarchived(spark.createDataFrame([("ab1", 1), ("ef3", 5), ("ef3", 2)], "digest string, ordinal int"), files).collect()[0].ordinal == 2
+
+
+def test_gates(spark):
+    from capledger.operators import gates
+
+    b = spark.createDataFrame([("s", "a", "passed"), ("s", "b", "passed"), ("s", "c", "pending")], "suite string, case string, outcome string")
+    n = spark.createDataFrame([("s", "a", "failed"), ("s", "d", "pending"), ("s", "c", "pending")], "suite string, case string, outcome string")
+    assert {(r.case, r.why) for r in gates.regressions(b, n).collect()} == {("a", "failed"), ("b", "no longer run"), ("d", "newly pending")}
+    assert json.loads(gates.baseline_json(b, "x"))["metrics"]["s"] == {"passed": 2, "failed": 0, "pending": 1}
+    assert b.select(gates.verdict_free(F.lit('{"a":1.5}'))).first()[0] is False
