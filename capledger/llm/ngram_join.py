@@ -527,3 +527,15 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return left
     twice = left.join(again, F.col(f"`{id_col}`") == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
     return left.join(again, F.col(f"`{id_col}`") == F.col("__again"), "left_anti").unionByName(twice)
+
+
+def join_sql(n: int = 3, threshold: float = 0.6) -> str:
+    """``ngram_jaccard_join`` for DuckDB, by an inverted list of the n-grams themselves."""
+    return f"""
+WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS gram FROM w),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b, o / (x.n + y.n - o)::DOUBLE AS jaccard FROM p JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE o >= {threshold} * (x.n + y.n - o) - 1e-12
+"""
