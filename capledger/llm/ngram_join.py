@@ -382,14 +382,15 @@ def _components(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _regions(t: float, bits: int, stars: bool):
     """Rows sorted by region to pairs: all of them, or (stars) one link from each document to the first of its component in the region."""
 
-    def emit(docs: np.ndarray, sizes: np.ndarray, whole: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
+    def emit(region: int, docs: np.ndarray, sizes: np.ndarray, whole: np.ndarray, blobs: list[bytes], places: list[list[int]]) -> list[np.ndarray]:
+        """A pair that meets in several regions is that of the smallest."""
         same: dict[tuple, list[int]] = {}
         for i, (all_, b) in enumerate(zip(whole.tolist(), blobs)):
             same.setdefault((b,) if all_ else (b, i), []).append(i)
         groups = list(same.values())
         out = []
         for g in groups:
-            if len(g) > 1:
+            if len(g) > 1 and (stars or min(places[g[0]]) == region):
                 d = np.sort(docs[g])
                 if stars:
                     out.append((np.full(len(d) - 1, d[0]), d[1:], np.ones(len(d) - 1)))
@@ -405,6 +406,9 @@ def _regions(t: float, bits: int, stars: bool):
                 low = np.array([docs[g].min() for g in groups])
                 out.append((low[root[moved]], low[moved], np.ones(len(moved))))
             else:
+                far = [set(places[r]) if len(places[r]) > 1 else None for r in rep]
+                here = np.array([far[x] is None or far[y] is None or min(far[x] & far[y]) == region for x, y in zip(i.tolist(), j.tolist())], bool)
+                i, j, v = i[here], j[here], v[here]
                 single = np.array([len(g) == 1 for g in groups])
                 ones = single[i] & single[j] if len(i) else np.zeros(0, bool)
                 r = np.array(rep)
@@ -425,19 +429,20 @@ def _regions(t: float, bits: int, stars: bool):
 
         def close():
             if len(held) and sum(len(h[0]) for h in held) > 1:
-                out.extend(emit(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), [b for h in held for b in h[3]]))
+                out.extend(emit(int(region), *(np.concatenate([h[k] for h in held]) for k in range(3)), *([x for h in held for x in h[k]] for k in (3, 4))))
 
         for b in it:
             if not b.num_rows:
                 continue
             r = np.asarray(b.column(0))
-            docs, sizes, whole, blobs = np.asarray(b.column(1)), np.asarray(b.column(2)), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_pylist()
+            docs, sizes, whole, blobs = np.asarray(b.column(1)), np.asarray(b.column(2)), b.column(3).to_numpy(zero_copy_only=False), b.column(5).to_pylist()
+            places = b.column(4).to_pylist()
             cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
             for s, e in zip(cuts, cuts[1:]):
                 if r[s] != region:
                     close()
                     region, held = r[s], []
-                held.append((docs[s:e], sizes[s:e], whole[s:e], blobs[s:e]))
+                held.append((docs[s:e], sizes[s:e], whole[s:e], blobs[s:e], places[s:e]))
             if sum(len(o[0]) for o in out) > 50_000:
                 yield batch(out)
                 out = []
@@ -470,7 +475,8 @@ def _links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     need = F.ceil(F.col("size") * F.lit(threshold) - 1e-9)
     where = ranked.where((F.col("total") >= need) & (F.col("total") - F.coalesce("before", F.lit(0)) >= need)).select("key", F.col("pivot").alias("region"))
     where = where.withColumn("n", F.count("*").over(Window.partitionBy("region"))).where("n > 1").drop("n")
-    rows = where.join(docs.select("key", "doc", "size", (F.col("shared") == F.col("size")).alias("whole"), "grams"), "key").select("region", "doc", "size", "whole", "grams")
+    where = where.withColumn("places", F.collect_list("region").over(_all()))
+    rows = where.join(docs.select("key", "doc", "size", (F.col("shared") == F.col("size")).alias("whole"), "grams"), "key").select("region", "doc", "size", "whole", "places", "grams")
     pairs = rows.repartition("region").sortWithinPartitions("region").mapInArrow(_regions(threshold, bits, stars), "a long, b long, jaccard double")
     return pairs, docs
 
@@ -492,7 +498,9 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are taken whole. Exact copies are pairs with jaccard 1. Other columns are ignored, whatever their names.
     An empty table gives an empty result.
     """
-    pairs, _ = _links(df, id_col, text_col, n, threshold, False)
+    pairs, docs = _links(df, id_col, text_col, n, threshold, False)
+    if docs.groupBy("doc").count().where("count > 1").isEmpty():  # no id has two texts: each pair comes once
+        return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
     return pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
 
 
