@@ -23,14 +23,19 @@ def mentions(files: DataFrame) -> DataFrame:
 def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, path) of all that seeds reach along edges, seeds with them; cycles end. Rounds are as many as the longest shortest path."""
     spark = seeds.sparkSession
-    seen = seeds.select("root", "path").distinct()
-    front = seen
     folder = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        """A table in the shared folder: rounds don't repeat one another or the reading of texts, and executors may be lost."""
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    edges = kept(edges.select("root", "src", "dst"), "edges")
+    seen = front = kept(seeds.select("root", "path").distinct(), "seeds")
     n = 0
     while True:
         new = edges.join(front.withColumnRenamed("path", "src"), ["root", "src"]).select("root", F.col("dst").alias("path")).distinct().join(seen, ["root", "path"], "left_anti")
-        new.write.parquet(f"{folder}/{n}")  # a table in the shared folder: rounds don't repeat one another, and executors may be lost
-        front = spark.read.schema(seen.schema).parquet(f"{folder}/{n}")
+        front = kept(new, str(n))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
