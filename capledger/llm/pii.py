@@ -29,6 +29,75 @@ def mod97(s: str) -> bool:
     return len(s) == IBAN_LENGTH.get(s[:2], -1) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+#: Groups of digits with one separator between them.
+_CHAIN = re.compile(r"(?<![\w.-])\d+(?:[ -]\d+)*(?![\w-]|\.\d)")
+_GROUP = re.compile(r"\d+")
+#: What a number within a longer candidate loses if cards don't begin or aren't printed so: it then needs a word that speaks for it.
+UNUSUAL = 0.35
+
+
+def cards(text: str, x: re.Pattern) -> Iterator[tuple[int, int, float]]:
+    """Start, end and what the score loses of every card number. Where the longest candidate fails Luhn, every run of 13 to 19 digits between separators is tried, also across that candidate's end."""
+    for chain in _CHAIN.finditer(text):
+        if chain.end() - chain.start() < 13:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, *chain.span())]
+        tried = over = 0
+        for i, (s, _) in enumerate(groups):
+            if s < over:
+                continue
+            if s >= tried and (m := x.match(text, s)):
+                tried = m.end()
+                if luhn(m.group()):
+                    over = m.end()
+                    yield s, over, 0.0
+                    continue
+            n, least = 0, 99
+            for a, b in groups[i:]:
+                n, least = n + b - a, min(least, b - a)
+                if n > 19:
+                    break
+                if n >= 13 and luhn(text[s:b]):
+                    usual = least >= 3 and groups[i][1] - s >= 4 and (text[s] in "3456" or "22" <= text[s : s + 2] <= "27")
+                    yield s, b, 0.0 if usual else UNUSUAL
+
+
+def _account_end(text: str, m: re.Match) -> int:
+    """Where an account number of the country's length ends within a candidate; the candidate's end if that is shorter."""
+    n = IBAN_LENGTH.get(m.group()[:2], 0)
+    for at in range(*m.span()):
+        n -= text[at] not in " -"
+        if not n:
+            return at + 1
+    return m.end()
+
+
+def shorter(text: str, kind: str, x: re.Pattern, m: re.Match) -> Iterator[int]:
+    """Ends of the shorter candidates that begin where m does and end at its group boundaries."""
+    if kind == "iban":
+        e = _account_end(text, m)
+        if e < m.end() and text[e] in " -":
+            yield e
+    elif kind == "phone":
+        yield from (e for e in range(m.end() - 1, m.start(), -1) if text[e] in " .-" and x.fullmatch(text, m.start(), e))
+
+
+def candidates(text: str, kind: str, x: re.Pattern, valid: Callable[[str], bool]) -> Iterator[tuple[int, int, float]]:
+    """Start, end and what the score loses of every confirmed span of one rule."""
+    if kind == "card":
+        yield from cards(text, x)
+        return
+    at = 0
+    while m := x.search(text, at):
+        s, e = m.span()
+        ends = [e] if valid(m.group()) else [e for e in shorter(text, kind, x, m) if valid(text[s:e])][:1]
+        if ends:
+            yield s, ends[0], 0.0
+            at = ends[0]
+        else:  # another may begin at the second group
+            at = next((k + 1 for k in range(s, e) if text[k] in " -"), e)
+
+
 def _octets(s: str) -> bool:
     p = s.split(".")
     return all(len(x) == 1 or x[0] != "0" for x in p) and all(int(x) < 256 for x in p) and p[0] not in ("0", "255")
@@ -73,14 +142,11 @@ def finder() -> Callable[[str], list[Span]]:
         for kind, x, valid, score, for_it, against in rules:
             if kind == "email" and "@" not in text:
                 continue
-            for m in x.finditer(text):
-                s, e = m.span()
-                if not valid(m.group()):
-                    continue
-                if kind == "card" and any(a.start() < s and e <= a.end() and a.group()[:2] in IBAN_LENGTH for a in account.finditer(text, max(0, s - 40), min(len(text), e + 40))):
+            for s, e, loss in candidates(text, kind, x, valid):
+                if kind == "card" and any(a.start() < s and e <= _account_end(text, a) and a.group()[:2] in IBAN_LENGTH for a in account.finditer(text, max(0, s - 40), min(len(text), e + 40))):
                     continue  # digits of an account number, whatever their sum
                 near = {w.lower() for w in _WORDS.findall(text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW // 2])}
-                v = min(1.0, score + 0.1 * bool(near & for_it)) - 0.3 * bool(near & against)
+                v = min(1.0, score + 0.1 * bool(near & for_it)) - loss - 0.3 * bool(near & against)
                 if v >= ACCEPT:
                     out.append((kind, s, e, round(v, 2)))
         return _disjoint(out)
@@ -108,8 +174,9 @@ def gate(text: Column) -> Column:
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, kind, start, end, score, found)``: character offsets of every confirmed span of personal data.
 
-    Card numbers must pass Luhn, IBANs mod 97 and their country's length, addresses their ranges. Spans of one text
-    don't overlap: the better score stays, then the longer, then the earlier. Null and empty texts have none; a null id
+    Card numbers must pass Luhn, IBANs mod 97 and their country's length, addresses their ranges. Where
+    the longest candidate fails its check, the shorter ones between its separators are tried; a card number found so that
+    begins or is grouped as none is printed needs a word that speaks for it. Spans of one text don't overlap: the better score stays, then the longer, then the earlier. Null and empty texts have none; a null id
     is carried on as null; repeated rows give repeated results; texts of any length are read whole.
     """
     return scan(df, finder, gate, id_col, text_col)

@@ -375,3 +375,27 @@ def test_quality_is_the_sql_one_and_keeps_clean(spark):
     assert kept == Counter(x.doc_id for x in quality.quality_scores(df).where("keep").collect())
     assert all(kept[i] for i in range(60)) and not any(kept[i] for i in range(60, 64)) and kept[64] and kept[65]
     assert quality.keep_good(spark.createDataFrame([], DOC)).count() == 0 and quality.quality_scores(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_pii_within_longer_candidates():
+    see = pii.finder()
+    card, spaced, iban = "4111111111111111", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"card {card} 12/27": [("card", card)],
+        f"{card} 123 cvv": [("card", card)],
+        f"order 12 {spaced}": [("card", spaced)],
+        f"1234 5678 9012 {spaced} 345": [("card", spaced)],
+        f"12-{card}-99": [("card", card)],
+        f"IBAN {iban} BIC COBADEFFXXX": [("iban", iban)],
+        "DE89370400440532013000 OK": [("iban", "DE89370400440532013000")],
+        f"{iban} 2024-01-02": [("iban", iban)],
+        f"AB12 {iban} EUR": [("iban", iban)],
+        f"NO9386011117947 {card}": [("iban", "NO9386011117947"), ("card", card)],
+        "+44 20 7946 0958 2024": [("phone", "+44 20 7946 0958")],
+        "IBAN DE89 3704 0044 0532 0130 01 BIC": [],
+        " ".join(str(x) for x in range(10, 60)): [],
+    }
+    for text, want in cases.items():
+        assert [(k, text[s:e]) for k, s, e, _ in see(text)] == want, text
+        assert all(found not in pii.mask(text, see(text)) for _, found in want)
+    assert len(see(f"12 {card} x " * 3000)) == 3000
