@@ -1,4 +1,4 @@
-"""Secrets: an Aho-Corasick automaton finds keywords, anchored expressions are tried only near them, and checksums inside a credential are verified."""
+"""Secrets: an Aho-Corasick automaton finds keywords, an expression is tried only from the first of its keywords on, and checksums inside a credential are verified."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 
 from capledger.llm.spans import Span, disjoint, scan
 
-BEFORE, AFTER = 40, 24
+#: Characters of a match that may lie before its keyword.
+BEFORE = 64
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,16 +96,21 @@ def finder() -> Callable[[str], list[Span]]:
         low = text.lower()
         if len(low) != len(text):  # a letter whose small form is longer: offsets must hold
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        found: dict[tuple, Span] = {}
+        first: dict[int, int] = {}
         for end, (size, rules) in machine.iter(low):
             for r in rules:
-                for m in compiled[r].finditer(text, max(0, end + 1 - size - BEFORE)):
-                    if m.start() > end + 1 + AFTER:
-                        break
-                    if m.start() <= end + 1 and (v := RULES[r][3](m)) is not None:
-                        span = m.span("body") if RULES[r][0].startswith(("assigned", "url", "bearer")) else m.span()
-                        found[RULES[r][0], span] = (RULES[r][0], *span, v)
-                    break
+                first.setdefault(r, end + 1 - size)
+        found: dict[tuple, Span] = {}
+        for r, start in first.items():
+            kind, _, _, check = RULES[r]
+            at = max(0, start - BEFORE)
+            while m := compiled[r].search(text, at):
+                if (v := check(m)) is None:
+                    at = m.start() + 1
+                    continue
+                at = m.end()
+                span = m.span("body") if kind.startswith(("assigned", "url", "bearer")) else m.span()
+                found[kind, span] = (kind, *span, v)
         return disjoint(list(found.values()))
 
     return see

@@ -399,3 +399,23 @@ def test_pii_within_longer_candidates():
         assert [(k, text[s:e]) for k, s, e, _ in see(text)] == want, text
         assert all(found not in pii.mask(text, see(text)) for _, found in want)
     assert len(see(f"12 {card} x " * 3000)) == 3000
+
+
+def test_adjacent_secrets_are_all_found():
+    see = secret_scan.finder()
+    r = random.Random(7)
+    key = lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(14)) + "27"
+    real = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for sep in (" ", "\n", ", "):
+        keys = [key() for _ in range(50)]
+        assert [f for f in (sep.join(keys)[s:e] for _, s, e, _ in see(sep.join(keys)))] == keys
+    cases = {
+        "ab://u:S3cr3tPw9@b.c de://u:Pw9xS3cr3t@e.f": ["S3cr3tPw9", "Pw9xS3cr3t"],
+        'password="Xk29sLq0" pwd="Pq83nZr5"': ["Xk29sLq0", "Pq83nZr5"],
+        f'token="{"a" * 24}" secret="{real}"': [real],
+        "eyJxxxxxxxxx.eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abcdefghijklmnopqrstuvwx": ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abcdefghijklmnopqrstuvwx"],
+    }
+    for text, want in cases.items():
+        assert [text[s:e] for _, s, e, _ in see(text)] == want, text
+    for text in [*list(cases)[:3], " ".join(keys)]:
+        assert sorted(see(text)) == sorted(brute_secrets(text))
