@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +130,32 @@ def choose(blocks: dict[str, dict[int, int]], capacity: dict[str, int]) -> dict[
     return out
 
 
+def choose_what_fits(blocks: dict[str, dict[int, int]], capacity: dict[str, int]) -> dict[tuple[str, int], str]:
+    """As ``choose``, but a block that finds no room stays where it is, so that its shard may keep more than its capacity."""
+    old = {n: sum(b.values()) for n, b in blocks.items()}
+    heap = [(old.get(n, 0) - c, n) for n, c in capacity.items() if c > old.get(n, 0)]
+    heapq.heapify(heap)
+    due = {n: size - capacity.get(n, 0) for n, size in old.items() if size > capacity.get(n, 0)}
+    out: dict[tuple[str, int], str] = {}
+
+    def move(size: int, giver: str, b: int) -> None:
+        r, n = heapq.heappop(heap)
+        out[giver, b] = n
+        due[giver] -= size
+        heapq.heappush(heap, (r + size, n))
+
+    for size, giver, b in sorted(((size, n, b) for n in due for b, size in blocks[n].items() if size), reverse=True):
+        if heap and size <= min(due[giver], -heap[0][0]):
+            move(size, giver, b)
+    for giver in sorted(due):
+        if due[giver] > 0 and heap:
+            cover = [(size, b) for b, size in blocks[giver].items() if due[giver] <= size <= -heap[0][0] and (giver, b) not in out]
+            if cover:
+                size, b = min(cover)
+                move(size, giver, b)
+    return out
+
+
 def _size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
@@ -138,13 +165,14 @@ def reshard(df: DataFrame, capacity: dict[str, int] | None = None, id_col: str =
 
     The assignment is ``(doc_id, old_shard, new_shard, n_bytes, moved)``. A shard is a value of ``shard_col`` (null is the
     shard ``unknown``), its size the UTF-8 bytes of its texts (0 for null ones). Without capacities every shard gets an equal
-    part of the whole and ``slack``. Rows with one id in one shard move together. In the folder lie, partitioned by
+    part of the whole and ``slack``. Rows with one id and one text in one shard move together. A row larger than what any
+    taker has free stays where it is, and a warning says by how many bytes its shard exceeds its capacity. In the folder lie, partitioned by
     ``new_shard``, all rows of the shards that give something up; other shards' files need not be touched, and what
     they receive is added beside them. An empty table has no shards.
     """
     spark = df.sparkSession
     shard = F.coalesce(F.col(f"`{shard_col}`").cast("string"), F.lit("unknown"))
-    spot = F.xxhash64(F.col(f"`{id_col}`")).bitwiseAND(F.lit((1 << 40) - 1))
+    spot = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << 40) - 1))
     narrow = materialize(df.select(F.col(f"`{id_col}`").alias("id"), shard.alias("old"), _size(F.col(f"`{text_col}`")).alias("bytes"), spot.alias("spot")), "reshard")
     sizes = {r["old"]: r["n"] for r in narrow.groupBy("old").agg(F.sum("bytes").alias("n")).collect()}
     total = sum(sizes.values())
@@ -162,7 +190,14 @@ def reshard(df: DataFrame, capacity: dict[str, int] | None = None, id_col: str =
             moves = found
             break
         if per > BLOCKS << 8:
-            raise ValueError("no room for a block; single rows may exceed what a shard has free")
+            moves = choose_what_fits(blocks, capacity)
+            after = dict(sizes)
+            for (a, b), n in moves.items():
+                after[a] -= blocks[a][b]
+                after[n] = after.get(n, 0) + blocks[a][b]
+            over = {n: size - capacity.get(n, 0) for n, size in sorted(after.items()) if size > capacity.get(n, 0)}
+            warnings.warn(f"rows find no room elsewhere; bytes over capacity by shard: {over}", stacklevel=2)
+            break
         per *= 4
     givers = sorted({a for a, _ in moves})
     plan = local_table(spark, [(a, int(b), c, cuts[a]) for (a, b), c in moves.items()], "old string, block long, new string, cuts long")

@@ -419,3 +419,35 @@ def test_adjacent_secrets_are_all_found():
         assert [text[s:e] for _, s, e, _ in see(text)] == want, text
     for text in [*list(cases)[:3], " ".join(keys)]:
         assert sorted(see(text)) == sorted(brute_secrets(text))
+
+
+def _resharded(spark, rows, **kw):
+    got = resharding.reshard(spark.createDataFrame(rows, DOC), **kw)[0].collect()
+    assert Counter((r.doc_id, r.old_shard, r.n_bytes) for r in got) == Counter((i, s, len(t or "")) for i, t, _, s, _ in rows)
+    size = Counter()
+    for r in got:
+        size[r.new_shard] += r.n_bytes
+    return size, {(r.doc_id, r.n_bytes) for r in got if r.moved}
+
+
+def test_resharding_of_rows_too_large_and_repeated_ids(spark):
+    with pytest.warns(UserWarning, match=r"\{'a': 42\}"):
+        assert _resharded(spark, [(1, "x" * 100, "en", "a", 1), (2, "y" * 10, "en", "b", 1)]) == ({"a": 100, "b": 10}, set())
+    with pytest.warns(UserWarning, match=r"\{'a': 26\}"):
+        assert _resharded(spark, [(1, "x" * 100, "en", "a", 1), (3, "z" * 30, "en", "a", 1), (2, "y" * 10, "en", "b", 1)]) == ({"a": 100, "b": 40}, {(3, 30)})
+    for same in (None, 5):
+        size, moved = _resharded(spark, [(same, f"{i:04}" * 10, "en", "hot", 1) for i in range(400)] + [(2, "y" * 10, "en", "b", 1)])
+        assert max(size.values()) <= -(-sum(size.values()) * 105 // 200) and moved
+
+
+def test_blocks_that_fit_keep_to_capacities():
+    for seed in range(200):
+        r = random.Random(seed)
+        blocks = {f"s{i}": {b: r.choice((1, 3, 9, 50, 200)) for b in range(r.randint(1, 9))} for i in range(4)}
+        old = {n: sum(b.values()) for n, b in blocks.items()}
+        cap = {n: -(-sum(old.values()) * 21 // 80) for n in blocks}
+        after = dict(old)
+        for (a, b), n in resharding.choose_what_fits(blocks, cap).items():
+            after[a] -= blocks[a][b]
+            after[n] += blocks[a][b]
+        assert all(after[n] <= max(cap[n], old[n]) for n in blocks)
