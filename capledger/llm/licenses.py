@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_V = r"[,;:]?\s+\(?(?:version|v\.?|ver\.?)?\s*"
+_V = r"(?:[,;:]?\s+\(?(?:version|v\.?|ver\.?)?\s*|[\s-]?v?)"
 _GNU = r"(?:the\s+)?(?:gnu\s+)?"
-_LATER = r"\)?[,;]?\s*(?:\(?\s*(?:or|and)\s+(?:\(?at\s+your\s+option\)?\s+)?(?:any\s+)?(?:later|newer)(?:\s+versions?)?\)?|\+)"
+_LATER = r"\)?[,;]?[\s-]*(?:\(?\s*(?:or|and)[\s-]+(?:\(?at\s+your\s+option\)?\s+)?(?:any\s+)?(?:later|newer)(?:\s+versions?)?\)?|\+)"
 
 #: Identifier, keywords of which a text must hold one, expression of the name, expression of its address (or "").
 NAMES: tuple[tuple[str, str, str, str], ...] = (
@@ -22,7 +22,7 @@ NAMES: tuple[tuple[str, str, str, str], ...] = (
     ("MIT-0", "mit", r"mit(?:-0|\s+no\s+attribution)(?:\s+licen[cs]e)?", r"opensource\.org/licenses?/mit-0"),
     ("Apache-1.0", "apache", r"apache(?:\s+software)?\s+licen[cs]e" + _V + r"1\.0(?!\.?\d)", ""),
     ("Apache-1.1", "apache", r"apache(?:\s+software)?\s+licen[cs]e" + _V + r"1\.1(?!\.?\d)", r"apache\.org/licenses/license-1\.1"),
-    ("Apache-2.0", "apache asl", r"(?:apache(?:\s+software)?(?:\s+licen[cs]e)?" + _V + r"2(?:\.0)?(?!\.?\d)(?:\s+licen[cs]e)?|asl\s*2(?:\.0)?)", r"apache\.org/licenses/license-2\.0"),
+    ("Apache-2.0", "apache asl", r"(?:apache(?:\s+software)?(?:[\s-]+licen[cs]e)?" + _V + r"(?:2\.0|(?<!apache)2)(?!\.?\d)(?:\s+licen[cs]e)?|asl\s*2(?:\.0)?)", r"apache\.org/licenses/license-2\.0"),
     ("GPL-1.0-only", "gpl general", _GNU + r"(?:gpl|general\s+public\s+licen[cs]e)" + _V + r"1(?:\.0)?(?!\.?\d)", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
     ("GPL-2.0-only", "gpl general", _GNU + r"(?:gpl|general\s+public\s+licen[cs]e)(?:" + _V + r"|[\s-]?v)2(?:\.0)?(?!\.?\d)", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
     ("GPL-2.0-or-later", "gpl general", _GNU + r"(?:gpl|general\s+public\s+licen[cs]e)(?:" + _V + r"|[\s-]?v)2(?:\.0)?" + _LATER, ""),
@@ -133,6 +133,25 @@ SENTENCES: tuple[tuple[str, str, str, int], ...] = (
 )
 
 
+#: Identifiers that are as well names of a program's version: taken for a license only where one is declared or granted.
+VERSIONS = ("Python-2.0", "libpng-2.0", "PHP-3.01")
+_END = r"(?![\w+-]|\.\d)"
+
+
+def spdx(i: str) -> tuple[str, ...]:
+    """The SPDX identifiers of a license in small letters, the older ones of the GNU licenses too."""
+    i = i.lower()
+    if i.endswith("-or-later"):
+        return i, i[:-9] + "+"
+    return (i, i[:-5]) if i.endswith("-only") else (i,)
+
+
+#: Between two identifiers of an expression, after the first: words are no identifiers unless the operator is in capitals.
+_STRONG = "|".join(f"(?<={x})" for x in (r"-\d\.\d", r"-\d\.\d\+", "-only", "-or-later", "-clause", "-exception", "0bsd", "mit-0"))
+_WEAK = "|".join(f"(?<={re.escape(x.lower())})" for x, *_ in NAMES if "-" not in x)
+_OPERATOR = r"(?=\)*(?:\s+(?:or|and)\s|\s*/))(?:(?:" + _STRONG + r")\)*(?:\s+(?:or|and)\s+|\s*/\s*)|(?:" + _WEAK + r")\)*\s+(?-i:OR|AND)\s+)"
+
+
 class Rule(NamedTuple):
     name: str
     license: str
@@ -146,8 +165,15 @@ def rules() -> list[Rule]:
     out = []
     for i, words, name, url in NAMES:
         k = tuple(words.split())
-        out.append(Rule(f"{i}.tag", i, ("spdx-license-identifier",), r"spdx-license-identifier:\s*\(?" + re.escape(i.lower()) + r"(?![\w.+-]*\w)", 100))
-        out.append(Rule(f"{i}.grant", i, k, r"(?:licen[cs]ed|released|distributed|published|provided|available|covered|redistribute(?:d)?|used?)\s+(?:by\s+\S+\s+)?under\s+(?:a\s+|an\s+)?(?:the\s+)?(?:(?:terms|conditions)(?:\s+and\s+conditions)?\s+of\s+)?(?:the\s+)?(?:" + name + ")", 90))
+        ids = "(?:" + "|".join(map(re.escape, spdx(i))) + ")" + _END
+        own = (spdx(i)[-1],)
+        out.append(Rule(f"{i}.declared", i, own, r"licen[cs]es?[\"']?\s*(?:=>|[:=])\s*[\"'(\[]*" + ids + r"(?:\s+licen[cs]e)?", 95))
+        if "-" in i and i not in VERSIONS or i == "0BSD":
+            out.append(Rule(f"{i}.id", i, (i.lower(),), r"(?<![\w.+-])" + re.escape(i.lower()) + _END, 82))
+        else:
+            out.append(Rule(f"{i}.operand", i, own, _OPERATOR + r"\(*" + ids, 95))
+        out.append(Rule(f"{i}.tag", i, ("spdx-license-identifier",), r"spdx-license-identifier:\s*\(*(?:" + "|".join(map(re.escape, spdx(i))) + r")(?![\w.+-]*\w)", 100))
+        out.append(Rule(f"{i}.grant", i, k, r"(?:licen[cs]ed|released|distributed|published|provided|available|covered|redistribute(?:d)?|used?)\s+(?:by\s+\S+\s+)?under\s+(?:a\s+|an\s+)?(?:the\s+)?(?:(?:terms|conditions)(?:\s+and\s+conditions)?\s+of\s+)?(?:the\s+)?(?:(?:" + name + r")(?![\w+-])|" + ids + r"(?:\s+licen[cs]e)?|" + name + ")", 90))
         out.append(Rule(f"{i}.name", i, k, r"(?<![a-z0-9])(?:" + name + ")", 80))
         if url:
             out.append(Rule(f"{i}.address", i, (re.match(r"[a-z0-9]+", url.replace("\\", "")).group(),), r"(?:https?://)?(?:www\.)?(?:" + url + r")[^\s<>\"')\]]*", 85))
@@ -220,7 +246,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("rule",
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, rule, start, end, priority, found)`` of every license reference that no other suppresses.
 
-    Expressions see REACH characters to either side of a keyword; case doesn't matter. Null and empty texts have none; a null
+    Names are known in words and as SPDX identifiers; of an SPDX expression every identifier is one reference. Expressions
+    see REACH characters to either side of a keyword; case doesn't matter. Null and empty texts have none; a null
     id is carried on; repeated rows give repeated results; texts of any length are read whole; other columns are ignored.
     """
     words = sorted({k for r in rules() for k in r.keywords}, key=lambda k: (len(k), k))

@@ -451,3 +451,31 @@ def test_blocks_that_fit_keep_to_capacities():
             after[a] -= blocks[a][b]
             after[n] += blocks[a][b]
         assert all(after[n] <= max(cap[n], old[n]) for n in blocks)
+
+
+def test_licenses_by_identifier():
+    see = licenses.finder()
+    cases = {
+        "Licensed under Apache-2.0": ["Apache-2.0"],
+        "license: Apache-2.0": ["Apache-2.0"],
+        "released under GPL-3.0": ["GPL-3.0-only"],
+        "available under the GPL-3.0 license": ["GPL-3.0-only"],
+        "Licensed under GPL-3.0-or-later.": ["GPL-3.0-or-later"],
+        "LGPL-2.1+ code": ["LGPL-2.1-or-later"],
+        "GPLv2, AGPL-3.0-only": ["GPL-2.0-only", "AGPL-3.0-only"],
+        "GFDL-1.3": ["GFDL-1.3-only"],
+        "license = \"MIT\"": ["MIT"],
+        "license: MIT License": ["MIT"],
+        "BSL-1.0 and PSF-2.0": ["BSL-1.0", "PSF-2.0"],
+        "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0-only"],
+        "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "SPDX-License-Identifier: (Apache-2.0 OR MIT) AND ISC": ["Apache-2.0", "MIT", "ISC"],
+        "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR NCSA": ["Apache-2.0", "NCSA"],
+        "Apache-2.0 or MIT": ["Apache-2.0", "MIT"],
+        "apache2 and Apache 2.4.1 run on python-2.0": [],
+        "Harvard or MIT, Ruby and Vim": [],
+    }
+    for text, want in cases.items():
+        assert [h[0] for h in see(text)] == want, (text, see(text))
+        assert see(text) == brute_licenses(text)
