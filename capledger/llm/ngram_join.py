@@ -1,15 +1,18 @@
-"""N-gram Jaccard join: exact all-pairs join of documents whose word n-gram sets have Jaccard similarity >= threshold.
-
-Jaccard distance is a metric, and the join divides that space among pivots. Nearly every document is at distance
-exactly 1 from a randomly drawn document, so pivots drawn at random separate nothing; the pivots here are the documents that
-*hold* the shared n-grams. Every n-gram that two or more documents have elects one pivot among its holders, the same for
-all of them whose sizes are within reach. A document lies in the regions of the pivots its n-grams elect, nearest pivots (most n-grams in common)
-first, and is replicated to so many of them that the n-grams left out are too few to reach the threshold with any
-document: a pair within the radius meets in a region for certain. A region that is still large is divided again by
-pivots of its own, with the triangle inequality deciding which boundary documents are replicated, until the parts
-are small enough to be joined exactly by a matrix product.
-
-Sets hold 64-bit n-gram hashes of which at least 46 bits are kept (more as the input grows).
+"""N-gram Jaccard join: exact join of documents whose word n-gram sets have Jaccard similarity >= threshold.
+
+Jaccard distance is a metric, and the join divides that space among pivots: Voronoi cells, into which windows of the
+triangle inequality replicate boundary documents, divided again until a part fits in one task, where it is joined exactly.
+
+Nearly every document is at distance exactly 1 from a randomly drawn one, and with a radius of 0.4 the window of twice
+the radius lets nearly all of these in, so pivots drawn at random separate nothing at the first level. There the pivots are documents
+that *hold* the n-grams: of each document a prefix of its n-grams in an order common to all is looked at, so long that any
+two documents within the radius have ``k`` of them in common; each n-gram that two documents have there elects one
+pivot among its holders. A document lies in the regions of the pivots it votes for, weightiest pivots first, in so many that the votes
+left out are fewer than ``k``: a pair within the radius meets for certain. Regions too large for a task are divided by
+pivots of their own as Spark jobs (`divide`), with triangle windows; a region that pivots can't separate, as all of it
+lies within one window, is joined in tiles over many tasks. No task holds more than a bounded part of a region.
+
+Documents with one n-gram set are one point of the space, found by a 64-bit fingerprint of the set; n-grams are compared by 48 bits.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from capledger.llm.common import GOLDEN, batches_by_chars, input_bytes, materialize, mix
 
@@ -31,9 +34,13 @@ _STEP = U(0x9E3779B97F4A7C15 | 1)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _CHARS = 1_000_000
-_FLUSH = 1_000_000
+_FLUSH = 2_000_000
 LEAF = 768
-KEEP = 5  # bytes of a hash beside its part
+KEEP = 6  # bytes kept of an n-gram's hash
+VOTES = 0.25  # of a document's n-grams that must be shared within the prefixes
+PART_BYTES, MAX_PARTS = 24_000_000, 1 << 20  # beyond so many parts they grow, with the same results
+ROWS, GRAMS = 2048, 4_000_000  # the most of a region in one task
+PIVOTS, DEPTH = 64, 8
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,185 +89,194 @@ def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return g[new], d[new]
 
 
-def _pack(h: np.ndarray, width: int = KEEP) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _pack(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray((h >> U(64 - 8 * KEEP)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEEP]).tobytes()
 
 
-def _unpack(b: bytes, width: int = KEEP) -> np.ndarray:
-    a = np.frombuffer(b, np.uint8).reshape(-1, width)
+def _unpack(b: bytes) -> np.ndarray:
+    a = np.frombuffer(b, np.uint8).reshape(-1, KEEP)
     out = np.zeros((len(a), 8), np.uint8)
-    out[:, :width] = a
+    out[:, :KEEP] = a
     return out.view("<u8").ravel().astype(U)
 
 
-def _width(bits: int) -> int:
-    """Bytes that hold a part's number and what is kept of a hash beside it."""
-    return min(8, KEEP + (bits + 7) // 8)
+def _need(size, t: float):
+    """The fewest n-grams that a document of this size has in common with any other within the radius."""
+    return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
+
+
+def _longer(size, t: float):
+    """By how many n-grams a prefix is longer than one that has one n-gram in common with any document within the radius."""
+    return np.maximum(1, np.floor(np.asarray(size) * min(VOTES, t))).astype(np.int64)
+
+
+def _votes(size, t: float):
+    """``k``: the fewest n-grams that a document's prefix has in common with that of any other within the radius.
+
+    Two sets of sizes b <= a have o >= t (a + b) / (1 + t) n-grams in common; their prefixes have the first ``longer + o - need`` of these, each
+    its own number. That of the larger is at least ``longer(a)``; that of the smaller, without rounding, v b + o - t b >= v a where v <= t. Rounding takes less than 2.
+    """
+    return np.maximum(1, np.floor(np.asarray(size) * min(VOTES, t)) - 2).astype(np.int64)
+
+
+def _fingerprints(g: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(g ^ GOLDEN), first) + size.astype(U) * GOLDEN)
 
 
-def _pack_set(h: np.ndarray, bits: int) -> bytes:
-    """A sorted set: how many lie in each part, then what is kept of each; where that would be longer, plain."""
-    if bits <= 8 and len(h) > 1 << bits:
-        count = np.bincount((h >> U(8 * KEEP)).astype(np.int64), minlength=1 << bits)
-        if count.max() < 256:
-            return b"\1" + count.astype(np.uint8).tobytes() + _pack(h)
-    return b"\0" + _pack(h, _width(bits))
+def _runs(*cols: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = False
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _unpack_set(b: bytes, bits: int) -> np.ndarray:
-    if b[0]:
-        n = 1 << bits
-        return _unpack(b[1 + n :]) | (np.repeat(np.arange(n, dtype=U), np.frombuffer(b, np.uint8, n, 1)) << U(8 * KEEP))
-    return _unpack(b[1:], _width(bits))
+_PACKED = "part int, batch long, a binary, b binary, c binary, d binary"
+_PACKED_ARROW = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
 
-_PACKED = "part int, source int, keys binary, spread binary, a binary, b binary"
-_PACKED_ARROW = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary()), ("spread", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+def _packed(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
-def _index(n: int, bits: int):
-    """Text rows to packed rows: for each part of the hash space, keys of documents, how many n-grams each has there, the n-grams, and the documents' sizes; and, in parts from 2**bits on, id, size and fingerprint by key."""
+def _index(n: int, t: float, bits: int):
+    """Text rows to packed rows. For each part of the hash space that occurs: 32 bits of the n-grams of the documents' prefixes, and the document of each within the batch. And, in parts from 2**bits on, the batch's documents: fingerprints, sizes, the rows' ids and the document of each."""
     parts = 1 << bits
-    keep = U((1 << 8 * KEEP) - 1)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        g, key, of = (np.concatenate([x[i] for x in held]) for i in (0, 1, 5))
-        part = (g >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), np.int64)
-        o = np.lexsort((key, part))
-        g, key, part, of = g[o], key[o], part[o], of[o]
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            s, e = cut[p], cut[p + 1]
-            if s == e:
-                continue
-            k = key[s:e]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            rows.append((p, 0, k[first].tobytes(), np.diff(np.append(first, len(k))).astype("<u4").tobytes(), _pack(g[s:e] & keep), of[s:e][first].tobytes()))
-        keys, ids, sizes = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
-        home = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        for p in np.unique(home):
-            m = home == p
-            rows.append((parts + int(p), 0, keys[m].tobytes(), b"", ids[m].astype("<i8").tobytes(), sizes[m].astype("<i8").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
+        ids, of, g, d, key, size = (np.concatenate([x[i] for x in held]) for i in range(6))
+        with np.errstate(over="ignore"):
+            at = np.arange(len(ids), dtype=U)
+            batch = mix(np.bitwise_xor.reduce(mix(mix(ids.astype(U)) + key[of] + at * GOLDEN)) + U(len(ids)))
+        u, first, inv = np.unique(key, return_index=True, return_inverse=True)  # one document a set
+        keep = np.zeros(len(key), bool)
+        keep[first] = True
+        m = keep[d]
+        g, d = g[m], inv[d[m]]
+        rows = [(parts + int(batch >> U(64 - bits) if bits else 0), batch.view(np.int64), u.tobytes(), size[first].astype("<u4").tobytes(), ids.astype("<i8").tobytes(), inv[of].astype("<u2").tobytes())]
+        if len(g):
+            o = np.lexsort((mix(g), d))
+            g, d = g[o], d[o]
+            start = _runs(d)
+            many = np.diff(np.append(start, len(d)))
+            rank = np.arange(len(d)) - np.repeat(start, many)
+            m = rank < np.repeat(np.minimum(many, many - _need(many, t) + _longer(many, t)), many)
+            g, d = g[m], d[m]
+            part = (g >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), np.int64)
+            o = np.argsort(part, kind="stable")
+            low, d, part = ((g >> U(32 - bits)) & U(0xFFFFFFFF)).astype("<u4")[o], d[o].astype("<u2"), part[o]
+            cut = np.append(_runs(part), len(part))
+            rows += [(int(part[s]), batch.view(np.int64), low[s:e].tobytes(), d[s:e].tobytes(), b"", b"") for s, e in zip(cut, cut[1:])]
+        yield _packed(rows)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, grams = [], 0
+        held, grams, docs = [], 0, 0
         for batch in it:
             for s, e in batches_by_chars(batch, 1, _CHARS):
-                ids = np.asarray(batch.column(0).slice(s, e - s), dtype=np.int64)
-                g, d = gram_sets(batch.column(1).slice(s, e - s).to_pylist(), n)
-                if not len(g):
-                    continue
-                have, first = np.unique(d, return_index=True)
-                size = np.diff(np.append(first, len(d)))
-                with np.errstate(over="ignore"):
-                    mark = np.add.reduceat(mix(g ^ GOLDEN), first) + size.astype(U)
-                    key = mix(mix(ids[have].astype(U)) + mark)
-                held.append((g, np.repeat(key, size), key, ids[have], size, np.repeat(size, size).astype("<u4")))
-                grams += len(g)
-                if grams >= _FLUSH:
-                    yield from flush(held)
-                    held, grams = [], 0
-        yield from flush(held)
+                for lo in range(s, e, 8192):
+                    hi = min(e, lo + 8192)
+                    ids = np.asarray(batch.column(0).slice(lo, hi - lo), dtype=np.int64)
+                    g, d = gram_sets([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()], n)
+                    size = np.bincount(d, minlength=len(ids))
+                    key = np.zeros(len(ids), U)  # of texts without a word
+                    have = np.flatnonzero(size)
+                    if len(have):
+                        key[have] = _fingerprints(g, np.searchsorted(d, have), size[have])
+                    held.append((ids, np.arange(len(ids)) + docs, g, d + docs, key, size))
+                    grams, docs = grams + len(g), docs + len(ids)
+                    if grams >= _FLUSH or docs > 50_000:
+                        yield from flush(held)
+                        held, grams, docs = [], 0, 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
-def _elect(t_: float, bits: int):
-    """One part of the index: an n-gram is sent to those of its holders that have another of a size within reach, with the pivot that these elect, the smallest key among them.
-
-    Documents whose sizes differ by more than the threshold can't be a pair. Holders sorted by size fall into chains of
-    neighbours within reach, each of which elects for itself; whoever is alone in its chain drops the n-gram.
-    """
+def _elect(bits: int):
+    """One part of the index: each n-gram that two or more documents hold elects one of them, the same for all; documents are told for whom their n-grams vote, and how often."""
     parts = 1 << bits
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column(0)[0].as_py()
         if part >= parts:
             return pa.table([pa.array([part - parts] * t.num_rows, pa.int32()), *t.columns[1:]], schema=_PACKED_ARROW)
-        cols = [c.to_pylist() for c in t.columns[2:]]
-        spread = [np.frombuffer(c, "<u4") for c in cols[1]]
-        key = np.concatenate([np.repeat(np.frombuffer(k, U), c) for k, c in zip(cols[0], spread)])
-        size = np.concatenate([np.repeat(np.frombuffer(z, "<u4"), c) for z, c in zip(cols[3], spread)])
-        g = _unpack(b"".join(cols[2]))
-        o = np.lexsort((key, size, g))
-        g, key, size = g[o], key[o], size[o]
-        same = np.concatenate([[False], (g[1:] == g[:-1]) & (key[1:] == key[:-1])])  # the same row, read twice
-        g, key, size = g[~same], key[~same], size[~same]
-        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (size[:-1] < t_ * size[1:] - 1e-6)]))
+        batches = np.asarray(t.column(1)).astype(U)
+        many = np.asarray(pc.binary_length(t.column(3)), dtype=np.int64) // 2
+        g = np.frombuffer(b"".join(t.column(2).to_pylist()), "<u4")
+        doc = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u2").astype(U)
+        name, of = np.unique(batches, return_inverse=True)
+        who = (np.repeat(of, many).astype(U) << U(16)) | doc
+        o = np.argsort(who, kind="stable")
+        o = o[np.argsort(g[o], kind="stable")]
+        g, who = g[o], who[o]
+        once = _runs(g, who)  # a batch of the same rows may have been read twice
+        g, who = g[once], who[once]
+        first = _runs(g)
         many = np.diff(np.append(first, len(g)))
         held = np.repeat(many > 1, many)
-        pivot = np.repeat(np.minimum.reduceat(key, first), many)[held]
-        g, key = g[held], key[held]
-        o = np.lexsort((g, pivot, key))
-        g, key, pivot = g[o], key[o], pivot[o]
-        home = (key >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-        cut = np.searchsorted(home, np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            s, e = cut[p], cut[p + 1]
-            if s < e:
-                k = key[s:e]
-                f = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                # Of a pivot's key less would do, too: regions that share a name are joined as one, as exactly.
-                rows.append((p, part, k[f].tobytes(), np.diff(np.append(f, len(k))).astype("<u4").tobytes(), _pack(g[s:e]), _pack(pivot[s:e], _width(bits) - 2)))
-        if not rows:
+        if not held.any():
             return _PACKED_ARROW.empty_table()
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
+        with np.errstate(over="ignore"):
+            rank = mix(name[who >> U(16)] + (who & U(0xFFFF)) * GOLDEN)
+        pivot = np.repeat(np.minimum.reduceat(rank, first), many)[held]
+        who = who[held]
+        o = np.lexsort((pivot, who))
+        who, pivot = who[o], pivot[o]
+        first = _runs(who, pivot)
+        count = np.diff(np.append(first, len(who)))
+        who, pivot = who[first], pivot[first]
+        cut = np.append(_runs(who >> U(16)), len(who))
+        rows = []
+        for s, e in zip(cut, cut[1:]):
+            batch = name[who[s] >> U(16)]
+            rows.append((int(batch >> U(64 - bits) if bits else 0), batch.view(np.int64), (who[s:e] & U(0xFFFF)).astype("<u2").tobytes(), _pack(pivot[s:e]), count[s:e].astype("<u4").tobytes(), b""))
+        return pa.Table.from_batches([_packed(rows)])
 
     return run
 
 
-_DOC = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("copies", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("shared", T.IntegerType()), T.StructField("grams", T.BinaryType()), T.StructField("pivots", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-_DOC_ARROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("copies", pa.int32()), ("size", pa.int32()), ("shared", pa.int32()), ("grams", pa.binary()), ("pivots", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
-
-
-def _need(size, t: float):
-    """The fewest n-grams that a document of this size has in common with any other within the radius."""
-    return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
-
-
-def _documents(t_: float, bits: int):
-    """One bucket of documents: those whose shared n-grams can reach the threshold, with these n-grams and the pivots they elect."""
-
-    def run(t: pa.Table) -> pa.Table:
-        info: dict[int, list] = {}
-        ks, gs, ps = [], [], []
-        for _, source, keys, spread, a, b in zip(*(c.to_pylist() for c in t.columns)):
-            k = np.frombuffer(keys, U)
-            if spread:
-                ks.append(np.repeat(k, np.frombuffer(spread, "<u4")))
-                gs.append(_unpack(a) | (U(source) << U(8 * KEEP)))
-                ps.append(_unpack(b, _width(bits) - 2))
-            else:
-                for key, doc, size in zip(k.tolist(), np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist()):
-                    info.setdefault(key, [doc, 0, size])[1] += 1
-        shared: dict[int, tuple] = {}
-        if ks:
-            key, g, pivot = np.concatenate(ks), np.concatenate(gs), np.concatenate(ps)
-            o = np.argsort(key, kind="stable")
-            key, g, pivot = key[o], g[o], pivot[o]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            last = np.append(first[1:], len(key))
-            sizes = np.array([info[k][2] for k in key[first].tolist()])
-            for i in np.flatnonzero((last - first) >= _need(sizes, t_)):
-                s, e = first[i], last[i]
-                p, c = np.unique(pivot[s:e], return_counts=True)
-                shared[int(key[s])] = (np.sort(g[s:e]), p.view(np.int64), c)
-        cols: list[list] = [[] for _ in _DOC_ARROW]
-        for key, (doc, copies, size) in info.items():
-            x = shared.get(key)
-            if x is None and copies < 2:
-                continue
-            row = (np.array([key], U).view(np.int64)[0], doc, copies, size, len(x[0]) if x else 0, _pack_set(x[0], bits) if x else None, x[1].tolist() if x else None, x[2].tolist() if x else None)
-            for c, v in zip(cols, row):
-                c.append(v)
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, _DOC_ARROW)], schema=_DOC_ARROW)
-
-    return run
+_DOC = "key long, doc long, size int, pivots array<long>, counts array<int>"
+_DOC_ARROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("pivots", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+
+
+def _documents(t_: float):
+    """One bucket of batches: a row for each row of text; those whose votes can reach a pair have, once a set, whom they voted for."""
+    return lambda t: _voters(t, t_)
+
+
+def _voters(t: pa.Table, t_: float) -> pa.Table:
+    info: dict[int, tuple] = {}
+    votes: dict[int, list] = {}
+    for batch, a, b, c, d in zip(*(c.to_pylist() for c in t.columns[1:])):
+        if d:
+            info[batch] = (np.frombuffer(a, U), np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<i8"), np.frombuffer(d, "<u2"))
+        else:
+            votes.setdefault(batch, []).append((np.frombuffer(a, "<u2"), _unpack(b), np.frombuffer(c, "<u4").astype(np.int64)))
+    cols: list[list] = [[] for _ in _DOC_ARROW]
+    for batch, (key, size, ids, of) in info.items():
+        sure: dict[int, tuple] = {}
+        if batch in votes:
+            doc, pivot, count = (np.concatenate([v[i] for v in votes[batch]]) for i in range(3))
+            o = np.lexsort((pivot, doc))
+            doc, pivot, count = doc[o], pivot[o], count[o]
+            first = _runs(doc, pivot)
+            doc, pivot, count = doc[first], pivot[first], np.add.reduceat(count, first)
+            start = _runs(doc)
+            total = np.add.reduceat(count, start)
+            end = np.append(start[1:], len(doc))
+            for i in np.flatnonzero(total >= _votes(size[doc[start]], t_)):
+                s, e = start[i], end[i]
+                sure[int(doc[s])] = (pivot[s:e].view(np.int64).tolist(), count[s:e].tolist())
+        for c, v in zip(cols, (key[of].view(np.int64).tolist(), ids.tolist(), size[of].tolist())):
+            c.extend(v)
+        for d in of.tolist():
+            p = sure.pop(d, (None, None))
+            cols[3].append(p[0])
+            cols[4].append(p[1])
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _DOC_ARROW)], schema=_DOC_ARROW)
 
 
 def overlaps(col: np.ndarray, ptr: np.ndarray, width: int, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -289,25 +305,40 @@ def overlaps(col: np.ndarray, ptr: np.ndarray, width: int, rows: np.ndarray, oth
     return out
 
 
-def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (i, j, jaccard), i < j, of one region that reach t, exactly. size: of the whole sets; sets: the n-grams that can be in common."""
-    if len(size) == 2:
-        o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        j = o / (size[0] + size[1] - o)
-        hit = j >= t - 1e-12
-        return np.zeros(int(hit), np.int64), np.ones(int(hit), np.int64), np.full(int(hit), j)
+def space(size: np.ndarray, sets: list[np.ndarray]):
+    """A function that gives the overlaps and distances of some of the sets to others."""
     u, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     name = np.cumsum(df > 1) - 1
     keep = (df > 1)[inv]
     ptr = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], minlength=len(sets)))])
     col, width = name[inv[keep]], int((df > 1).sum())
-    found: list[tuple] = []
 
     def distances(rows, others):
         o = overlaps(col, ptr, width, rows, others)
         return o, 1 - o / (size[rows][:, None] + size[others][None, :] - o)
 
-    def exact(mine: np.ndarray, home: np.ndarray | None, at: int) -> None:
+    return distances
+
+
+def join_sides(size: np.ndarray, sets: list[np.ndarray], t: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``join_region``, for pairs of one of left and one of right."""
+    found: list[tuple] = []
+    cross(left, right, size, space(size, sets), found, t)
+    i, j, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+    return i.astype(np.int64), j.astype(np.int64), v
+
+
+def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (i, j, jaccard), i < j, of one region that reach t, exactly. size: of the whole sets; sets: the n-grams that can be in common."""
+    if len(size) == 2:
+        o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        j = o / (size[0] + size[1] - o)
+        hit = j >= t - 1e-12
+        return np.zeros(int(hit), np.int64), np.ones(int(hit), np.int64), np.full(int(hit), j)
+    found: list[tuple] = []
+    distances = space(size, sets)
+
+    def exact(mine: np.ndarray) -> None:
         for lo in range(0, len(mine), 1024):
             for lo2 in range(lo, len(mine), 1024):
                 a, b = mine[lo : lo + 1024], mine[lo2 : lo2 + 1024]
@@ -340,11 +371,11 @@ def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int =
         if len(edge):
             cross(own, edge, size, distances, found, t)
         if len(own) <= leaf:
-            exact(own, None, 0)
+            exact(own)
             continue
         cells = divide(own, depth)
         if len(cells) == 1 or max(len(c[0]) for c in cells) > 0.9 * len(own):
-            exact(own, None, 0)
+            exact(own)
             continue
         todo += [(c, e, depth + 1) for c, e in cells]
     i, j, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
@@ -364,9 +395,6 @@ def cross(own, edge, size, distances, found, t) -> None:
             found.append((np.minimum(x, y), np.maximum(x, y), v))
 
 
-_PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-
-
 def _components(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     label = np.arange(m)
     while True:
@@ -379,129 +407,272 @@ def _components(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _regions(t: float, bits: int, stars: bool):
-    """Rows sorted by region to pairs: all of them, or (stars) one link from each document to the first of its component in the region."""
-
-    def emit(region: int, docs: np.ndarray, sizes: np.ndarray, whole: np.ndarray, blobs: list[bytes], places: list[list[int]]) -> list[np.ndarray]:
-        """A pair that meets in several regions is that of the smallest."""
-        same: dict[tuple, list[int]] = {}
-        for i, (all_, b) in enumerate(zip(whole.tolist(), blobs)):
-            same.setdefault((b,) if all_ else (b, i), []).append(i)
-        groups = list(same.values())
-        out = []
-        for g in groups:
-            if len(g) > 1 and (stars or min(places[g[0]]) == region):
-                d = np.sort(docs[g])
-                if stars:
-                    out.append((np.full(len(d) - 1, d[0]), d[1:], np.ones(len(d) - 1)))
-                else:
-                    for k in range(len(d) - 1):
-                        out.append((np.full(len(d) - 1 - k, d[k]), d[k + 1 :], np.ones(len(d) - 1 - k)))
-        if len(groups) > 1:
-            rep = [g[0] for g in groups]
-            i, j, v = join_region(sizes[rep].astype(np.int64), [_unpack_set(blobs[r], bits) for r in rep], t)
-            if stars and len(i):
-                root = _components(len(rep), i, j)
-                moved = np.flatnonzero(root != np.arange(len(rep)))
-                low = np.array([docs[g].min() for g in groups])
-                out.append((low[root[moved]], low[moved], np.ones(len(moved))))
-            else:
-                far = [set(places[r]) if len(places[r]) > 1 else None for r in rep]
-                here = np.array([far[x] is None or far[y] is None or min(far[x] & far[y]) == region for x, y in zip(i.tolist(), j.tolist())], bool)
-                i, j, v = i[here], j[here], v[here]
-                single = np.array([len(g) == 1 for g in groups])
-                ones = single[i] & single[j] if len(i) else np.zeros(0, bool)
-                r = np.array(rep)
-                out.append((docs[r[i[ones]]], docs[r[j[ones]]], v[ones]))
-                for x, y, w in zip(i[~ones], j[~ones], v[~ones]):
-                    a, b = docs[groups[x]], docs[groups[y]]
-                    out.append((np.repeat(a, len(b)), np.tile(b, len(a)), np.full(len(a) * len(b), w)))
-        return out
-
-    def batch(out: list) -> pa.RecordBatch:
-        a, b, v = (np.concatenate([o[k] for o in out]) for k in range(3))
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        ok = lo != hi
-        return pa.RecordBatch.from_arrays([pa.array(lo[ok], pa.int64()), pa.array(hi[ok], pa.int64()), pa.array(v[ok], pa.float64())], schema=_PAIR_ARROW)
+def _places(t: float, docs: DataFrame) -> DataFrame:
+    """``(key, size, region, places)``: the regions of each n-gram set, weightiest pivots first, until the votes left out are too few; and all of a set's regions beside each."""
+    once = docs.where("pivots is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("pivots").alias("pivots"), F.first("counts").alias("counts"))
+    vote = once.select("key", "size", F.explode(F.arrays_zip("pivots", "counts")).alias("p")).select("key", "size", F.col("p.pivots").alias("pivot"), F.col("p.counts").alias("c"))
+    weight = vote.groupBy("pivot").agg(F.avg("c").alias("near"), F.count("*").alias("voters")).where("voters > 1")
+    mine = Window.partitionBy("key")
+    ranked = vote.join(weight, "pivot").withColumns({"before": F.sum("c").over(mine.orderBy(F.desc("near"), "pivot").rowsBetween(Window.unboundedPreceding, -1)), "total": F.sum("c").over(mine)})
+    need = F.greatest(F.lit(1), F.floor(F.col("size") * F.lit(min(VOTES, t))) - 2)
+    near = ranked.where(F.col("total") - F.coalesce("before", F.lit(0)) >= need).select("key", "size", F.col("pivot").alias("region"))
+    shared = near.groupBy("region").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_")).where("rows > 1")
+    return near.join(shared, "region").withColumn("places", F.collect_list("region").over(mine))
+
+
+def _bits_of(ids: np.ndarray, size: int) -> np.ndarray:
+    return mix(ids.astype(U) + GOLDEN) & U(size - 1)
+
+
+def _filter(ids: DataFrame, most: int = 1 << 28):
+    """A bitmap of 16 bits an id, 32 MB at most, for passing over rows that need no second look; where it is full, it passes over fewer."""
+    spark = ids.sparkSession
+    size = min(most, 1 << max(10, (16 * ids.count()).bit_length()))
+
+    def words(it):
+        for b in it:
+            at = _bits_of(np.asarray(b.column(0)), size)
+            w, inv = np.unique((at >> U(6)).astype(np.int64), return_inverse=True)
+            bits = np.zeros(len(w), U)
+            np.bitwise_or.at(bits, inv, U(1) << (at & U(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(bits.view(np.int64))], names=["w", "bits"])
+
+    got = ids.mapInArrow(words, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size >> 6, U)
+    table[np.asarray(got.column(0))] = np.asarray(got.column(1)).view(U)
+    return spark.sparkContext.broadcast(table)
+
+
+def _sets(n: int, seen):
+    """Text rows whose id is in the bitmap to (key, size, n-grams), once a set in each batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, held, out, n = None, [], [], 0
+        table = seen.value
+        for batch in it:
+            at = _bits_of(np.asarray(batch.column(0)), len(table) << 6)
+            batch = batch.filter(pa.array((table[at >> U(6)] >> (at & U(63))) & U(1) == 1))
+            for s, e in batches_by_chars(batch, 1, _CHARS):
+                g, d = gram_sets([x or "" for x in batch.column(1).slice(s, e - s).to_pylist()], n)
+                if not len(g):
+                    continue
+                first = _runs(d)
+                size = np.diff(np.append(first, len(d)))
+                key, at = np.unique(_fingerprints(g, first, size), return_index=True)
+                blobs = [_pack(g[first[i] : first[i] + size[i]]) for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(size[at], pa.int32()), pa.array(blobs, pa.binary())], names=["key", "size", "grams"])
+
+    return run
 
-        def close():
-            if len(held) and sum(len(h[0]) for h in held) > 1:
-                out.extend(emit(int(region), *(np.concatenate([h[k] for h in held]) for k in range(3)), *([x for h in held for x in h[k]] for k in (3, 4))))
+
+_UNIT = ["unit", "side", "crossed", "home", "key", "size", "copies", "places", "grams"]
+_CELL = "unit long, home long, key long, size int, copies long, places array<long>, grams binary, cell int, near array<int>"
+_CELL_ARROW = pa.schema([("unit", pa.int64()), ("home", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("copies", pa.int64()), ("places", pa.list_(pa.int64())), ("grams", pa.binary()), ("cell", pa.int32()), ("near", pa.list_(pa.int32()))])
+
+
+def _cells(t: float):
+    """Part of a region and all its pivots: the Voronoi cell of each row, and the later cells whose window (twice the radius) lets it in."""
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _CELL_ARROW.empty_table()
+        pivots = pivots.sort_by("pivot")
+        sets = [_unpack(b) for b in [*rows.column("grams").to_pylist(), *pivots.column("pivot_grams").to_pylist()]]
+        size = np.concatenate([np.asarray(rows.column("size")), np.asarray(pivots.column("pivot_size"))]).astype(np.int64)
+        m = rows.num_rows
+        distances = space(size, sets)
+        home, near = np.zeros(m, np.int32), []
+        for lo in range(0, m, 1024):
+            _, d = distances(np.arange(lo, min(m, lo + 1024)), np.arange(m, len(size)))
+            k = d.argmin(1)
+            home[lo : lo + len(k)] = k
+            in_ = (d <= d.min(1)[:, None] + 2 * (1 - t) + 1e-6) & (np.arange(d.shape[1])[None, :] > k[:, None])
+            near += [np.flatnonzero(x).tolist() for x in in_]
+        cols = [rows.column(f.name) for f in list(_CELL_ARROW)[:7]]
+        return pa.table([*cols, pa.array(home, pa.int32()), pa.array(near, pa.list_(pa.int32()))], schema=_CELL_ARROW)
+
+    return run
+
+
+def _blocks(rows: str, grams: str, most: int, most_grams: int):
+    """Into how many blocks so much is to be cut, so that any two fit in a task."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) * 2 / most), F.ceil(F.col(grams) * 2 / most_grams)).cast("int")
+
+
+def _tiles(rows: DataFrame, stats: DataFrame, most: int, most_grams: int) -> DataFrame:
+    """All of each unit against all, block by block: each row goes to the tiles of its block."""
+    cut = rows.join(stats.select("unit", _blocks("rows", "grams_", most, most_grams).alias("n_")), "unit")
+    cut = cut.withColumn("b_", F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_")).cast("int")).withColumn("j_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)))
+    lo, hi = F.least("b_", "j_"), F.greatest("b_", "j_")
+    return cut.select(F.xxhash64("unit", F.lit("tile"), lo, hi).alias("unit"), F.when((lo < hi) & (F.col("b_") == hi), 1).otherwise(0).alias("side"), (lo < hi).alias("crossed"), *_UNIT[3:])
+
+
+def divide(rows: DataFrame, t: float, most: int = ROWS, most_grams: int = GRAMS, n_pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
+    """Units for tasks out of regions too large for one: Voronoi cells of n_pivots pivots a region, cells against the rows their windows let in, and again for what is still too large.
+
+    A pair within the radius meets in one unit. Where nearly all rows share one cell (pivots separate nothing) the region is cut into tiles.
+    rows: ``unit, home, key, size, copies, places, grams``. The columns of the result are those of ``_UNIT``.
+    """
+    done: list[DataFrame] = []
+    stats = rows.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_"))
+    for level in range(depth + 1):
+        if level == depth:
+            done.append(_tiles(rows, stats, most, most_grams))
+            break
+        first = Window.partitionBy("unit").orderBy(F.xxhash64("key", F.lit(level)), "key")
+        pivots = rows.withColumn("r_", F.row_number().over(first)).where(F.col("r_") <= n_pivots).select(F.col("unit").alias("of"), F.col("key").alias("pivot"), F.col("size").alias("pivot_size"), F.col("grams").alias("pivot_grams"))
+        salts = stats.select("unit", _blocks("rows", "grams_", 2 * most, 2 * most_grams).alias("n_"))
+        left = rows.join(salts, "unit").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(3)), F.col("n_")).cast("int")).drop("n_")
+        right = pivots.join(salts.withColumnsRenamed({"unit": "of", "n_": "m_"}), "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m_") - 1))).drop("m_")
+        cells = materialize(left.groupBy("unit", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(_cells(t), _CELL), "ngram-cells")
+        own = cells.groupBy("unit", "cell").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_"))
+        per = Window.partitionBy("unit")
+        own = materialize(own.withColumns({"stuck": F.max("rows").over(per) > 0.8 * F.sum("rows").over(per), "large": (F.col("rows") > most) | (F.col("grams_") > most_grams)}), "ngram-cell-sizes")
+        stuck = own.where("stuck").groupBy("unit").agg(F.sum("rows").alias("rows"), F.sum("grams_").alias("grams_"))
+        done.append(_tiles(cells.join(stuck.select("unit"), "unit", "left_semi"), stuck, most, most_grams))
+        free = own.where("not stuck").drop("stuck")
+        cell = F.xxhash64("unit", F.lit("cell"), "cell")
+        mine = cells.join(free, ["unit", "cell"]).withColumn("unit", cell)
+        done.append(mine.where("not large").select("unit", F.lit(0).alias("side"), F.lit(False).alias("crossed"), *_UNIT[3:]))
+        edges = cells.join(free.select("unit").distinct(), "unit", "left_semi").withColumn("cell", F.explode("near")).withColumn("unit", cell)
+        sizes = mine.groupBy("unit").agg(F.first("rows").alias("rows"), F.first("grams_").alias("grams_")).select("unit", _blocks("rows", "grams_", most, most_grams).alias("own_"))
+        others = edges.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_")).select("unit", _blocks("rows", "grams_", most, most_grams).alias("edge_"))
+        both = sizes.join(others, "unit")
+        for side, who, n, m in ((0, mine.drop("rows", "grams_"), "own_", "edge_"), (1, edges, "edge_", "own_")):
+            x = who.join(both, "unit").withColumn("a_", F.pmod(F.xxhash64("key", F.lit(5)), F.col(n)).cast("int")).withColumn("b_", F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+            at = ("a_", "b_") if side == 0 else ("b_", "a_")
+            done.append(x.select(F.xxhash64("unit", F.lit("edge"), *at).alias("unit"), F.lit(side).alias("side"), F.lit(True).alias("crossed"), *_UNIT[3:]))
+        if free.where("large").isEmpty():
+            break
+        rows = materialize(mine.where("large").select("unit", *_UNIT[3:]), "ngram-large")
+        stats = rows.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+_FOUND = "a long, b long, jaccard double, links long"
+_FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64()), ("links", pa.int64())])
+
+
+def _joined(t: float, pairs: bool):
+    """Rows sorted by unit to pairs of sets; or, without pairs, to one link from each set to the first of its component in the unit (a, b) and the number of documents that each has within the radius (a, links). A pair that meets in several regions is that of the smallest."""
+
+    def unit(home: int, crossed: bool, side, key, size, copies, places, blobs) -> list[tuple]:
+        _, once = np.unique(np.stack([side.astype(np.int64), key]), axis=1, return_index=True)
+        side, key, size, copies = (x[once] for x in (side, key, size, copies))
+        if len(key) < 2:
+            return []
+        sets, far = [_unpack(blobs[i]) for i in once.tolist()], [places[i] for i in once.tolist()]
+        i, j, v = join_sides(size, sets, t, np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else join_region(size, sets, t)
+        if not len(i):
+            return []
+        many = np.array([len(p) for p in far]) > 1
+        ours = np.ones(len(i), bool)
+        for x in np.flatnonzero(many[i] & many[j]).tolist():
+            ours[x] = min(set(far[i[x]]) & set(far[j[x]])) == home
+        i, j, v = i[ours], j[ours], v[ours]
+        none = lambda n, kind: pa.nulls(n, kind)
+        if pairs:
+            return [(np.minimum(key[i], key[j]), pa.array(np.maximum(key[i], key[j])), pa.array(v), none(len(i), pa.int64()))]
+        root = _components(len(key), i, j)
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        links = np.bincount(i, copies[j], len(key)) + np.bincount(j, copies[i], len(key))
+        some = np.flatnonzero(links)
+        return [(key[moved], pa.array(key[root[moved]]), none(len(moved), pa.float64()), none(len(moved), pa.int64())), (key[some], none(len(some), pa.int64()), none(len(some), pa.float64()), pa.array(links[some].astype(np.int64)))]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out, n = None, [], [], 0
+
+        def close() -> None:
+            if sum(len(h[2]) for h in held) > 1:
+                cols = [np.concatenate([h[k] for h in held]) for k in (2, 3, 4, 5)]
+                out.extend(unit(int(held[0][0]), bool(held[0][1]), *cols, [x for h in held for x in h[6]], [x for h in held for x in h[7]]))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), *(pa.concat_arrays([o[k] for o in out]) for k in (1, 2, 3))], schema=_FOUND_ARROW)
 
         for b in it:
             if not b.num_rows:
                 continue
-            r = np.asarray(b.column(0))
-            docs, sizes, whole, blobs = np.asarray(b.column(1)), np.asarray(b.column(2)), b.column(3).to_numpy(zero_copy_only=False), b.column(5).to_pylist()
-            places = b.column(4).to_pylist()
-            cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
-            for s, e in zip(cuts, cuts[1:]):
-                if r[s] != region:
+            c = {name: b.column(k) for k, name in enumerate(_UNIT)}
+            u = np.asarray(c["unit"])
+            side, key, size, copies = np.asarray(c["side"]), np.asarray(c["key"]), np.asarray(c["size"]).astype(np.int64), np.asarray(c["copies"]).astype(np.float64)
+            cuts = np.append(_runs(u), len(u))
+            for s, e in zip(cuts.tolist(), cuts[1:].tolist()):
+                if u[s] != now:
                     close()
-                    region, held = r[s], []
-                held.append((docs[s:e], sizes[s:e], whole[s:e], blobs[s:e], places[s:e]))
+                    now, held = u[s], []
+                held.append((c["home"][s].as_py(), c["crossed"][s].as_py(), side[s:e], key[s:e], size[s:e], copies[s:e], c["places"].slice(s, e - s).to_pylist(), c["grams"].slice(s, e - s).to_pylist()))
             if sum(len(o[0]) for o in out) > 50_000:
-                yield batch(out)
-                out = []
+                yield batch()
+                out.clear()
         close()
         if out:
-            yield batch(out)
+            yield batch()
 
     return run
 
 
-def _links(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, stars: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, documents table with copies)."""
+def _near(df: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs: bool, most: int, most_grams: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what ``_joined`` finds, a row for each row of text, ``(key, copies, first)``: how many ids each n-gram set has and the least)."""
     spark = df.sparkSession
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("i is not null and t is not null")
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("i is not null")
+    if "Exchange" in src._jdf.queryExecution().executedPlan().toString():
+        src = materialize(src, "ngram-texts")  # batches name rows by their place, which a shuffle that is read again may change
     size = input_bytes(df)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) if size is None else max(8, size // 12_000_000)
-    bits = min(22, int(parts - 1).bit_length())
-    packed = src.mapInArrow(_index(n, bits), _PACKED)
-    elected = packed.groupBy("part").applyInArrow(_elect(threshold, bits), _PACKED)
-    docs = materialize(elected.groupBy("part").applyInArrow(_documents(threshold, bits), _DOC), "ngram-docs")
-    by = Window.partitionBy("pivot")
-    member = docs.where("shared > 0").select("key", "size", F.explode(F.arrays_zip("pivots", "counts")).alias("p")).select("key", "size", F.col("p.pivots").alias("pivot"), F.col("p.counts").alias("c"))
-    # n-grams of pivots that no one else has can't be in common at all.
-    weighed = member.withColumns({"near": F.avg("c").over(by), "members": F.count("*").over(by)}).where("members > 1")
-    ranked = weighed.select(
-        "key", "pivot", "size",
-        F.sum("c").over(_window().rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.sum("c").over(_all()).alias("total"),
-    )
-    need = F.ceil(F.col("size") * F.lit(threshold) - 1e-9)
-    where = ranked.where((F.col("total") >= need) & (F.col("total") - F.coalesce("before", F.lit(0)) >= need)).select("key", F.col("pivot").alias("region"))
-    where = where.withColumn("n", F.count("*").over(Window.partitionBy("region"))).where("n > 1").drop("n")
-    where = where.withColumn("places", F.collect_list("region").over(_all()))
-    rows = where.join(docs.select("key", "doc", "size", (F.col("shared") == F.col("size")).alias("whole"), "grams"), "key").select("region", "doc", "size", "whole", "places", "grams")
-    pairs = rows.repartition("region").sortWithinPartitions("region").mapInArrow(_regions(threshold, bits, stars), "a long, b long, jaccard double")
-    return pairs, docs
-
-
-def _window():
-    return Window.partitionBy("key").orderBy(F.desc("near"), "pivot")
-
-
-def _all():
-    return Window.partitionBy("key")
-
-
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)``, doc_a < doc_b, for every pair of documents with Jaccard similarity of their word n-gram sets >= threshold; each pair once.
-
-    Rows whose id or text is null and texts without a word take part in no pair. A text of fewer than n words has one
-    n-gram, all its words. Rows that repeat an id with the same n-grams are one document; rows with one id and
-    different texts are compared as documents of that id, without being paired with each other. Texts of any length
-    are taken whole. Exact copies are pairs with jaccard 1. Other columns are ignored, whatever their names.
-    An empty table gives an empty result.
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) if size is None else min(MAX_PARTS, max(8, size // PART_BYTES))
+    bits = int(parts - 1).bit_length()
+    elected = src.mapInArrow(_index(n, t, bits), _PACKED).groupBy("part").applyInArrow(_elect(bits), _PACKED)
+    docs = materialize(elected.groupBy("part").applyInArrow(_documents(t), _DOC), "ngram-docs")
+    held = docs.where("size > 0").select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first"))
+    places = materialize(_places(t, docs).join(held, "key"), "ngram-places")
+    seen = _filter(places.select("first").distinct())
+    sets = src.mapInArrow(_sets(n, seen), "key long, size int, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
+    rows = places.join(sets, "key").withColumns({"unit": F.col("region"), "home": F.col("region"), "large": (F.col("rows") > most) | (F.col("grams_") > most_grams)})
+    units = rows.where("not large").select("unit", F.lit(0).alias("side"), F.lit(False).alias("crossed"), *_UNIT[3:])
+    if not places.where((F.col("rows") > most) | (F.col("grams_") > most_grams)).isEmpty():
+        units = units.unionByName(divide(materialize(rows.where("large").select("unit", *_UNIT[3:]), "ngram-large"), t, most, most_grams))
+    found = units.select(_UNIT).repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined(t, pairs), _FOUND)
+    return found, docs, held
+
+
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6, rows_a_task: int = ROWS, grams_a_task: int = GRAMS) -> DataFrame:
+    """``(doc_a, doc_b, jaccard)`` for documents with Jaccard similarity of their word n-gram sets >= threshold: a row for each pair of sets, named by the smallest ids that have them, and for every other id with a set a row (smallest id, id, 1).
+
+    doc_a < doc_b, but that of an id with several texts a pair may name the ids in either order of its sets. Rows with a null id and texts without a word take part in no
+    pair. A text of fewer than n words has one n-gram, all its words. Rows that repeat an id with the same n-grams are one document; an id's different texts are
+    points of their own, and never paired under one id. Texts are taken whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    """
+    found, docs, held = _near(df, id_col, text_col, n, threshold, True, rows_a_task, grams_a_task)
+    name = held.select("key", "first")
+    pairs = found.join(name.withColumnsRenamed({"key": "a", "first": "x"}), "a").join(name.withColumnsRenamed({"key": "b", "first": "y"}), "b").where("x <> y")
+    copies = docs.where("size > 0").select("key", "doc").distinct().join(held.where("copies > 1"), "key").where("doc <> first")
+    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").unionByName(copies.select(F.col("first").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard")))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, most: int, most_grams: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of text with key, doc and size; ``(key, class, links)`` of the sets that have copies or anything within the radius, where class is a struct of the least doc and its key)."""
+    found, docs, held = _near(df, id_col, text_col, n, threshold, False, most, most_grams)
+    found = materialize(found, "ngram-found")
+    roots = connected_components(found.where("b is not null").select("a", "b"))
+    links = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
+    k = held.join(links, F.col("key") == F.col("a"), "left").join(roots, F.col("key") == F.col("id"), "left").where("copies > 1 or links is not null")
+    k = k.select("key", F.coalesce("root", "key").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.struct("first", "key").alias("it"))
+    least = k.groupBy("root").agg(F.min("it").alias("class"))
+    return docs, k.join(least, "root").select("key", "class", "links")
+
+
+def document_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6, rows_a_task: int = ROWS, grams_a_task: int = GRAMS) -> DataFrame:
+    """``(doc_id, class_id, links)``, a row for each id: the smallest id of all documents that are linked with it, directly or over others, by Jaccard similarity >= threshold, and the number of documents that it is linked with directly, exact copies among them.
+
+    A document without links is its own class, so are null texts and texts without a word. A text of fewer than n words has one n-gram, all its words. Rows with a null id
+    are in no result, as nothing names them. Rows that repeat an id with the same n-grams are one document; an id with different texts has the links of all of them,
+    and the smallest of their classes. Texts are taken whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    pairs, docs = _links(df, id_col, text_col, n, threshold, False)
-    if docs.groupBy("doc").count().where("count > 1").isEmpty():  # no id has two texts: each pair comes once
-        return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
-    return pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
+    docs, k = _classes(df, id_col, text_col, n, threshold, rows_a_task, grams_a_task)
+    rows = docs.select("doc", F.when(F.col("size") > 0, F.col("key")).alias("key")).distinct().join(k, "key", "left")
+    return rows.groupBy("doc").agg(F.min(F.coalesce("class.first", "doc")).alias("class_id"), F.sum(F.coalesce("links", F.lit(0))).alias("links")).select(F.col("doc").alias("doc_id"), "class_id", "links")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -521,29 +692,59 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = tuple(state)
 
+def _keyed(n: int, text_at: int):
+    """Rows with the fingerprint of their n-gram set (0 without a word) as a last column."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for s, e in batches_by_chars(b, text_at, _CHARS):
+                g, d = gram_sets([x or "" for x in b.column(text_at).slice(s, e - s).to_pylist()], n)
+                key = np.zeros(e - s, U)
+                if len(g):
+                    first = _runs(d)
+                    key[d[first]] = _fingerprints(g, first, np.diff(np.append(first, len(d))))
+                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns, pa.array(key.view(np.int64))], schema=pa.schema([*(pa.field(f"c{k}", c.type) for k, c in enumerate(b.columns)), pa.field("key", pa.int64())]))
+
+    return run
+
 
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
-    """The rows of df without near copies: of each group of documents linked by pairs within the radius, the one with the smallest id stays, whole and unchanged.
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6, rows_a_task: int = ROWS, grams_a_task: int = GRAMS) -> DataFrame:
+    """The rows of df without near copies: of each group of texts linked by pairs within the radius, the one with the smallest id stays, whole and unchanged.
 
-    Of rows repeating an id with one text, one stays. Rows with a null id or text, or without a word, stay all.
+    Of rows repeating an id with one n-gram set, one stays (any). Where an id has different texts, each is judged by itself. Rows with a null id or text, or without a word, stay all.
+    Columns may have any names.
     """
-    pairs, docs = _links(df, id_col, text_col, n, threshold, True)
-    gone = connected_components(pairs).select(F.col("id").alias("__gone"))
-    again = docs.where("copies > 1").select(F.col("doc").alias("__again")).distinct()
-    left = df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    if again.isEmpty():
-        return left
-    twice = left.join(again, F.col(f"`{id_col}`") == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(again, F.col(f"`{id_col}`") == F.col("__again"), "left_anti").unionByName(twice)
-
-
-def join_sql(n: int = 3, threshold: float = 0.6) -> str:
-    """``ngram_jaccard_join`` for DuckDB, by an inverted list of the n-grams themselves."""
+    docs, k = _classes(df, id_col, text_col, n, threshold, rows_a_task, grams_a_task)
+    rows = docs.where("size > 0").select("doc", "key").join(k, "key")
+    gone = rows.where((F.col("doc") != F.col("class.first")) | (F.col("key") != F.col("class.key"))).select("doc", "key").distinct()
+    again = docs.where("size > 0").groupBy("doc", "key").count().where("count > 1").select("doc", "key")
+    several = docs.groupBy("doc").agg(F.count_distinct("key").alias("n")).where("n > 1").select("doc")
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    i, t = (f"c{[x.lower() for x in df.columns].index(c.lower())}" for c in (id_col, text_col))
+    odd = materialize(again.select("doc").unionByName(several).distinct(), "ngram-odd")
+    if odd.isEmpty():
+        return plain.join(gone.select("doc"), F.col(i).cast("long") == F.col("doc"), "left_anti").toDF(*df.columns)
+    usual = plain.join(gone.select("doc").join(odd, "doc", "left_anti").unionByName(odd), F.col(i).cast("long") == F.col("doc"), "left_anti")
+    rest = plain.join(odd, F.col(i).cast("long") == F.col("doc"), "left_semi")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema) + ", key long"
+    rest = rest.mapInArrow(_keyed(n, int(t[1:])), kind)
+    rest = rest.join(gone, (F.col(i).cast("long") == F.col("doc")) & (rest["key"] == gone["key"]), "left_anti")
+    wordless = rest.where("key = 0").drop("key")
+    return usual.unionByName(wordless).unionByName(rest.where("key <> 0").dropDuplicates([i, "key"]).drop("key")).toDF(*df.columns)
+
+
+def classes_sql(n: int = 3, threshold: float = 0.6) -> str:
+    """``document_classes`` for DuckDB: an inverted list of the n-grams themselves, and the closure of the links."""
     return f"""
-WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o / (x.n + y.n - o)::DOUBLE AS jaccard FROM p JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE o >= {threshold} * (x.n + y.n - o) - 1e-12
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT doc_a, doc_b FROM p JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE o >= {threshold} * (x.n + y.n - o) - 1e-12),
+r AS (SELECT doc_a AS a, doc_b AS b FROM e UNION SELECT r.a, e.doc_b FROM r JOIN e ON r.b = e.doc_a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+l AS (SELECT doc_a, count(*) AS n FROM e GROUP BY doc_a)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.b, d.doc_id)) AS class_id, coalesce(l.n, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN c ON c.a = d.doc_id LEFT JOIN l ON l.doc_a = d.doc_id
 """

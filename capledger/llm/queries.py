@@ -11,7 +11,7 @@ from capledger.llm.chat import format_chats
 from capledger.llm.common import load
 from capledger.llm.licenses import find_licenses
 from capledger.llm.mixing import mix_sources, mix_sql
-from capledger.llm.ngram_join import join_sql, ngram_jaccard_join
+from capledger.llm.ngram_join import classes_sql, document_classes
 from capledger.llm.pieces import sample_pieces
 from capledger.llm.pii import find_pii
 from capledger.llm.quality import quality_scores, scores_sql
@@ -20,7 +20,7 @@ from capledger.llm.secret_scan import find_secrets
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(load(spark, sf_dir, "documents"))
+    return document_classes(load(spark, sf_dir, "documents"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op1_ngram_jaccard_join": join_sql(),
+    "op1_ngram_jaccard_join": classes_sql(),
     "op3_mixing": mix_sql(),
     "op10_quality_rules": scores_sql(),
 }

@@ -64,13 +64,82 @@ def brute_pairs(t=0.6):
     return out
 
 
-def test_join_is_exact(docs):
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.ngram_jaccard_join(docs).collect()}
-    want = brute_pairs()
+def all_pairs(rows):
+    """Pairs of ids out of pairs of representatives and memberships."""
+    copies, out = {}, {}
+    for a, b, j in rows:
+        if j == 1.0:
+            copies.setdefault(a, {a}).add(b)
+    for a, b, j in rows:
+        if j < 1.0:
+            for x, y in itertools.product(copies.get(a, {a}), copies.get(b, {b})):
+                out[min(x, y), max(x, y)] = j
+    for g in copies.values():
+        out |= {p: 1.0 for p in itertools.combinations(sorted(g), 2)}
+    return out
+
+
+@pytest.mark.parametrize("most", [(2048, 4_000_000), (4, 4_000_000), (2048, 300)])
+def test_join_is_exact(docs, most):
+    """In whole regions, and divided by rows or by n-grams into cells and tiles."""
+    rows = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.ngram_jaccard_join(docs, rows_a_task=most[0], grams_a_task=most[1]).collect()]
+    got, want = all_pairs(rows), brute_pairs()
+    assert len(set(rows)) == len(rows)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("most", [2048, 4])
+def test_classes_are_components_with_all_links_counted(docs, most):
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.document_classes(docs, rows_a_task=most).collect()}
+    pairs = brute_pairs()
+    root = {i: i for i, *_ in corpus() if i is not None}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    links = Counter(x for p in pairs for x in p)
+    assert got == {i: (r, links[i]) for i, r in root.items()}
+
+
+def test_prefixes_have_enough_in_common():
+    for t in (0.3, 0.6, 0.8, 0.95):
+        for a in range(1, 150):
+            for b in range(max(1, int(np.ceil(t * a - 1e-9))), a + 1):
+                o = int(np.ceil(t * (a + b) / (1 + t) - 1e-9))
+                if o > b:
+                    continue
+                have = min(int(ngram_join._longer(s, t) + o - ngram_join._need(s, t)) for s in (a, b))
+                assert min(have, o) >= max(ngram_join._votes(a, t), ngram_join._votes(b, t))
+
+
+def test_large_regions_are_divided_into_cells_and_tiles(spark):
+    """Clusters that share a boilerplate, and one that no pivot separates."""
+    r = random.Random(8)
+    rows, plate = [], words(60, r).split()
+    for k in range(6):
+        base = words(90, r).split()
+        for c in range(30):
+            w = list(base)
+            for _ in range(r.randrange(12)):
+                w[r.randrange(len(w))] = r.choice(VOCAB)
+            rows.append((len(rows), " ".join(plate + w)))
+    g, at = ngram_join.gram_sets([t for _, t in rows], 3)
+    s = [frozenset(g[at == k].tolist()) for k in range(len(rows))]
+    want = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.6 - 1e-12}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (12, 40):
+        got = [(q.doc_a, q.doc_b, q.jaccard) for q in ngram_join.ngram_jaccard_join(df, rows_a_task=most).collect()]
+        assert len(got) == len(set(got)) and all_pairs(got).keys() == want
+
+
+def test_ids_with_several_texts(spark):
+    a, b = words(80), words(80)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, None), (4, a), (5, "..."), (5, "..."), (None, a), (6, words(50)), (6, rows_x := words(40)), (6, rows_x)]
+    odd = spark.createDataFrame([(t, i, 1, 2) for i, t in rows], "text string, doc_id long, c0 int, __gone int")
+    left = Counter((r.doc_id, r.text) for r in ngram_join.keep_one_of_each(odd).collect())
+    assert left == Counter([(1, a), (2, b), (4, None), (5, "..."), (5, "..."), (None, a), (6, rows[9][1]), (6, rows_x)])
+
+
 def test_join_keeps_one_of_each_group(docs):
     left = [r.doc_id for r in ngram_join.keep_one_of_each(docs).collect()]
     root = {}
@@ -91,7 +160,8 @@ def test_join_of_nothing_and_clashing_columns(spark, docs):
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], DOC)).count() == 0
     assert ngram_join.keep_one_of_each(spark.createDataFrame([], DOC)).count() == 0
     odd = docs.selectExpr("doc_id", "text", "1 as key", "2 as region", "3 as doc", "'a' as a", "4 as jaccard", "lang", "source", "n_chars")
-    assert ngram_join.ngram_jaccard_join(odd).count() == len(brute_pairs())
+    assert all_pairs([(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.ngram_jaccard_join(odd).collect()]).keys() == brute_pairs().keys()
+    assert ngram_join.document_classes(spark.createDataFrame([], DOC)).count() == 0
     assert ngram_join.keep_one_of_each(odd).columns == odd.columns
 
 
