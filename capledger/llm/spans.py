@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +13,8 @@ Span = tuple[str, int, int, float]
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("found", pa.string())])
 
 
-def scan(df: DataFrame, find: Callable[[], Callable[[str], list[Span]]], gate: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, kind, start, end, score, found)`` of all that a finder sees in each text; the gate runs in the JVM, so most texts never reach Python."""
+def scan(df: DataFrame, find: Callable[[], Callable[[str], list[Span]]], gate: Callable[[Column], Column] | None, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, kind, start, end, score, found)`` of all that a finder sees in each text; a gate, if there is one, runs in the JVM, so that most texts never reach Python."""
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,13 +27,17 @@ def scan(df: DataFrame, find: Callable[[], Callable[[str], list[Span]]], gate: C
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
-    return src.where(gate(F.col("text"))).mapInArrow(run, "doc_id long, kind string, start long, end long, score double, found string")
+    return (src.where(gate(F.col("text"))) if gate else src).mapInArrow(run, "doc_id long, kind string, start long, end long, score double, found string")
 
 
 def disjoint(spans: list[Span]) -> list[Span]:
     """Best score first, then the longer, then the earlier; what overlaps one already taken goes. Sorted by start."""
     taken: list[Span] = []
+    starts: list[int] = []
     for s in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s[1])
+        k = bisect_right(starts, s[1])  # of what is taken, in order of start, only the neighbours can overlap
+        if (k and taken[k - 1][2] > s[1]) or (k < len(taken) and taken[k][1] < s[2]):
+            continue
+        starts.insert(k, s[1])
+        taken.insert(k, s)
+    return taken
