@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capledger.llm.spans import lowered
+
 _V = r"(?:[,;:]?\s+\(?(?:version|v\.?|ver\.?)?\s*|[\s-]?v?)"
 _GNU = r"(?:the\s+)?(?:gnu\s+)?"
 _LATER = r"\)?[,;]?[\s-]*(?:\(?\s*(?:or|and)[\s-]+(?:\(?at\s+your\s+option\)?\s+)?(?:any\s+)?(?:later|newer)(?:\s+versions?)?\)?|\+)"
@@ -129,6 +132,65 @@ SENTENCES: tuple[tuple[str, str, str, int], ...] = (
     ("proprietary", "rights", r"all\s+rights\s+reserved", 10),
     ("proprietary", "confidential", r"proprietary\s+and\s+confidential", 15),
     ("copyright", "copyright", r"copyright\s+(?:\(c\)\s*|©\s*)?\d{4}(?:\s*[-–,]\s*\d{4})*", 5),
+    ("MIT", "permission", r"the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+shall\s+be\s+included\s+in\s+all\s+copies", 72),
+    ("MIT", "holders", r"in\s+no\s+event\s+shall\s+the\s+authors\s+or\s+copyright\s+holders\s+be\s+liable\s+for\s+any\s+claim,\s+damages\s+or\s+other\s+liability", 64),
+    ("MIT", "noninfringement", r"merchantability,\s+fitness\s+for\s+a\s+particular\s+purpose\s+and\s+noninfringement", 62),
+    ("X11", "advertising", r"except\s+as\s+contained\s+in\s+this\s+notice,\s+the\s+names?\s+of\s+[^\n]{1,120}?\s+shall\s+not\s+be\s+used\s+in\s+advertising", 72),
+    ("HPND", "pertaining", r"not\s+be\s+used\s+in\s+advertising\s+or\s+publicity\s+pertaining\s+to\s+distribution\s+of\s+the\s+software", 66),
+    ("ISC", "hereby", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee\s+is\s+hereby\s+granted,\s+provided\s+that", 74),
+    ("ISC", "disclaims", r"the\s+author\s+disclaims\s+all\s+warranties\s+with\s+regard\s+to\s+this\s+software", 64),
+    ("0BSD", "hereby", r"distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee\s+is\s+hereby\s+granted\.(?!\s+provided)", 68),
+    ("BSD-2-Clause", "retain", r"redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+above\s+copyright\s+notice,\s+this\s+list\s+of\s+conditions", 61),
+    ("BSD-2-Clause", "reproduce", r"redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+above\s+copyright\s+notice", 61),
+    ("BSD-4-Clause", "advertising", r"all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software\s+must\s+display", 74),
+    ("BSD-3-Clause-Clear", "patent", r"no\s+express\s+or\s+implied\s+licen[cs]es\s+to\s+any\s+party's\s+patent\s+rights\s+are\s+granted\s+by\s+this\s+licen[cs]e", 75),
+    ("Apache-2.0", "apache", r"licen[cs]ed\s+under\s+the\s+apache\s+licen[cs]e,\s+version\s+2\.0\s+\(the\s+[\"']?licen[cs]e[\"']?\)", 96),
+    ("Apache-2.0", "compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[cs]e", 63),
+    ("Apache-2.0", "basis", r"distributed\s+under\s+the\s+licen[cs]e\s+is\s+distributed\s+on\s+an\s+[\"']as\s+is[\"']\s+basis", 63),
+    ("Apache-2.0", "contributor", r"grant\s+of\s+patent\s+licen[cs]e\.\s+subject\s+to\s+the\s+terms\s+and\s+conditions\s+of\s+this\s+licen[cs]e,\s+each\s+contributor", 70),
+    ("GPL-2.0-or-later", "option", r"either\s+version\s+2\s+of\s+the\s+licen[cs]e,\s+or\s+\(?at\s+your\s+option\)?\s+any\s+later\s+version", 88),
+    ("GPL-3.0-or-later", "foundation", r"gnu\s+general\s+public\s+licen[cs]e\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation,\s+either\s+version\s+3\s+of\s+the\s+licen[cs]e", 92),
+    ("GPL-2.0-only", "gnu", r"gnu\s+general\s+public\s+licen[cs]e,?\s+version\s+2\s+only", 92),
+    ("LGPL-2.1-or-later", "lesser", r"gnu\s+lesser\s+general\s+public\s+licen[cs]e\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation;?,?\s+either\s+version\s+2\.1", 92),
+    ("LGPL-3.0-or-later", "lesser", r"gnu\s+lesser\s+general\s+public\s+licen[cs]e\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation;?,?\s+either\s+version\s+3", 92),
+    ("AGPL-3.0-or-later", "affero", r"gnu\s+affero\s+general\s+public\s+licen[cs]e\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation,?\s+either\s+version\s+3", 92),
+    ("GPL", "hope", r"distributed\s+in\s+the\s+hope\s+that\s+it\s+will\s+be\s+useful,\s+but\s+without\s+any\s+warranty", 40),
+    ("GPL", "received", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+general\s+public\s+licen[cs]e", 41),
+    ("AGPL", "received", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+affero\s+general\s+public\s+licen[cs]e", 42),
+    ("LGPL", "received", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+lesser\s+general\s+public\s+licen[cs]e", 42),
+    ("GPL", "classpath", r"classpath[\s-]+exception", 43),
+    ("GPL-3.0-only", "copyleft", r"the\s+gnu\s+general\s+public\s+licen[cs]e\s+is\s+a\s+free,\s+copyleft\s+licen[cs]e", 71),
+    ("MPL-2.0", "mozilla", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+licen[cs]e,\s+v\.\s+2\.0", 94),
+    ("MPL-1.1", "mozilla", r"the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+mozilla\s+public\s+licen[cs]e\s+version\s+1\.1", 94),
+    ("EPL-2.0", "accompanying", r"this\s+program\s+and\s+the\s+accompanying\s+materials\s+are\s+made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[cs]e\s+2\.0", 94),
+    ("EPL-1.0", "accompanying", r"accompanying\s+materials\s+are\s+made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[cs]e\s+v1\.0", 94),
+    ("CDDL-1.0", "cddl distribution", r"the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+terms\s+of\s+the\s+common\s+development\s+and\s+distribution\s+licen[cs]e", 88),
+    ("BSL-1.0", "boost", r"distributed\s+under\s+the\s+boost\s+software\s+licen[cs]e,\s+version\s+1\.0", 94),
+    ("BSL-1.0", "machine-executable", r"machine-executable\s+object\s+code\s+generated\s+by\s+a\s+source\s+language\s+processor", 70),
+    ("Zlib", "altered", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such", 70),
+    ("Zlib", "misrepresented", r"the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented", 70),
+    ("Unlicense", "anyone", r"anyone\s+is\s+free\s+to\s+copy,\s+modify,\s+publish,\s+use,\s+compile,\s+sell,\s+or\s+distribute\s+this\s+software", 70),
+    ("WTFPL", "want", r"you\s+just\s+do\s+what\s+the\s+f\S{2,4}\s+you\s+want\s+to", 70),
+    ("Beerware", "beer", r"you\s+can\s+buy\s+me\s+a\s+beer\s+in\s+return", 70),
+    ("CC0-1.0", "waive", r"waived\s+all\s+copyright\s+and\s+related\s+or\s+neighbou?ring\s+rights", 70),
+    ("CC-BY-4.0", "attribution", r"this\s+work\s+is\s+licen[cs]ed\s+under\s+a\s+creative\s+commons\s+attribution\s+4\.0", 93),
+    ("CC-BY-SA-4.0", "sharealike", r"this\s+work\s+is\s+licen[cs]ed\s+under\s+a\s+creative\s+commons\s+attribution-sharealike\s+4\.0", 93),
+    ("OFL-1.1", "font", r"this\s+font\s+software\s+is\s+licen[cs]ed\s+under\s+the\s+sil\s+open\s+font\s+licen[cs]e", 93),
+    ("Artistic-2.0", "artistic", r"everyone\s+is\s+permitted\s+to\s+copy\s+and\s+distribute\s+verbatim\s+copies\s+of\s+this\s+artistic\s+licen[cs]e", 60),
+    ("PostgreSQL", "california", r"in\s+no\s+event\s+shall\s+the\s+university\s+of\s+california\s+be\s+liable\s+to\s+any\s+party", 62),
+    ("NCSA", "deal", r"to\s+deal\s+with\s+the\s+software\s+without\s+restriction,\s+including\s+without\s+limitation\s+the\s+rights", 66),
+    ("MIT", "deal", r"to\s+deal\s+in\s+the\s+software\s+without\s+restriction,\s+including\s+without\s+limitation\s+the\s+rights", 66),
+    ("SSPL-1.0", "service", r"make\s+the\s+functionality\s+of\s+the\s+program\s+or\s+a\s+modified\s+version\s+available\s+to\s+third\s+parties\s+as\s+a\s+service", 70),
+    ("BUSL-1.1", "anniversary", r"effective\s+on\s+the\s+change\s+date,\s+or\s+the\s+fourth\s+anniversary", 70),
+    ("Elastic-2.0", "hosted", r"you\s+may\s+not\s+provide\s+the\s+software\s+to\s+third\s+parties\s+as\s+a\s+hosted\s+or\s+managed\s+service", 70),
+    ("MS-PL", "contributor", r"each\s+contributor\s+grants\s+you\s+a\s+non-exclusive,\s+worldwide,\s+royalty-free\s+copyright\s+licen[cs]e\s+to\s+reproduce\s+its\s+contribution", 60),
+    ("proprietary", "unauthori", r"unauthori[sz]ed\s+(?:copying|use|reproduction|distribution)\s+of\s+this\s+(?:file|software|document|material)", 16),
+    ("proprietary", "consent", r"without\s+(?:the\s+)?(?:prior\s+)?(?:express\s+)?written\s+consent\s+of", 14),
+    ("proprietary", "agreement", r"end[\s-]+user\s+licen[cs]e\s+agreement", 18),
+    ("proprietary", "secret", r"(?:contains|constitutes?)\s+(?:confidential\s+and\s+)?trade\s+secrets?\s+of", 16),
+    ("non-commercial", "commercial", r"(?:for\s+)?non-?\s?commercial\s+(?:use|purposes)\s+only", 17),
+    ("research-only", "research", r"for\s+(?:academic\s+(?:and|or)\s+)?research\s+(?:use|purposes)\s+only", 17),
+    ("copyright", "©", r"©\s*(?:copyright\s+)?\d{4}(?:\s*[-–,]\s*\d{4})*", 5),
     ("unknown", "licen", r"(?:licen[cs]ed|released|distributed|available)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?[^\s.,;]{1,40}(?:\s[^\s.,;]{1,40}){0,4}\s+licen[cs]e", 3),
 )
 
@@ -152,12 +214,30 @@ _WEAK = "|".join(f"(?<={re.escape(x.lower())})" for x, *_ in NAMES if "-" not in
 _OPERATOR = r"(?=\)*(?:\s+(?:or|and)\s|\s*/))(?:(?:" + _STRONG + r")\)*(?:\s+(?:or|and)\s+|\s*/\s*)|(?:" + _WEAK + r")\)*\s+(?-i:OR|AND)\s+)"
 
 
+#: Open repetitions in the expressions above, in the bounds they stand for: lines wrap, nobody indents by more than 20.
+_BOUNDS = ((r"\s+", r"\s{1,20}"), (r"\s*", r"\s{0,20}"), (r"[\s-]+", r"[\s-]{1,20}"), (r"[\s-]*", r"[\s-]{0,20}"), (r"[,\s-]+", r"[,\s-]{1,20}"), (r"\S+", r"\S{1,80}"), (r"\)*", r"\){0,4}"), (r"\(*", r"\({0,4}"), (r"[a-z/-]*", r"[a-z/-]{0,60}"), (r"[a-z/]*", r"[a-z/]{0,40}"), (r"[a-z-]+", r"[a-z-]{1,40}"), (r"[0-9./]*", r"[0-9./]{0,20}"), (r"[\w.+-]*", r"[\w.+-]{0,40}"), (r"[+-]+", r"[+-]{1,4}"), (r"[\"'(\[]*", r"[\"'(\[]{0,8}"), (r"\d{4})*", r"\d{4}){0,40}"))
+#: What follows an address, of any length.
+_TAIL = re.compile(r"[^\s<>\"')\]]*")
+#: What a look ahead or behind can see beside a match.
+_SIDE = 128
+
+
+def bounded(pattern: str) -> str:
+    for open_, closed in _BOUNDS:
+        pattern = pattern.replace(open_, closed)
+    return pattern
+
+
 class Rule(NamedTuple):
     name: str
     license: str
     keywords: tuple[str, ...]
     pattern: str
     priority: int
+    tail: bool = False
+
+    def ends(self, text: str, m: re.Match) -> int:
+        return _TAIL.match(text, m.end()).end() if self.tail else m.end()
 
 
 def rules() -> list[Rule]:
@@ -176,9 +256,9 @@ def rules() -> list[Rule]:
         out.append(Rule(f"{i}.grant", i, k, r"(?:licen[cs]ed|released|distributed|published|provided|available|covered|redistribute(?:d)?|used?)\s+(?:by\s+\S+\s+)?under\s+(?:a\s+|an\s+)?(?:the\s+)?(?:(?:terms|conditions)(?:\s+and\s+conditions)?\s+of\s+)?(?:the\s+)?(?:(?:" + name + r")(?![\w+-])|" + ids + r"(?:\s+licen[cs]e)?|" + name + ")", 90))
         out.append(Rule(f"{i}.name", i, k, r"(?<![a-z0-9])(?:" + name + ")", 80))
         if url:
-            out.append(Rule(f"{i}.address", i, (re.match(r"[a-z0-9]+", url.replace("\\", "")).group(),), r"(?:https?://)?(?:www\.)?(?:" + url + r")[^\s<>\"')\]]*", 85))
+            out.append(Rule(f"{i}.address", i, (re.match(r"[a-z0-9]+", url.replace("\\", "")).group(),), r"(?:https?://)?(?:www\.)?(?:" + url + r")", 85, True))
     out += [Rule(f"{i}.text{n}", i, tuple(k.split()), p, pr) for n, (i, k, p, pr) in enumerate(SENTENCES)]
-    return sorted(out, key=lambda r: (-r.priority, r.name))
+    return sorted((r._replace(pattern=bounded(r.pattern)) for r in out), key=lambda r: (-r.priority, r.name))
 
 
 Hit = tuple[str, str, int, int, int]
@@ -187,10 +267,18 @@ Hit = tuple[str, str, int, int, int]
 def resolve(hits: list[Hit]) -> list[Hit]:
     """Precedence is priority, then length, then the earlier, then the rule's name. What lies within a detection that has precedence, or holds one whole, is suppressed; partial overlaps stay."""
     taken: list[Hit] = []
+    starts: list[int] = []
     for h in sorted(set(hits), key=lambda h: (-h[4], h[2] - h[3], h[2], h[1])):
-        if not any((t[2] <= h[2] and h[3] <= t[3]) or (h[2] <= t[2] and t[3] <= h[3]) for t in taken):
-            taken.append(h)
-    return sorted(taken, key=lambda h: (h[2], h[3], h[1]))
+        # None of those taken holds another, so in order of start they are in order of end: only the neighbours count.
+        k = bisect_right(starts, h[2])
+        if k and h[3] <= taken[k - 1][3]:
+            continue
+        k = bisect_left(starts, h[2])
+        if k < len(taken) and taken[k][3] <= h[3]:
+            continue
+        starts.insert(k, h[2])
+        taken.insert(k, h)
+    return taken
 
 
 @functools.lru_cache(1)
@@ -205,34 +293,33 @@ def finder() -> Callable[[str], list[Hit]]:
     for k, ns in by.items():
         machine.add_word(k, ns)
     machine.make_automaton()
-    # Every rule's expression begins near one of its keywords' stretches; trying it there alone keeps long texts cheap.
+    reach = [width(r.pattern) + _SIDE for r in all_rules]
 
     def see(text: str) -> list[Hit]:
-        low = text.lower()
         at: dict[int, list[int]] = {}
-        for end, ns in machine.iter(low):
+        for end, ns in machine.iter(lowered(text)):
             for n in ns:
                 at.setdefault(n, []).append(end)
         hits: list[Hit] = []
-        if len(low) != len(text):
-            at = {n: [] for n in at}
         for n, ends in at.items():
             r, x = all_rules[n], compiled[n]
-            for s, e in windows(ends, len(text)) or [(0, len(text))]:
-                hits += [(r.license, r.name, *m.span(), r.priority) for m in x.finditer(text, s, e)]
+            for s, e in windows(ends, len(text), reach[n]):
+                hits += [(r.license, r.name, m.start(), r.ends(text, m), r.priority) for m in x.finditer(text, s, e)]
         return resolve(hits) if hits else []
 
     return see
 
 
-REACH = 400
+def width(pattern: str) -> int:
+    """The most characters that an expression matches."""
+    return re._parser.parse(pattern, re.I).getwidth()[1]
 
 
-def windows(ends: list[int], size: int) -> list[tuple[int, int]]:
-    """Stretches around keyword hits, merged."""
+def windows(ends: list[int], size: int, reach: int) -> list[tuple[int, int]]:
+    """Stretches around the places where keywords end, merged: a match with such a keyword lies, with all that it looks at, in one."""
     out: list[list[int]] = []
     for e in ends:
-        s, t = max(0, e - REACH), min(size, e + REACH)
+        s, t = max(0, e - reach), min(size, e + reach)
         if out and s <= out[-1][1]:
             out[-1][1] = t
         else:
@@ -246,15 +333,10 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("rule",
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, rule, start, end, priority, found)`` of every license reference that no other suppresses.
 
-    Names are known in words and as SPDX identifiers; of an SPDX expression every identifier is one reference. Expressions
-    see REACH characters to either side of a keyword; case doesn't matter. Null and empty texts have none; a null
-    id is carried on; repeated rows give repeated results; texts of any length are read whole; other columns are ignored.
+    Names are known in words and as SPDX identifiers; of an SPDX expression every identifier is one reference. Each expression
+    has a greatest length and is tried that far around its keywords, an address goes on as long as it does; case doesn't matter. Null and empty texts have none; a null
+    id is carried on; repeated rows give repeated results; texts of any length are read whole; other columns are ignored, whatever their names; ids are integers.
     """
-    words = sorted({k for r in rules() for k in r.keywords}, key=lambda k: (len(k), k))
-    least: list[str] = []
-    for w in words:
-        if not any(x in w for x in least):
-            least.append(w)
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

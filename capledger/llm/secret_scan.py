@@ -15,7 +15,7 @@ from typing import NamedTuple
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from capledger.llm.spans import Span, disjoint, scan
+from capledger.llm.spans import Span, disjoint, lowered, scan
 
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -110,12 +110,6 @@ def value(rule: Rule, m: re.Match) -> tuple[int, int]:
     return m.span(m.lastgroup) if rule.inner else m.span()
 
 
-def lowered(text: str) -> str:
-    """Small letters, each in its place: where the small form of a letter is longer, the letter stays."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-
-
 def finder() -> Callable[[str], list[Span]]:
     machine = ahocorasick.Automaton()
     by_word: dict[str, list[int]] = {}
