@@ -101,27 +101,59 @@ def transfers(old: dict[str, int], capacity: dict[str, int]) -> dict[tuple[str,
     return out
 
 
-def choose(blocks: dict[str, dict[int, int]], capacity: dict[str, int]) -> dict[tuple[str, int], str] | None:
-    """Whole blocks for the flow: from each giver the largest that don't exceed what it must give and the smallest that covers the rest; each to the taker with the most room. None where some block finds no room."""
-    old = {n: sum(b.values()) for n, b in blocks.items()}
-    flow = transfers(old, capacity)
-    room = {n: c - old.get(n, 0) for n, c in capacity.items()}
-    moved: list[tuple[int, str, int]] = []
-    for giver in sorted({a for a, _ in flow}):
-        due = max(sum(x for (a, _), x in flow.items() if a == giver), old[giver] - capacity.get(giver, 0))
-        left = sorted(((size, b) for b, size in blocks[giver].items() if size), reverse=True)
-        for size, b in list(left):
-            if size <= due:
-                moved.append((size, giver, b))
-                left.remove((size, b))
-                due -= size
-        if due > 0:
-            size, b = min(x for x in left if x[0] >= due)
-            moved.append((size, giver, b))
+#: Sums that lie nearer to one another than this part of what is due count as one where there are more of them.
+FINE, SUMS = 1 << 12, 1 << 13
+
+
+def covers(sizes: list[int], due: int, most: int = 64) -> list[list[int]]:
+    """Sets of places in sizes whose sums reach due, those of the smallest sums first.
+
+    Sums up to due are built block by block; exact up to SUMS of them, beyond which sums within due / FINE of one another are taken for one,
+    so that a cover exceeds the smallest by a part of 1 / FINE for each block at most.
+    """
+    below: dict[int, tuple] = {0: ()}
+    over: dict[int, tuple] = {}
+    for k, size in enumerate(sizes):
+        new: dict[int, tuple] = {}
+        for total, chain in below.items():
+            x = total + size
+            if x >= due:
+                if x not in over:
+                    over[x] = (k, chain)
+            elif x not in below:
+                new[x] = (k, chain)
+        below |= new
+        if len(over) > 4 * most:
+            over = dict(sorted(over.items())[:most])
+        if len(below) > SUMS:
+            step, kept = max(1, due // FINE), {}
+            for total in sorted(below, reverse=True):
+                kept.setdefault(total // step, total)
+            below = {t: below[t] for t in kept.values()}
+    out = []
+    for _, chain in sorted(over.items())[:most]:
+        places = []
+        while chain:
+            places.append(chain[0])
+            chain = chain[1]
+        out.append(places)
+    return out
+
+
+def placed(moved: list[tuple[int, str, int]], arcs: dict[tuple[str, str], int], room: dict[str, int]) -> dict[tuple[str, int], str] | None:
+    """A taker for each block: along the arcs of the flow as long as these last, largest blocks first, else where the most room is left; None where some block finds no room."""
+    left, room, out, rest = dict(arcs), dict(room), {}, []
+    for size, giver, b in sorted(moved, reverse=True):
+        arc = max(((n, t) for (g, t), n in left.items() if g == giver and n >= size and room.get(t, 0) >= size), default=None)
+        if arc is None:
+            rest.append((size, giver, b))
+            continue
+        out[giver, b] = arc[1]
+        left[giver, arc[1]] -= size
+        room[arc[1]] -= size
     heap = [(-r, n) for n, r in room.items() if r > 0]
     heapq.heapify(heap)
-    out = {}
-    for size, giver, b in sorted(moved, reverse=True):
+    for size, giver, b in rest:
         if not heap or -heap[0][0] < size:
             return None
         r, n = heapq.heappop(heap)
@@ -130,6 +162,28 @@ def choose(blocks: dict[str, dict[int, int]], capacity: dict[str, int]) -> dict[
     return out
 
 
+def choose(blocks: dict[str, dict[int, int]], capacity: dict[str, int]) -> dict[tuple[str, int], str] | None:
+    """Whole blocks for the flow: of each giver those of the smallest sum that covers what it must give, along the flow's arcs. Where these can't all be placed, the next larger covers are tried; None where none can."""
+    old = {n: sum(b.values()) for n, b in blocks.items()}
+    arcs = transfers(old, capacity)
+    room = {n: c - old.get(n, 0) for n, c in capacity.items()}
+    due = {n: size - capacity.get(n, 0) for n, size in old.items() if size > capacity.get(n, 0)}
+    ways: dict[str, list[list[tuple[int, str, int]]]] = {}
+    for giver in sorted(due):
+        own = sorted(((size, b) for b, size in blocks[giver].items() if size), reverse=True)
+        ways[giver] = [[(own[k][0], giver, own[k][1]) for k in places] for places in covers([size for size, _ in own], due[giver])]
+    at = dict.fromkeys(ways, 0)
+    while True:
+        found = placed([m for g, w in ways.items() for m in w[at[g]]], arcs, room)
+        if found is not None:
+            return found
+        # The next in order of what it adds.
+        more = [(sum(x[0] for x in w[at[g] + 1]) - sum(x[0] for x in w[at[g]]), g) for g, w in ways.items() if at[g] + 1 < len(w)]
+        if not more:
+            return None
+        at[min(more)[1]] += 1
+
+
 def choose_what_fits(blocks: dict[str, dict[int, int]], capacity: dict[str, int]) -> dict[tuple[str, int], str]:
     """As ``choose``, but a block that finds no room stays where it is, so that its shard may keep more than its capacity."""
     old = {n: sum(b.values()) for n, b in blocks.items()}
@@ -160,69 +214,77 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
 
+def _free(names: list[str], wanted: str) -> str:
+    """wanted, with as many underscores as tell it from the names."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+#: Bytes of a file that is written.
+FILE_BYTES = 256 << 20
+
+
 def reshard(df: DataFrame, capacity: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "source", slack: float = SLACK) -> tuple[DataFrame, DataFrame, str]:
     """(assignment of every row, transfers, folder of the rewritten rows).
 
     The assignment is ``(doc_id, old_shard, new_shard, n_bytes, moved)``. A shard is a value of ``shard_col`` (null is the
     shard ``unknown``), its size the UTF-8 bytes of its texts (0 for null ones). Without capacities every shard gets an equal
-    part of the whole and ``slack``. Rows with one id and one text in one shard move together. A row larger than what any
+    part of the whole and ``slack``; capacities that hold less than there is are a ValueError. Rows that are equal in all columns (maps aside) move together. A row larger than what any
     taker has free stays where it is, and a warning says by how many bytes its shard exceeds its capacity. In the folder lie, partitioned by
-    ``new_shard``, all rows of the shards that give something up; other shards' files need not be touched, and what
-    they receive is added beside them. An empty table has no shards.
+    ``new_shard``, all rows of the shards that give something up, with all their columns and ``old_shard``, ``new_shard`` and ``n_bytes``
+    (with underscores at the end where columns have these names); other shards' files need not be touched, and what
+    they receive is added beside them. An empty table has no shards. Columns may have any names.
     """
-    spark = df.sparkSession
-    shard = F.coalesce(F.col(f"`{shard_col}`").cast("string"), F.lit("unknown"))
-    spot = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << 40) - 1))
-    narrow = materialize(df.select(F.col(f"`{id_col}`").alias("id"), shard.alias("old"), _size(F.col(f"`{text_col}`")).alias("bytes"), spot.alias("spot")), "reshard")
+    spark, names = df.sparkSession, df.columns
+    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
+    where = {n.lower(): f"c{k}" for k, n in enumerate(names)}
+    i, text, shard = F.col(where[id_col.lower()]), F.col(where[text_col.lower()]), F.coalesce(F.col(where[shard_col.lower()]).cast("string"), F.lit("unknown"))
+    whole = [F.col(f.name) for f in plain.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    spot = F.xxhash64(*whole).bitwiseAND(F.lit((1 << 40) - 1))
+    narrow = materialize(plain.select(i.alias("id"), shard.alias("old"), _size(text).alias("bytes"), spot.alias("spot")), "reshard")
     sizes = {r["old"]: r["n"] for r in narrow.groupBy("old").agg(F.sum("bytes").alias("n")).collect()}
     total = sum(sizes.values())
     if capacity is None:
         capacity = {n: math.ceil(total * (1 + slack) / len(sizes)) for n in sizes}
-    moves, per, cuts = {}, BLOCKS, {}
-    while transfers(sizes, capacity):
+    moves, per, cuts, after = {}, BLOCKS, {}, dict(sizes)
+    givers = sorted({a for a, _ in transfers(sizes, capacity)})
+    while givers:
         # Blocks of about one size; their number is that of the shards times BLOCKS, whatever the data's size.
-        cuts = {n: max(1, round(size * per * len(sizes) / max(total, 1))) for n, size in sizes.items()}
+        cuts = {n: max(1, round(sizes[n] * per * len(sizes) / max(total, 1))) for n in givers}
         table = local_table(spark, list(cuts.items()), "old string, cuts long")
-        blocks: dict[str, dict[int, int]] = {n: {} for n in sizes}
+        blocks: dict[str, dict[int, int]] = {n: {} if n in cuts else {0: size} for n, size in sizes.items()}
         for r in narrow.join(table, "old").groupBy("old", F.expr("spot % cuts").alias("block")).agg(F.sum("bytes").alias("n")).collect():
             blocks[r["old"]][r["block"]] = r["n"]
-        if (found := choose(blocks, capacity)) is not None:
-            moves = found
-            break
-        if per > BLOCKS << 8:
-            moves = choose_what_fits(blocks, capacity)
-            after = dict(sizes)
-            for (a, b), n in moves.items():
-                after[a] -= blocks[a][b]
-                after[n] = after.get(n, 0) + blocks[a][b]
-            over = {n: size - capacity.get(n, 0) for n, size in sorted(after.items()) if size > capacity.get(n, 0)}
+        found = choose(blocks, capacity)
+        if found is None and per <= BLOCKS << 8:
+            per *= 4
+            continue
+        moves = choose_what_fits(blocks, capacity) if found is None else found
+        for (a, b), n in moves.items():
+            after[a] -= blocks[a][b]
+            after[n] = after.get(n, 0) + blocks[a][b]
+        over = {n: size - capacity.get(n, 0) for n, size in sorted(after.items()) if size > capacity.get(n, 0)}
+        if over:
             warnings.warn(f"rows find no room elsewhere; bytes over capacity by shard: {over}", stacklevel=2)
-            break
-        per *= 4
+        break
     givers = sorted({a for a, _ in moves})
-    plan = local_table(spark, [(a, int(b), c, cuts[a]) for (a, b), c in moves.items()], "old string, block long, new string, cuts long")
+    plan = local_table(spark, [(a, int(b), c) for (a, b), c in moves.items()], "old string, block long, new string")
+    flow = plan.groupBy("old", "new").agg(F.count("*").alias("blocks"))
     cut = local_table(spark, [(g, cuts[g]) for g in givers], "old string, cuts long")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        at = rows.join(cut, "old").withColumn("block", F.expr("spot % cuts"))
-        return at.join(plan.drop("cuts"), ["old", "block"], "left").withColumn("new", F.coalesce("new", "old"))
-
     path = scratch(spark, "shards")
-    given = shard.isin(*givers) if givers else F.lit(False)
-    own = [F.col(f"`{c}`") for c in df.columns if c not in ("old_shard", "new_shard", "n_bytes")]
-    rows = df.where(given).select(*own, F.col(f"`{id_col}`").alias("id"), shard.alias("old"), _size(F.col(f"`{text_col}`")).alias("bytes"), spot.alias("spot")) if givers else None
-    out = "id `doc_id`, old `old_shard`, new `new_shard`, bytes `n_bytes`, moved".replace("`", "")
-    kept = narrow.where(~F.col("old").isin(*givers) if givers else F.lit(True)).withColumns({"new": F.col("old"), "moved": F.lit(False)}).selectExpr(*out.split(", "))
-    flow = plan.groupBy("old", "new").agg(F.count("*").alias("blocks"))
-    if rows is None:
+    kept = narrow.where(~F.col("old").isin(*givers) if givers else F.lit(True)).select(F.col("id").alias("doc_id"), F.col("old").alias("old_shard"), F.col("old").alias("new_shard"), F.col("bytes").alias("n_bytes"), F.lit(False).alias("moved"))
+    if not givers:
         return kept, flow, path
-    names = [c for c in df.columns if c not in ("old_shard", "new_shard", "n_bytes")]
-    done = placed(rows).select(*(F.col(f"`{c}`") for c in names), F.col("old").alias("old_shard"), F.col("new").alias("new_shard"), F.col("bytes").alias("n_bytes"))
-    done.repartition("new_shard", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(16))).write.partitionBy("new_shard").parquet(path)
-    schema = T.StructType([f for f in done.schema.fields])
-    again = spark.read.schema(schema).parquet(path)
-    back = again.select(F.col(f"`{id_col}`").alias("doc_id"), "old_shard", "new_shard", "n_bytes", (F.col("old_shard") != F.col("new_shard")).alias("moved"))
-    return kept.unionByName(back), flow, path
+    slices = local_table(spark, [(n, -(-size // FILE_BYTES) or 1) for n, size in after.items()], "new string, slices long")
+    rows = plain.where(shard.isin(*givers)).withColumns({"old": shard, "bytes": _size(text), "spot": spot}).join(cut, "old")
+    rows = rows.withColumn("block", F.expr("spot % cuts")).join(plan, ["old", "block"], "left").withColumn("new", F.coalesce("new", "old")).join(slices, "new")
+    o, w, z = (_free(names, x) for x in ("old_shard", "new_shard", "n_bytes"))
+    done = rows.repartition("new", F.expr("(spot div 64) % slices")).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), F.col("old").alias(o), F.col("bytes").alias(z), F.col("new").alias(w))
+    done.write.partitionBy(w).parquet(path)
+    back = spark.read.schema(done.schema).parquet(path).toDF(*(f"c{k}" for k in range(len(names))), "old_shard", "n_bytes", "new_shard").withColumn("new_shard", F.coalesce("new_shard", F.lit("")))  # what a file's path has for an empty name is read as null
+    return kept.unionByName(back.select(F.col(where[id_col.lower()]).alias("doc_id"), "old_shard", "new_shard", "n_bytes", (F.col("old_shard") != F.col("new_shard")).alias("moved"))), flow, path
 
 
 def resharded(df: DataFrame, **kw) -> DataFrame:
