@@ -7,15 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LANGUAGES = {
-    "py": "python", "pyi": "python", "sh": "shell", "bash": "shell", "zsh": "shell", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "tsx": "javascript",
-    "ts": "typescript", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "rb": "ruby", "go": "go", "rs": "rust", "html": "html", "css": "css",
-}
-CODE = ("javascript", "python", "shell", "typescript")
-CODE_EXTENSIONS = tuple("bash cjs go js jsx mjs py rb sh ts tsx zsh".split())
-#: Words too common to tell one description from another.
-STOPWORDS = tuple("a an and any are as at be but by can for from has have how in into is it its not of on or that the their them then this to use used using when where which with you".split())
-
+from capledger.functions.vocabulary import CODE, CODE_EXTENSIONS, LANGUAGES, NAMES, SKIPS, STOPWORDS  # noqa: F401
 
 def sha256(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
@@ -40,7 +32,7 @@ def normalize_newlines(t: Column) -> Column:
 
 def is_binary(b: Column) -> Column:
     """A NUL among the first 8192 bytes."""
-    return F.hex(F.substring(b, 1, 8192)).rlike("^(?:..)*?00")
+    return F.contains(F.substring(b, 1, 8192), F.unhex(F.lit("00")))
 
 
 def basename(p: Column) -> Column:
@@ -63,8 +55,8 @@ def extension_of(p: Column) -> Column:
 def language_of(p: Column) -> Column:
     """By the extension as written: ``X.PY`` is no Python here, though ``extension_of`` gives ``py``."""
     table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    name = basename(p)
-    return F.when(name == "Dockerfile", "dockerfile").when(name == "Makefile", "make").otherwise(F.coalesce(F.element_at(table, raw_extension(p)), F.lit("unknown")))
+    names = F.create_map(*(F.lit(x) for kv in NAMES.items() for x in kv))
+    return F.coalesce(F.when(raw_extension(p) == "", F.element_at(names, basename(p))).otherwise(F.element_at(table, raw_extension(p))), F.lit("unknown"))
 
 
 def path_tokens(t: Column) -> Column:
@@ -136,10 +128,33 @@ def line_count(t: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1))).cast("long")
 
 
-def quoted(t: Column, left: str = "<<<", right: str = ">>>") -> Column:
-    """Both delimiters within are broken up, then the text is put between them."""
-    inner = F.replace(F.replace(t, F.lit(left), F.lit("< < <")), F.lit(right), F.lit("> > >"))
-    return F.concat(F.lit(left), inner, F.lit(right))
+LEFT, RIGHT, BROKEN = "<<<CAPLEDGER-UNTRUSTED", "CAPLEDGER-UNTRUSTED>>>", "[capledger: delimiter removed]"
+
+
+def quoted(t: Column) -> Column:
+    """The text on lines of its own between delimiters, none of which is left within it."""
+    inner = F.replace(F.replace(t, F.lit(LEFT), F.lit(BROKEN)), F.lit(RIGHT), F.lit(BROKEN))
+    return F.concat(F.lit(LEFT + "\n"), inner, F.lit("\n" + RIGHT))
+
+
+def delimiters(t: Column) -> Column:
+    """How many delimiters ``quoted`` breaks: the left ones, and the right ones in what is left then."""
+    once = F.replace(t, F.lit(LEFT), F.lit(BROKEN))
+
+    def count(x: Column, of: str) -> Column:
+        return F.size(F.split(x, "\\Q" + of + "\\E", -1)) - 1
+
+    return count(t, LEFT) + count(once, RIGHT)
+
+
+def url_encode(t: Column) -> Column:
+    """Bytes but letters, digits, ``-``, ``.``, ``_`` and ``~`` as percent and two upper case digits; a space is %20."""
+    return F.replace(F.replace(F.replace(F.url_encode(t), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def host_suffix(v: Column, suffixes: list[str]) -> Column:
+    """Whether a host ends in one of the suffixes, as text: ``evilapi.example`` ends in ``api.example``."""
+    return any_of([F.endswith(v, F.lit(s)) for s in suffixes])
 
 
 def wilson(hits: Column, total: Column) -> tuple[Column, Column, Column]:
@@ -154,5 +169,8 @@ def wilson(hits: Column, total: Column) -> tuple[Column, Column, Column]:
 
 
 def skip_class(reason: Column) -> Column:
-    r = F.lower(reason)
-    return F.when(r.contains("timed out") | r.contains("timeout"), "timeout").when(r.contains("rate limit") | r.contains("403"), "rate_limit").when(r.contains("not found") | r.contains("404"), "missing").when(r.contains("symlink"), "symlink").when(r.contains("utf-8"), "encoding").otherwise("other")
+    """A class for why something was passed over, which can be published where the reason can't."""
+    r, out = F.lower(reason), F.lit("other")
+    for needles, name in reversed(SKIPS):
+        out = F.when(any_of([F.contains(r, F.lit(n)) for n in needles]), F.lit(name)).otherwise(out)
+    return out

@@ -6,40 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capledger.functions import text as T
+from capledger.functions.vocabulary import CORE_KEYS, EXECUTABLE, MARKERS, OTHER_MARKERS, QUOTAS, VERSION_KEYS  # noqa: F401
 
-MARKERS = {
-    "credential": ("token =", "api_key", "password"),
-    "network": ("@mail", "http://", "https://"),
-    "process": ("subprocess", "os.system", "!! "),
-    "dynamic_eval": ("eval(", "$$$ "),
-    "obfuscation": ("base64", "%%%"),
-    "filesystem": ("open(", " | "),
-    "license": ("icense", "rights reserved"),
-}
-QUOTAS = {"code_clean": 40, "code_credential": 40, "code_other_marker": 20, "disclosure_shape": 15, "prose_only": 15}
+def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(root, name): for each root a map from values of key to how many rows have them; two levels, so that no group is collected whole."""
+    n = rows.groupBy("root", key).agg(F.count("*").alias("n"))
+    return n.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("n"))))).alias(name))
 
 
-def structure(files: DataFrame) -> DataFrame:
-    """One row a bundle. files: root, size, parsed_as, load_phase."""
+def structure(files: DataFrame, descriptions: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
+    """One row a bundle. files: root, size, parsed_as, load_phase; descriptions: root, description; unresolved: root, reason. With these, the description's bytes and counts of reasons."""
     unread = F.col("load_phase") == "unreferenced"
-    return files.groupBy("root").agg(
+    out = files.groupBy("root").agg(
         F.count("*").alias("files"),
         F.sum("size").alias("total_bytes"),
         F.coalesce(F.sum(F.when(F.col("load_phase") == "reference", F.col("size"))), F.lit(0).cast("long")).alias("reference_bytes"),
         F.coalesce(F.sum(F.when(unread, F.col("size"))), F.lit(0).cast("long")).alias("unreferenced_bytes"),
         F.bool_or(unread).alias("has_unreferenced"),
-        F.bool_or(F.col("parsed_as").isin(*T.CODE)).alias("has_scripts"),
-    )
+        F.bool_or(F.col("parsed_as").isin(*EXECUTABLE)).alias("has_scripts"),
+    ).join(counted(files, "parsed_as", "languages"), "root")
+    if descriptions is not None:
+        out = out.join(descriptions.select("root", F.octet_length("description").cast("long").alias("description_bytes")), "root", "left").fillna(0, ["description_bytes"])
+    if unresolved is not None:
+        out = out.join(counted(unresolved, "reason", "unresolved"), "root", "left").withColumn("unresolved", F.coalesce("unresolved", F.create_map().cast("map<string,long>")))
+    return out
+
+
+def governance(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """(root, has_license, has_version, extra_frontmatter_keys, frontmatter_parsed). files: root, path; heads: root, ok, keys (of the entry document's frontmatter)."""
+    name = F.upper(T.basename(F.col("path")))
+    f = files.groupBy("root").agg(F.bool_or((name == "LICENSE") | F.startswith(name, F.lit("LICENSE."))).alias("has_license"))
+    keys = F.when(F.coalesce("ok", F.lit(False)), F.coalesce("keys", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    h = f.join(heads.select("root", "ok", "keys"), "root", "left").withColumn("k", keys)
+    version = T.any_of([F.array_contains("k", v) for v in VERSION_KEYS])
+    return h.select("root", "has_license", version.alias("has_version"), F.array_sort(F.filter("k", lambda x: ~x.isin(*CORE_KEYS))).alias("extra_frontmatter_keys"), F.coalesce("ok", F.lit(False)).alias("frontmatter_parsed"))
 
 
 def marker_hit(text: Column, name: str) -> Column:
     return T.any_of([T.contains_marker(text, n) for n in MARKERS[name]])
 
 
+def flagged(texts: DataFrame) -> DataFrame:
+    """The rows of texts with a column for each marker in place of the text, so that joins carry flags."""
+    rest = [c for c in texts.columns if c != "text"]
+    return texts.select(*rest, *(F.coalesce(marker_hit(F.col("text"), m), F.lit(False)).alias(m) for m in MARKERS))
+
+
 def lexical(files: DataFrame) -> DataFrame:
-    """(root, marker, hit, only_unreferenced), by one pass over the texts. files: root, load_phase, text."""
+    """(root, marker, hit, only_unreferenced), by one pass over the texts. files: root, load_phase, and text or what ``flagged`` makes of it."""
     seen = F.col("load_phase") != "unreferenced"
-    hits = files.select("root", "load_phase", *(F.coalesce(marker_hit(F.col("text"), m), F.lit(False)).alias(m) for m in MARKERS))
+    hits = flagged(files.select("root", "load_phase", "text")) if "text" in files.columns else files
     wide = hits.groupBy("root").agg(*(F.bool_or(m).alias(m) for m in MARKERS), *(F.bool_or(F.col(m) & seen).alias(m + "_seen") for m in MARKERS))
     rows = F.array(*(F.struct(F.lit(m).alias("marker"), F.col(m).alias("hit"), (F.col(m) & ~F.col(m + "_seen")).alias("only_unreferenced")) for m in MARKERS))
     return wide.select("root", F.explode(rows).alias("x")).select("root", "x.*")
@@ -51,11 +67,15 @@ def stratum(has_code: Column, credential: Column, hidden: Column, other: Column)
 
 
 def draw(items: DataFrame, seed: str, quotas: dict[str, int]) -> DataFrame:
-    """A seeded sample: each stratum in the order of a hash of seed and digest, up to its quota. items: digest (wire), stratum."""
+    """A seeded sample: each stratum in the order of a hash of seed and digest, up to its quota. items: digest (wire), stratum.
+
+    The rank is first held against the largest quota, a literal, by which every task keeps only so many of its rows before they are shuffled.
+    """
     quota = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col("stratum"))
     order = F.sha2(F.concat(F.lit(seed), F.col("digest")), 256)
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(order, "digest"))
-    return items.where("stratum is not null").withColumn("position", rank).where(F.col("position") <= quota)
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("__order", "digest"))
+    ranked = items.where(F.col("stratum").isin(*quotas)).withColumn("__order", order).withColumn("position", rank).where(F.col("position") <= max(quotas.values()))
+    return ranked.where(F.col("position") <= quota).drop("__order")
 
 
 def first_of_each(items: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -64,11 +84,8 @@ def first_of_each(items: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def middle_ppm(values: Column) -> Column:
-    """The middle value, of two their mean cut to a whole."""
-    s = F.sort_array(F.collect_list(values))
-    n = F.size(s)
-    mid = F.floor(n / 2).cast("int")
-    return F.when(n == 0, F.lit(None).cast("long")).when(n % 2 == 1, F.get(s, mid)).otherwise(F.floor((F.get(s, mid - 1) + F.get(s, mid)) / 2).cast("long"))
+    """The middle value, of two their mean cut to a whole: exact, by counts of the distinct values, which whole millionths bound, whatever the number of rows."""
+    return F.floor(F.percentile(values, 0.5)).cast("long")
 
 
 def frequency(items: DataFrame, key: str, per: str) -> DataFrame:

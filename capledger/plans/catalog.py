@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capledger.plans import detection, native, upkeep
+from capledger.plans import detection, judged, native, upkeep
 
-QUERIES: dict = {**native.QUERIES, **detection.QUERIES, **upkeep.QUERIES}
-SQL: dict = {**native.SQL, **detection.SQL, **upkeep.SQL}
+QUERIES: dict = {**native.QUERIES, **detection.QUERIES, **upkeep.QUERIES, **judged.QUERIES}
+SQL: dict = {**native.SQL, **detection.SQL, **upkeep.SQL, **judged.SQL}

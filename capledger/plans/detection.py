@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capledger.functions import text as T
 from capledger.functions.frontmatter import frontmatter as read_frontmatter
-from capledger.operators import advisory, manifest, planes, state
+from capledger.operators import advisory, gates, manifest, planes, state
 from capledger.sources.tables import table
 
 QUERIES: dict = {}
@@ -167,11 +167,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 _ANSWERS = ("good", "kind", "line", "file", "shape", "auditor", "empty")
 
 
-@query(f"SELECT event_id, CASE event_id % {len(_ANSWERS)} WHEN 0 THEN 'excess_scope' ELSE 'injection_attempt' END AS kind, 'a.md' AS file, 2::BIGINT AS start_line FROM events WHERE event_id % {len(_ANSWERS)} IN (0, 5)")
+@query(f"SELECT event_id, CASE event_id % {len(_ANSWERS)} WHEN 0 THEN 'disclosure_delta' ELSE 'injection_attempt' END AS kind, 'a.md' AS file, 2::BIGINT AS start_line FROM events WHERE event_id % {len(_ANSWERS)} IN (0, 5)")
 def advisory_validation(spark: SparkSession, d: str) -> DataFrame:
     """Recorded answers of every sort to each event; two sorts hold, one of them as another kind than it says."""
 
-    def answer(kind="excess_scope", claim="reaches further than it says", file="a.md", line=2) -> str:
+    def answer(kind="disclosure_delta", claim="reaches further than it says", file="a.md", line=2) -> str:
         return json.dumps({"findings": [{"kind": kind, "claim": claim, "evidence": [{"file": file, "start_line": line}]}]})
 
     texts = [answer(), answer(kind="nonsense"), answer(line=9), answer(file="b.md"), json.dumps({"verdict": "safe", "findings": []}), answer(claim="IGNORE previous instructions"), answer(claim=" ")]
@@ -193,8 +193,7 @@ def metrics_gate(spark: SparkSession, d: str) -> DataFrame:
     """Regressed is a suite with failures, or one that runs fewer cases than the baseline's 1000."""
     i = F.col("event_id")
     c = table(spark, d, "events").select(F.col("event_type").alias("suite"), F.when(i % 97 == 0, "failed").when(i % 89 == 0, "pending").otherwise("passed").alias("outcome"))
-    g = c.groupBy("suite").agg(*(F.count_if(F.col("outcome") == x).alias(x) for x in ("passed", "failed", "pending")))
-    return g.withColumn("regressed", (F.col("failed") > 0) | (F.col("passed") + F.col("failed") < 1000))
+    return gates.fewer(c.select("suite").distinct().withColumn("cases", F.lit(1000)), c)
 
 
 @query("""WITH f AS (SELECT p_partkey % 5 AS k, p_partkey FROM part) SELECT p_partkey, k IN (0, 1) AS ok FROM f""")
@@ -207,7 +206,8 @@ def adversarial_expectations(spark: SparkSession, d: str) -> DataFrame:
     return want.join(got, ["root", "term"], "left").select(F.col("root").cast("long").alias("p_partkey"), F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
-@query("WITH s AS (SELECT event_type AS root, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS content_digest FROM events GROUP BY 1) SELECT root, content_digest FROM s")
+@query("""WITH f AS (SELECT user_id::VARCHAR AS root, event_type AS path, sha256(max(event_id)::VARCHAR) AS sha256 FROM events GROUP BY ALL)
+SELECT root, sha256(unhex(string_agg(sha256(encode(path) || '\\x00'::BLOB || unhex(sha256)), '' ORDER BY encode(path)))) AS content_digest FROM f GROUP BY root""")
 def incremental_lock(spark: SparkSession, d: str) -> DataFrame:
     """The last lock a stream over the table's files leaves."""
     from capledger.streaming.incremental import run_once

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capledger.functions import text as T
 from capledger.operators import corpus, graph, state
+from capledger.plans import oracles as O
 from capledger.sources.tables import table
 
 QUERIES: dict = {}
@@ -31,7 +32,7 @@ def _ext(i: Column) -> Column:
 _EXT = "[" + ", ".join(f"'{e}'" for e in EXT) + "][doc_id % 8 + 1]"
 #: A bundle is a source, a file a document, its phase and language follow from the id.
 _FILES = f"""files AS (SELECT source AS root, lang || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.' || {_EXT} AS path, doc_id, text, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256,
-    CASE doc_id % 8 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'shell' WHEN 3 THEN 'javascript' WHEN 4 THEN 'typescript' WHEN 5 THEN 'json' ELSE 'unknown' END AS parsed_as,
+    CASE doc_id % 8 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'shell' WHEN 3 THEN 'javascript' WHEN 4 THEN 'typescript' WHEN 5 THEN 'json' WHEN 6 THEN 'text' ELSE 'unknown' END AS parsed_as,
     CASE doc_id % 3 WHEN 0 THEN 'on_trigger' WHEN 1 THEN 'reference' ELSE 'unreferenced' END AS load_phase, lang FROM documents)"""
 
 
@@ -55,7 +56,7 @@ def inventory_language(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("root", "path", T.extension_of(F.col("path")).alias("extension"), "parsed_as")
 
 
-@query()
+@query("SELECT doc_id, doc_id % 3 = 1 AND octet_length(encode(text)) < 8192 AS binary, doc_id % 3 < 2 AS utf8 FROM documents")
 def binary_and_utf8_flags(spark: SparkSession, d: str) -> DataFrame:
     """Texts as they are, with a NUL put in, and cut within a character."""
     t = F.col("text").cast("binary")
@@ -88,6 +89,16 @@ def path_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(T.path_tokens(F.col("html"))).alias("token"))
 
 
+_NAMED = [(f"d/x.{e}", lang) for lang, es in O.EXTENSIONS.items() for e in es] + [("Dockerfile", "dockerfile"), ("a/Makefile", "make"), ("a.b/Makefile", "make"), ("Dockerfile.md", "markdown"), ("Makefile.x", "unknown"), ("LICENSE", "unknown"), (".md", "markdown"), ("a.py.txt", "text")]
+
+
+@query(f"SELECT o_orderkey, [{O.listed(x for _, x in _NAMED)}][o_orderkey % {len(_NAMED)} + 1] AS language FROM orders")
+def language_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every extension and name that is known, and some that aren't."""
+    path = F.element_at(F.array(*(F.lit(p) for p, _ in _NAMED)), (F.col("o_orderkey") % len(_NAMED) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.language_of(path).alias("language"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'a/' || k WHEN 1 THEN 'c' || k WHEN 4 THEN 'w/' || k WHEN 7 THEN k END AS resolved,
     CASE o_orderkey % 8 WHEN 0 THEN 'a/./' WHEN 1 THEN 'a/..' WHEN 2 THEN 'a/../..' WHEN 3 THEN '' WHEN 4 THEN '' WHEN 5 THEN '~' WHEN 6 THEN 'a' ELSE 'x/y/../..' END AS parent FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k FROM orders)""")
 def path_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -118,14 +129,19 @@ def load_phase(spark: SparkSession, d: str) -> DataFrame:
     return _phases(spark, d)
 
 
-@query("SELECT o_orderkey::VARCHAR AS root, CASE o_orderkey % 4 WHEN 0 THEN '../run' || o_orderkey || '.sh' WHEN 1 THEN '/opt/x' || o_orderkey || '.PY' END AS token FROM orders WHERE o_orderkey % 4 < 2")
+_LEFT = [*O.OUTSIDE, "txt", "tsx", "rb", "go", "PY"]
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, [{O.listed(_LEFT)}][o_orderkey % {len(_LEFT)} + 1] AS e FROM orders)
+SELECT o_orderkey::VARCHAR AS root, CASE o_orderkey % 4 WHEN 0 THEN '../run' || o_orderkey ELSE '/opt/x' || o_orderkey END || '.' || e AS token FROM x WHERE o_orderkey % 4 < 2 AND lower(e) IN ({O.listed(O.OUTSIDE)})""")
 def escaping_refs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
-    text = F.element_at(F.array(F.concat(F.lit("run `../run"), k, F.lit(".sh` now")), F.concat(F.lit("python /opt/x"), k, F.lit(".PY, a/b.py")), F.concat(F.lit("read ../notes"), k, F.lit(".txt")), F.concat(F.lit("bin/"), k, F.lit(".py"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    e = F.element_at(F.array(*map(F.lit, _LEFT)), (F.col("o_orderkey") % len(_LEFT) + 1).cast("int"))
+    text = F.element_at(F.array(F.concat(F.lit("run `../run"), k, F.lit("."), e, F.lit("` now")), F.concat(F.lit("python /opt/x"), k, F.lit("."), e, F.lit(", a/b.py")), F.concat(F.lit("read ../notes"), k, F.lit(".csv")), F.concat(F.lit("bin/"), k, F.lit(".py"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return graph.escaping_refs(table(spark, d, "orders").select(k.alias("root"), text.alias("text")))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = O.listed(O.STOP)
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})))), ' ') AS terms FROM documents")
@@ -177,25 +193,28 @@ UNION ALL SELECT root, 'capability_removed', unnest(list_filter(bt, lambda x: NO
 UNION ALL SELECT root, 'content_changed', NULL, bd, ad FROM j WHERE bd <> ad)"""
 
 
-def _caps(doc: DataFrame) -> DataFrame:
-    root = F.concat("source", F.lit("-"), "lang").alias("root")
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document: hash and terms, so that joins carry no text."""
     terms = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(m)), F.lit(t)) for t, m in _TERM)))
-    return doc.select(root, F.explode(terms).alias("term")).distinct()
+    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("-"), "lang").alias("root"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("path"), T.sha256(F.col("text")).alias("sha256"), terms.alias("terms"))
+
+
+def _caps(facts: DataFrame) -> DataFrame:
+    return facts.select("root", F.explode("terms").alias("term")).distinct()
 
 
-def _lock(doc: DataFrame) -> DataFrame:
-    f = doc.select(F.concat("source", F.lit("-"), "lang").alias("root"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("path"), T.sha256(F.col("text")).alias("sha256"))
-    return state.build_lock(state.content_digest(f, "root"), _caps(doc))
+def _lock(facts: DataFrame) -> DataFrame:
+    return state.build_lock(state.content_digest(facts, "root"), _caps(facts))
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents")
-    return state.diff_locks(_lock(doc.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")), _lock(doc))
+    f = _facts(spark, d)
+    return state.diff_locks(_lock(f.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")), _lock(f))
 
 
 @query(_LOCKS + " SELECT root, content_digest, array_to_string(terms, ',') AS capabilities FROM a")
 def lock_build(spark: SparkSession, d: str) -> DataFrame:
-    return _lock(table(spark, d, "documents")).withColumn("capabilities", F.array_join("capabilities", ","))
+    return _lock(_facts(spark, d)).withColumn("capabilities", F.array_join("capabilities", ","))
 
 
 @query(_DIFF + " SELECT * FROM c")
@@ -222,7 +241,7 @@ WHERE term NOT IN ('net.egress') AND NOT (term = 'env.read.secret' AND root LIKE
 
 
 def _violations(spark: SparkSession, d: str) -> DataFrame:
-    caps = _caps(table(spark, d, "documents"))
+    caps = _caps(_facts(spark, d))
     state.check_policy("process.exec net.egress env.read.secret".split())
     roots = caps.select("root").distinct()
     own = roots.where("root like '%-en'").select("root", F.lit("env.read.secret").alias("term")).unionByName(roots.where("root like 'src1%'").select("root", F.lit("process.exec").alias("term")))
@@ -244,9 +263,13 @@ def ci_outcome(spark: SparkSession, d: str) -> DataFrame:
 # ---- corpus
 @query(f"""WITH {_FILES} SELECT root, count(*) AS files, sum(size)::BIGINT AS total_bytes, coalesce(sum(size) FILTER (WHERE load_phase = 'reference'), 0)::BIGINT AS reference_bytes,
     coalesce(sum(size) FILTER (WHERE load_phase = 'unreferenced'), 0)::BIGINT AS unreferenced_bytes, bool_or(load_phase = 'unreferenced') AS has_unreferenced,
-    bool_or(parsed_as IN ('python', 'shell', 'javascript', 'typescript')) AS has_scripts FROM files GROUP BY root""")
+    bool_or(parsed_as IN ('python', 'shell', 'javascript', 'typescript', 'ruby', 'rust', 'go')) AS has_scripts, max(l.languages) AS languages, max(octet_length(encode(root)))::BIGINT AS description_bytes
+    FROM files JOIN (SELECT root, string_agg(parsed_as || '=' || n, ',' ORDER BY parsed_as) AS languages FROM (SELECT root, parsed_as, count(*) AS n FROM files GROUP BY ALL) GROUP BY root) l USING (root) GROUP BY root""")
 def structure_measures(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.structure(files(spark, d))
+    """A source's own name stands for its description."""
+    f = files(spark, d)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("languages")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return corpus.structure(f, f.select("root", F.col("root").alias("description")).distinct()).withColumn("languages", text)
 
 
 def _re(needle: str) -> str:
@@ -256,20 +279,44 @@ def _re(needle: str) -> str:
     return f"regexp_matches(text, '{re.escape(needle)}{end}')".replace("\\ ", " ").replace("\\@", "@").replace("\\!", "!").replace("\\=", "=").replace("\\%", "%").replace("\\/", "/").replace("\\:", ":")
 
 
-_HIT = {m: "(" + " OR ".join(map(_re, ns)) + ")" for m, ns in corpus.MARKERS.items()}
-_LEX = f"WITH {_FILES}, lex AS (" + " UNION ALL ".join(f"SELECT root, '{m}' AS marker, bool_or({h}) AS hit, bool_or({h}) AND NOT bool_or({h} AND load_phase <> 'unreferenced') AS only_unreferenced FROM files GROUP BY root" for m, h in _HIT.items()) + ")"
+_HIT = {m: "(" + " OR ".join(map(_re, ns)) + ")" for m, ns in O.NEEDLES.items()}
+#: Documents with something at their end that is, or only looks like, one of the needles.
+_SEEN = f"{_FILES.replace('files AS', 'plain AS')}, files AS (SELECT * REPLACE (text || ' ' || [{O.listed(O.SHOWN)}][doc_id % {len(O.SHOWN)} + 1] AS text) FROM plain)"
+_LEX = f"WITH {_SEEN}, lex AS (" + " UNION ALL ".join(f"SELECT root, '{m}' AS marker, bool_or({h}) AS hit, bool_or({h}) AND NOT bool_or({h} AND load_phase <> 'unreferenced') AS only_unreferenced FROM files GROUP BY root" for m, h in _HIT.items()) + ")"
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.element_at(F.array(*map(F.lit, O.SHOWN)), (F.col("doc_id") % len(O.SHOWN) + 1).cast("int"))
+    return files(spark, d).withColumn("text", F.concat("text", F.lit(" "), shown))
 
 
 @query(_LEX + " SELECT * FROM lex")
 def lexical_markers(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.lexical(files(spark, d))
+    return corpus.lexical(_marked(spark, d))
+
+
+@query(f"WITH {_SEEN} SELECT doc_id, " + ", ".join(f"{h} AS {m}" for m, h in _HIT.items()) + " FROM files")
+def marked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each marker in each text by itself."""
+    return corpus.flagged(_marked(spark, d).select("doc_id", "text"))
+
 
+_PATHS = ("LICENSE", "docs/license.txt", "LICENSES.md", "a/LICENSE.md", "notes.md", "unlicense")
+_KEYS = ("name", "description", "version", "license", "schema_version", "metadata", "revision", "allowed-tools")
 
-@query("""WITH k AS (SELECT source AS root, bool_or(contains(lower(text), 'license')) AS has_license, bool_or(regexp_matches(text, '[vV]ersion')) AS has_version, list_sort(list_distinct(list(lang))) AS langs FROM documents GROUP BY 1)
-SELECT root, has_license, has_version, array_to_string(list_filter(langs, lambda x: x NOT IN ('en', 'de')), ',') AS extra_keys FROM k""")
+
+@query(f"""WITH k AS (SELECT source AS root, bool_or([{O.listed(_PATHS)}][doc_id % 6 + 1] IN ('LICENSE', 'docs/license.txt', 'a/LICENSE.md')) AS has_license, min(doc_id) % 3 > 0 AS ok,
+    list_distinct(list([{O.listed(_KEYS)}][n_chars % 8 + 1])) AS keys FROM documents GROUP BY 1)
+SELECT root, has_license, ok AND (list_contains(keys, 'version') OR list_contains(keys, 'revision') OR list_contains(keys, 'schema_version')) AS has_version, ok AS frontmatter_parsed,
+    CASE WHEN ok THEN array_to_string(list_sort(list_filter(keys, lambda x: x NOT IN ('name', 'description'))), ',') ELSE '' END AS extra_keys FROM k""")
 def governance(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").groupBy(F.col("source").alias("root")).agg(F.bool_or(F.contains(F.lower("text"), F.lit("license"))).alias("has_license"), F.bool_or(F.col("text").rlike("[vV]ersion")).alias("has_version"), F.array_sort(F.collect_set("lang")).alias("keys"))
-    return g.select("root", "has_license", "has_version", F.array_join(F.array_except("keys", F.array(F.lit("en"), F.lit("de"))), ",").alias("extra_keys"))
+    """A source's files have names by their ids; its frontmatter has a key for each length of a text modulo 8, and can't be read in a third of the sources."""
+    doc = table(spark, d, "documents")
+    f = doc.select(F.col("source").alias("root"), F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 6 + 1).cast("int")).alias("path"))
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("n_chars") % 8 + 1).cast("int"))
+    heads = doc.groupBy(F.col("source").alias("root")).agg((F.min("doc_id") % 3 > 0).alias("ok"), F.collect_set(key).alias("keys"))
+    g = corpus.governance(f, heads)
+    return g.select("root", "has_license", "has_version", "frontmatter_parsed", F.array_join("extra_frontmatter_keys", ",").alias("extra_keys"))
 
 
 _PCT = "CASE WHEN {d} = 0 THEN {n} || '/0 (n/a)' ELSE {n} || '/' || {d} || ' (' || ({n} * 1000 // {d}) // 10 || '.' || ({n} * 1000 // {d}) % 10 || '%)' END"
@@ -288,7 +335,7 @@ SELECT source, CASE WHEN len(l) % 2 = 1 THEN l[len(l) // 2 + 1] ELSE (l[len(l) /
 def description_share(spark: SparkSession, d: str) -> DataFrame:
     ppm = T.share_ppm(F.octet_length(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))), F.octet_length("text"))
     s = table(spark, d, "documents").select("source", ppm.alias("ppm"))
-    return s.groupBy("source").agg(corpus.middle_ppm(F.col("ppm")).alias("median_ppm"), F.size(F.collect_list("ppm")).alias("n"))
+    return s.groupBy("source").agg(corpus.middle_ppm(F.col("ppm")).alias("median_ppm"), F.count("ppm").cast("int").alias("n"))
 
 
 @query("WITH f AS (SELECT lang, count(DISTINCT source) AS bundles FROM documents GROUP BY lang), t AS (SELECT count(DISTINCT source) AS total FROM documents) SELECT lang, bundles, bundles * 100 // total >= 5 AS common FROM f, t")
@@ -310,25 +357,21 @@ def dominant_source(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.min_by(F.struct("source", "n"), F.struct(-F.col("n"), "source")).alias("x"), F.sum("n").alias("total")).select("x.source", "x.n", (F.col("x.n") * 2 > F.col("total")).alias("dominates"))
 
 
-_REASONS = ("Timed out after 5s", "API rate limit", "HTTP 404: Not Found", "symlink leaves the root", "name is not UTF-8", "disk full")
-
-
-@query("SELECT ['timeout', 'rate_limit', 'missing', 'symlink', 'encoding', 'other'][event_id % 6 + 1] AS class, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT [{O.listed(c for _, c in O.REASONS)}][event_id % {len(O.REASONS)} + 1] AS class, count(*) AS n FROM events GROUP BY 1")
 def skip_classes(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.element_at(F.array(*map(F.lit, _REASONS)), (F.col("event_id") % 6 + 1).cast("int"))
+    reason = F.element_at(F.array(*(F.lit(r) for r, _ in O.REASONS)), (F.col("event_id") % len(O.REASONS) + 1).cast("int"))
     return table(spark, d, "events").select(T.skip_class(reason).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-_STRATA = f"""WITH {_FILES}, s AS (SELECT 'sha256:' || sha256 AS digest, doc_id, CASE
+_STRATA = f"""WITH {_SEEN}, s AS (SELECT 'sha256:' || sha256 AS digest, doc_id, CASE
     WHEN code AND cred AND load_phase = 'unreferenced' THEN 'disclosure_shape' WHEN code AND cred THEN 'code_credential' WHEN code AND other THEN 'code_other_marker' WHEN code THEN 'code_clean' WHEN NOT cred AND NOT other THEN 'prose_only' END AS stratum
-    FROM (SELECT *, parsed_as IN ('python', 'shell', 'javascript', 'typescript') AS code, {_HIT['credential']} AS cred, ({_HIT['process']} OR {_HIT['dynamic_eval']} OR {_HIT['obfuscation']}) AS other FROM files))"""
+    FROM (SELECT *, parsed_as IN ('python', 'shell', 'javascript', 'typescript') AS code, {_HIT['credential_paths']} AS cred, ({_HIT['secret_env']} OR {_HIT['dynamic_eval']} OR {_HIT['agent_config_write']} OR {_HIT['install_fetch']} OR {_HIT['encoding_chain']}) AS other FROM files))"""
 
 
 def _strata(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d)
-    t = F.col("text")
-    other = corpus.marker_hit(t, "process") | corpus.marker_hit(t, "dynamic_eval") | corpus.marker_hit(t, "obfuscation")
-    return f.select(T.wire(F.col("sha256")).alias("digest"), "doc_id", corpus.stratum(F.col("parsed_as").isin(*T.CODE), corpus.marker_hit(t, "credential"), F.col("load_phase") == "unreferenced", other).alias("stratum"))
+    f = corpus.flagged(_marked(spark, d))
+    other = T.any_of([F.col(m) for m in corpus.OTHER_MARKERS])
+    return f.select(T.wire(F.col("sha256")).alias("digest"), "doc_id", corpus.stratum(F.col("parsed_as").isin(*T.CODE), F.col("credential_paths"), F.col("load_phase") == "unreferenced", other).alias("stratum"))
 
 
 @query(_STRATA + " SELECT stratum, count(*) AS population FROM s GROUP BY stratum")
@@ -336,7 +379,7 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
     return _strata(spark, d).groupBy("stratum").agg(F.count("*").alias("population"))
 
 
-@query(_STRATA + f", u AS (SELECT digest, min(doc_id) AS doc_id, min_by(stratum, doc_id) AS stratum FROM s GROUP BY digest), r AS (SELECT digest, stratum, doc_id, row_number() OVER (PARTITION BY stratum ORDER BY sha256('2026-08' || digest), digest)::INTEGER AS position FROM u WHERE stratum IS NOT NULL) SELECT * FROM r WHERE position <= CASE stratum {' '.join(f"WHEN '{k}' THEN {v}" for k, v in corpus.QUOTAS.items())} END")
+@query(_STRATA + f", u AS (SELECT digest, min(doc_id) AS doc_id, min_by(struct_pack(s := stratum), doc_id).s AS stratum FROM s GROUP BY digest), r AS (SELECT digest, stratum, doc_id, row_number() OVER (PARTITION BY stratum ORDER BY sha256('2026-08' || digest), digest)::INTEGER AS position FROM u WHERE stratum IS NOT NULL) SELECT * FROM r WHERE position <= {O.QUOTA}")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     first = corpus.first_of_each(_strata(spark, d), "digest", ["doc_id"])
     return corpus.draw(first, "2026-08", corpus.QUOTAS).select("digest", "stratum", "doc_id", "position")
@@ -357,8 +400,9 @@ _CELLS = "WITH cells AS (" + " UNION ALL ".join(f"SELECT '{t}' AS term, contains
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    rows = F.array(*(F.struct(F.lit(t).alias("term"), F.contains("text", F.lit(m)).alias("predicted"), F.expr(label).alias("actual")) for t, m, label in _SCORED))
+    flags = table(spark, d, "documents").select("doc_id", "lang", F.array(*(F.contains("text", F.lit(m)) for _, m, _ in _SCORED)).alias("hits"))
+    x = flags.join(table(spark, d, "labels"), "doc_id")
+    rows = F.array(*(F.struct(F.lit(t).alias("term"), F.col("hits")[k].alias("predicted"), F.expr(label).alias("actual")) for k, (t, _, label) in enumerate(_SCORED)))
     return x.select("doc_id", "lang", F.explode(rows).alias("c")).select("doc_id", "lang", "c.*")
 
 
@@ -369,9 +413,9 @@ def term_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT '{t}' AS term, count(DISTINCT doc_id) AS bundles FROM documents JOIN labels USING (doc_id) WHERE contains(text, '{m}')".format(t="network.mail", m="@mail") + " HAVING count(*) > 0 UNION ALL SELECT 'license.text', count(DISTINCT doc_id) FROM documents JOIN labels USING (doc_id) WHERE contains(text, 'icense') HAVING count(*) > 0")
 def unmeasured_terms(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id")
     terms = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(m)), F.lit(t)) for t, m in (("network.mail", "@mail"), ("license.text", "icense")))))
-    return x.select("doc_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("bundles"))
+    found = table(spark, d, "documents").select("doc_id", F.explode(terms).alias("term"))
+    return found.join(table(spark, d, "labels").select("doc_id"), "doc_id").groupBy("term").agg(F.count_distinct("doc_id").alias("bundles"))
 
 
 _RATES = """WITH p AS (SELECT lang AS stratum, count(*) AS population FROM documents GROUP BY 1), r AS (SELECT lang AS stratum, count(*) AS total, count(*) FILTER (WHERE quality = 0) AS hits, count(*) FILTER (WHERE toxic = 1) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capledger.functions import text as T
 from capledger.operators import corpus
+from capledger.plans import engine
 from capledger.plans.engine import Scan
 
 
@@ -28,10 +29,24 @@ def corpus_report(s: Scan, heads: list[str], snapshot: str) -> str:
     lines = [f"# Corpus {snapshot}", "", f"{total['n']} bundles, {total['b'] or 0} bytes, {total['u'] or 0} of them in files nothing points at.", "", "| Fact | Head | Tail | All |", "|-|-|-|-|"]
     lines += [f"| {f} | {' | '.join(r.get((f, p), '0/0 (n/a)') for p in ('head', 'tail', 'all'))} |" for f in sorted({k[0] for k in r})]
     lines += ["", "| Marker | Bundles | Only in unreferenced files |", "|-|-|-|"]
-    lex = corpus.lexical(s.files).groupBy("marker").agg(F.count_if("hit").alias("n"), F.count_if("only_unreferenced").alias("u")).orderBy("marker").collect()
+    lex = corpus.lexical(s.marks()).groupBy("marker").agg(F.count_if("hit").alias("n"), F.count_if("only_unreferenced").alias("u")).orderBy("marker").collect()
     lines += [f"| {x['marker']} | {x['n']} | {x['u']} |" for x in lex]
     lines += ["", "| Language | Bundles |", "|-|-|"]
     lines += [f"| {x['parsed_as']} | {x['bundles']} |" for x in corpus.frequency(s.files, "parsed_as", "root").orderBy(F.desc("bundles"), "parsed_as").collect()]
+    top = s.files.select("root").distinct().groupBy(F.regexp_extract("root", "^([^/]*)", 1).alias("repo")).agg(F.count("*").alias("n"))
+    first = top.agg(F.min_by(F.struct("repo", "n"), F.struct(-F.col("n"), "repo")).alias("x"), F.sum("n").alias("all")).select("x.*", "all").first()
+    if first["n"] and first["n"] * 2 > first["all"] and first["all"] > 1:
+        lines += ["", f"**{first['repo']} gives {first['n']} of {first['all']} bundles**: rates over all of them are mostly its own."]
+    share = F.when(F.col("total_bytes") > 0, T.share_ppm(F.col("description_bytes"), F.col("total_bytes")))
+    middle = engine.measure(s).agg(corpus.middle_ppm(share).alias("m"), F.count_if(share < 10_000).alias("low"), F.count(share).alias("n")).first()
+    lines += ["", f"Median share of the description: {'n/a' if middle['m'] is None else f'{middle['m'] / 10_000:.2f}%'} of {middle['n']} bundles; under 1%: {middle['low']}."]
+    lines += ["", "| Not told | Bundles |", "|-|-|"]
+    lines += [f"| {x['reason']} | {x['n']} |" for x in s.unresolved.groupBy("reason").agg(F.count_distinct("root").alias("n")).orderBy("reason").collect()]
+    lines += ["", "| Stratum | Bundles |", "|-|-|"]
+    lines += [f"| {x['stratum']} | {x['n']} |" for x in engine.strata(s).where("stratum is not null").groupBy("stratum").agg(F.count("*").alias("n")).orderBy("stratum").collect()]
+    keys = corpus.governance(s.files, s.heads).select("root", F.explode("extra_frontmatter_keys").alias("key"))
+    lines += ["", "| Other key | Bundles |", "|-|-|"]
+    lines += [f"| {x['key']} | {x['bundles']} |" for x in corpus.frequency(keys, "key", "root").orderBy(F.desc("bundles"), "key").limit(20).collect()]
     return "\n".join(lines) + "\n"
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions import text as T
-from capledger.operators import gates
+from capledger.operators import advisory, gates
+from capledger.plans import oracles as O
 from capledger.sources import archive
 from capledger.sources.tables import find_roots, table
 
@@ -72,14 +73,46 @@ def baseline_regressions(spark: SparkSession, d: str) -> DataFrame:
     return gates.regressions(both.where("m > 0").select("suite", "case", "outcome"), both.where("m < 4").select("suite", "case", F.col("now").alias("outcome")))
 
 
-@query("""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) END::BIGINT AS lines, length('<<<' || replace(replace(text, '<<<', '< < <'), '>>>', '> > >') || '>>>')::BIGINT AS quoted FROM documents""")
-def quoted_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.line_count(F.col("text")).alias("lines"), F.length(T.quoted(F.col("text"))).cast("long").alias("quoted"))
+_L, _R, _X = "<<<CAPLEDGER-UNTRUSTED", "CAPLEDGER-UNTRUSTED>>>", "[capledger: delimiter removed]"
+#: Every text between two delimiters of the other side.
+_OPEN = f"'{_R} ' || text || ' {_L}{_L}'"
 
 
-_BAD = " OR ".join(f"contains(lower(text), '{w}')" for w in gates.VERDICTS)
+@query(f"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) END::BIGINT AS lines,
+    sha256('{_L}' || chr(10) || replace(replace({_OPEN}, '{_L}', '{_X}'), '{_R}', '{_X}') || chr(10) || '{_R}') AS quoted, 3 AS broken FROM documents""")
+def quoted_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.lit(_R + " "), "text", F.lit(f" {_L}{_L}"))
+    return table(spark, d, "documents").select("doc_id", T.line_count(F.col("text")).alias("lines"), T.sha256(T.quoted(t)).alias("quoted"), T.delimiters(t).alias("broken"))
 
 
-@query(f"SELECT doc_id, NOT ({_BAD}) AND NOT regexp_matches(text, '[:\\[,]\\s*-?\\d+\\.\\d') AS free FROM documents")
+@query(f"SELECT event_id, [{', '.join(str(ok).lower() for _, ok in O.DOCUMENTS)}][event_id % {len(O.DOCUMENTS)} + 1] AS free FROM events")
 def verdict_free(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", gates.verdict_free(F.col("text")).alias("free"))
+    doc = F.element_at(F.array(*(F.lit(x) for x, _ in O.DOCUMENTS)), (F.col("event_id") % len(O.DOCUMENTS) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", gates.verdict_free(doc).alias("free"))
+
+
+_BAD = " OR ".join(f"contains(lower(text), '{w}')" for w in O.VERDICTS)
+
+
+@query(f"SELECT doc_id, NOT ({_BAD}) AS free FROM documents")
+def verdict_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", (F.size(gates.verdict_words(F.col("text"))) == 0).alias("free"))
+
+
+@query(f"SELECT doc_id, list_bool_or(list_transform([{O.listed(O.PHRASES)}], lambda p: contains(lower(text || ' ' || [{O.listed(O.PHRASES)}, 'nothing', 'ignore', 'report findings'][doc_id % {len(O.PHRASES) + 3} + 1]), p))) AS directed FROM documents")
+def auditor_directed(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with one of the phrases, or with none, in capitals at their end."""
+    said = [p.upper() for p in O.PHRASES] + ["NOTHING", "IGNORE", "REPORT FINDINGS"]
+    end = F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % len(said) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", advisory.auditor_directed(F.concat("text", F.lit(" "), end)).alias("directed"))
+
+
+@query("SELECT page_id, replace(url_encode(url || ' ä*~+'), '+', '%20') AS encoded FROM pages")
+def url_encoded(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.url_encode(F.concat("url", F.lit(" ä*~+"))).alias("encoded"))
+
+
+@query("SELECT page_id, ends_with(h, '.example') OR ends_with(h, 'api.test') OR ends_with(h, 'org') AS listed FROM (SELECT page_id, regexp_extract(url, '://([^/:]*)', 1) AS h FROM pages)")
+def host_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    host = F.regexp_extract("url", "://([^/:]*)", 1)
+    return table(spark, d, "pages").select("page_id", T.host_suffix(host, [".example", "api.test", "org"]).alias("listed"))

@@ -58,7 +58,7 @@ def test_capabilities_with_reach_and_evidence(scanned):
 
 def test_what_cannot_be_told_is_said(scanned):
     got = {(r.root, r.reason, r.file) for r in scanned.unresolved.collect()}
-    assert got == {("demo", "parse_error", "bad.py"), ("demo", "unsupported_language", "data.json"), ("demo", "unsupported_file", "seal.bin"), ("bare", "parse_error", "SKILL.md")}
+    assert got == {("demo", "parse_error", "bad.py"), ("demo", "unsupported_language", "data.json"), ("demo", "binary_file", "seal.bin"), ("bare", "parse_error", "SKILL.md")}
 
 
 def test_manifests_are_canonical(spark, scanned):
@@ -171,10 +171,10 @@ def test_model_plane(spark):
     text = p.first().prompt
     import hashlib
 
-    good = advisory.exact_json([{"kind": "excess_scope", "claim": "c", "evidence": [{"file": "a.md", "start_line": 1}]}])
+    good = advisory.exact_json([{"kind": "disclosure_delta", "claim": "c", "evidence": [{"file": "a.md", "start_line": 1}]}])
     answers = advisory.ask(p, advisory.replay({hashlib.sha256(text.encode()).hexdigest(): good}))
     lines = spark.createDataFrame([("r", "a.md", 4)], "root string, file string, line_count int")
-    assert [tuple(r) for r in advisory.validate(answers, lines).collect()] == [("r", "excess_scope", "c", "a.md", 1)]
+    assert [tuple(r) for r in advisory.validate(answers, lines).collect()] == [("r", "disclosure_delta", "c", "a.md", 1)]
     assert advisory.ask(p, advisory.replay({})).first().response is None
 
 
@@ -190,7 +190,7 @@ def test_reading_bundles_from_a_folder(spark, tmp_path):
 
 
 def test_stream_upserts(spark, tmp_path):
-    from capledger.streaming.incremental import follow
+    from capledger.streaming.incremental import batches, follow, last_state
 
     schema = "root string, path string, sha256 string, terms array<string>"
     spark.createDataFrame([("r", "a", "00" * 32, ["net.egress"]), ("s", "b", "11" * 32, [])], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -204,7 +204,14 @@ def test_stream_upserts(spark, tmp_path):
     run()
     got = {(r.root, r.kind, r.capability) for r in spark.read.parquet(out + "/changes-1").collect()}
     assert got == {("r", "capability_added", "process.exec"), ("r", "content_changed", None)}
-    assert spark.read.parquet(out + "/files-1").count() == 2
+    assert batches(spark, out) == 2 and last_state(spark, out, 2).count() == 2
+    for k in range(20):  # past the rows that are put together, with a path twice in each batch
+        spark.createDataFrame([("r", "a", f"{k:02d}" * 32, ["x"], 2), ("r", "a", "ff" * 32, [], 1)], schema + ", ordinal long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    out = str(tmp_path / "out2")
+    follow(spark.readStream.schema(schema + ", ordinal long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in2")), out).awaitTermination()
+    n = batches(spark, out)
+    [row] = last_state(spark, out, n).collect()
+    assert n == 20 and (row.root, row.path, row.terms) == ("r", "a", ["x"]) and row.sha256 != "ff" * 32
 
 
 def test_the_library_does_without_the_corpus_operators():
@@ -269,3 +276,126 @@ def test_gates(spark):
     assert {(r.case, r.why) for r in gates.regressions(b, n).collect()} == {("a", "failed"), ("b", "no longer run"), ("d", "newly pending")}
     assert json.loads(gates.baseline_json(b, "x"))["metrics"]["s"] == {"passed": 2, "failed": 0, "pending": 1}
     assert b.select(gates.verdict_free(F.lit('{"a":1.5}'))).first()[0] is False
+
+
+def test_walk_tells_what_it_passes_over(spark, tmp_path):
+    b = tmp_path / "all" / "demo"
+    (b / "deep").mkdir(parents=True)
+    (b / "SKILL.md").write_text("see deep/x.md\r\n", newline="")
+    (b / "deep" / "x.md").write_text("x")
+    (b / "latin.txt").write_bytes(b"caf\xe9")
+    (b / "large.txt").write_bytes(b"a\r\n" * (tables.MAX_FILE // 3 + 9))
+    (tmp_path / "outside.md").write_text("no")
+    os.symlink(tmp_path / "outside.md", b / "out.md")
+    os.symlink(b / "deep", b / "again")
+    os.symlink(b / "deep" / "x.md", b / "in.md")
+    os.symlink("nowhere", b / "broken")
+    os.mkfifo(b / "pipe")
+    for folder, direct in ((tmp_path / "all", False), (b, True)):
+        content, problems = tables.walked(spark, str(folder), direct)
+        assert {(r.root, r.file, r.reason) for r in problems.collect()} == {("demo", "out.md", "symlink_escape"), ("demo", "broken", "symlink_escape"), ("demo", "pipe", "parse_error"), ("demo", "deep", "symlink_escape")}
+        inv = {r.path: r for r in tables.inventory(content).collect()}
+        assert set(inv) == {"SKILL.md", "in.md", "again/x.md", "latin.txt", "large.txt"}
+        assert inv["large.txt"].reason == "size_limit" and inv["large.txt"].parsed_as == "unknown" and inv["large.txt"].size == 2 * (tables.MAX_FILE // 3 + 9)
+        assert inv["latin.txt"].reason == "parse_error" and inv["latin.txt"].parse_status == "error" and inv["SKILL.md"].size == 14
+        import hashlib
+
+        assert inv["large.txt"].sha256 == hashlib.sha256(b"a\n" * (tables.MAX_FILE // 3 + 9)).hexdigest()
+    s = engine.scan_folder(spark, str(tmp_path / "all"))
+    assert {("size_limit", "large.txt"), ("symlink_escape", "out.md"), ("parse_error", "latin.txt")} <= {(r.reason, r.file) for r in s.unresolved.collect()}
+    with pytest.raises(NotADirectoryError):
+        list(tables.walk(str(tmp_path / "none")))
+
+
+def test_no_text_is_shuffled(scanned):
+    """Of all exchanges none carries texts or contents."""
+    import re
+
+    for df in (scanned.lock(), scanned.capabilities, scanned.unresolved):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join.*content#", plan)
+
+
+def test_index_and_samples(spark, scanned):
+    x = json.loads(engine.index_json(scanned, "2026-08"))
+    assert [r["bundle_root"] for r in sorted(x["records"], key=lambda r: r["bundle_root"])] == ["bare", "demo"]
+    demo = next(r for r in x["records"] if r["bundle_root"] == "demo")["measurements"]
+    assert demo["structure"]["languages"] == {"markdown": 2, "python": 2, "shell": 1, "json": 1, "binary": 1} and demo["structure"]["unresolved"]["parse_error"] == 1
+    assert demo["lexical"]["credential_paths"] and demo["governance"] == {"extra_frontmatter_keys": ["allowed-tools"], "frontmatter_parsed": True, "has_license": False, "has_version": False}
+    assert engine.read_index(spark, engine.index_json(scanned, "2026-08")).count() == 2
+    assert json.loads(engine.sample_json(scanned, "2026-08", "s"))["population"] == {"code_credential": 1, "prose_only": 1}
+    docs = manifest.framed([r.json for r in scanned.manifests().collect()])
+    assert {r.root for r in engine.read_manifests(spark, docs).collect()} == {"bare", "demo"}
+    with pytest.raises(ValueError):
+        engine.read_manifests(spark, "[{}]")
+
+
+def test_expectations_outcomes_and_bless(spark, scanned, tmp_path):
+    from capledger.operators import gates
+
+    kind = "case string, root string, kind string, capability string, reachability string, reason string, path string, phase string, signal string"
+    rows = [("a", "demo", "capability", "process.exec", "observed", None, None, None, None), ("b", "demo", "capability", "process.exec", "present", None, None, None, None), ("c", "bare", "no_capability", None, None, None, None, None, None), ("d", "demo", "load_phase", None, None, None, "hidden.sh", "unreferenced", None), ("e", "demo", "escalation", "process.exec", None, None, None, None, None), ("f", "demo", "no_verdict", None, None, None, None, None, None)]
+    held = gates.hold(spark.createDataFrame(rows, kind), scanned.files, scanned.capabilities, scanned.instructions, scanned.unresolved, scanned.manifests(), gates.escalated(scanned.lock(), scanned.lock()))
+    assert {r["case"]: r.ok for r in held.collect()} == {"a": True, "b": False, "c": True, "d": True, "e": False, "f": True}
+    cases = spark.createDataFrame([("a", "available"), ("c", "available"), ("z", "model"), ("y", "available")], "case string, requires string")
+    out = gates.outcomes(cases, held, "adversarial")
+    assert {r["case"]: r.outcome for r in out.collect()} == {"a": "passed", "c": "passed", "z": "pending", "y": "failed"}
+    with pytest.raises(Exception, match="says nothing"):
+        gates.hold(spark.createDataFrame([("a", "demo", "capability", *[None] * 6)], kind), scanned.files, scanned.capabilities, scanned.instructions, scanned.unresolved).collect()
+    with pytest.raises(ValueError):
+        gates.bless(str(tmp_path / "b.json"), out, "why")
+    with pytest.raises(ValueError):
+        gates.bless(str(tmp_path / "b.json"), out.where("outcome <> 'failed'"), " ")
+    assert gates.read_baseline(gates.bless(str(tmp_path / "b.json"), out.where("outcome <> 'failed'"), "first")) == {"adversarial": 2}
+
+
+def test_rules_against_all_their_examples(spark):
+    """Every positive fires; what a negative holds is silent for its own rule."""
+    from capledger.operators import gates
+    from capledger.plans.detection import FAMILIES
+
+    rows = [(f"{name}-{k}", "positive" if fires else "negative", "x", lang, text.replace("{{", "{").replace("}}", "}").replace("{k}", "7").replace("{n}", "seven")) for name, (_, cases) in FAMILIES.items() for k, (lang, text, fires) in enumerate(cases)]
+    got = {r["case"]: r.outcome for r in gates.fixture_outcomes(spark.createDataFrame(rows, "fixture string, polarity string, path string, language string, text string")).collect()}
+    assert all(got[r[0]] == "passed" for r in rows if r[1] == "positive")
+
+
+def test_labels(spark, tmp_path):
+    from capledger.operators import evaluation
+
+    p = tmp_path / "labels.toml"
+    head = 'snapshot = "x"\nvocabulary = ["a", "b", "c"]\nterms_labelled = ["a"]\nterms_detected_unscored = ["b"]\n'
+    label = '[[labels]]\ndigest = "%s"\nstratum = "s"\nverdict = "labelled"\ncapabilities = ["%s"]\n'
+    p.write_text(head + label % ("d1", "a") + label % ("d2", "c"))
+    header, labels = evaluation.load_labels(spark, str(p))
+    assert header["terms_labelled"] == ["a"] and labels.count() == 2
+    for bad in (head + label % ("d1", "a") + label % ("d1", "a"), head + label % ("d1", "z"), head.replace('["b"]', '["a"]'), head.replace('["a"]', '["q"]', 1), "colour = 1\n"):
+        p.write_text(bad)
+        with pytest.raises(ValueError):
+            evaluation.load_labels(spark, str(p))
+
+
+def test_prompt_is_pinned(spark):
+    f = spark.createDataFrame([("r", "a.md", T.LEFT + " x\n")], "root string, path string, text string")
+    p = advisory.prompt(advisory.budgeted(advisory.sections(f)), spark.createDataFrame([("r", "does one thing")], "root string, description string")).first()
+    assert p.prompt_sha256 == advisory.prompt_digest() and "does one thing" in p.prompt and p.prompt.count(T.LEFT) == 2
+    u = advisory.unsent(advisory.budgeted(advisory.sections(f), 3)).first()
+    assert (u.root, u.reason, u.file) == ("r", "size_limit", "a.md")
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session)
