@@ -39,8 +39,8 @@ LEAF = 768
 KEEP = 6  # bytes kept of an n-gram's hash
 VOTES = 0.25  # of a document's n-grams that must be shared within the prefixes
 PART_BYTES, MAX_PARTS = 24_000_000, 1 << 20  # beyond so many parts they grow, with the same results
-ROWS, GRAMS = 2048, 4_000_000  # the most of a region in one task
-PIVOTS, DEPTH = 64, 8
+ROWS, GRAMS = 8192, 4_000_000  # the most of a region in one task
+PIVOTS, DEPTH = 32, 8
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +119,19 @@ def _votes(size, t: float):
     return np.maximum(1, np.floor(np.asarray(size) * min(VOTES, t)) - 2).astype(np.int64)
 
 
+#: Sizes fall into classes, each 5 % above the last; the last one is open.
+_GROWTH = np.log(1.05)
+
+
+def _class(size) -> np.ndarray:
+    return np.minimum(255, np.floor(np.log(np.maximum(size, 1)) / _GROWTH + 1e-9)).astype(np.uint8)
+
+
+def _gap(t: float) -> int:
+    """The most that the classes of two sizes within reach can differ by."""
+    return int(np.floor(1 - np.log(t) / _GROWTH + 1e-6)) + 1
+
+
 def _fingerprints(g: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(np.add.reduceat(mix(g ^ GOLDEN), first) + size.astype(U) * GOLDEN)
@@ -142,7 +155,7 @@ def _packed(rows: list) -> pa.RecordBatch:
 
 
 def _index(n: int, t: float, bits: int):
-    """Text rows to packed rows. For each part of the hash space that occurs: 32 bits of the n-grams of the documents' prefixes, and the document of each within the batch. And, in parts from 2**bits on, the batch's documents: fingerprints, sizes, the rows' ids and the document of each."""
+    """Text rows to packed rows. For each part of the hash space that occurs: 32 bits of the n-grams of the documents' prefixes, the document of each within the batch, and the class of its size. And, in parts from 2**bits on, the batch's documents: fingerprints, sizes, the rows' ids and the document of each."""
     parts = 1 << bits
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -151,6 +164,9 @@ def _index(n: int, t: float, bits: int):
             at = np.arange(len(ids), dtype=U)
             batch = mix(np.bitwise_xor.reduce(mix(mix(ids.astype(U)) + key[of] + at * GOLDEN)) + U(len(ids)))
         u, first, inv = np.unique(key, return_index=True, return_inverse=True)  # one document a set
+        o = np.lexsort((u, size[first]))  # numbered by size, so that classes come in order and take no room
+        u, first, inv = u[o], first[o], np.argsort(o)[inv]
+        kinds = _class(size[first])
         keep = np.zeros(len(key), bool)
         keep[first] = True
         m = keep[d]
@@ -168,7 +184,7 @@ def _index(n: int, t: float, bits: int):
             o = np.argsort(part, kind="stable")
             low, d, part = ((g >> U(32 - bits)) & U(0xFFFFFFFF)).astype("<u4")[o], d[o].astype("<u2"), part[o]
             cut = np.append(_runs(part), len(part))
-            rows += [(int(part[s]), batch.view(np.int64), low[s:e].tobytes(), d[s:e].tobytes(), b"", b"") for s, e in zip(cut, cut[1:])]
+            rows += [(int(part[s]), batch.view(np.int64), low[s:e].tobytes(), d[s:e].tobytes(), kinds[d[s:e]].tobytes(), b"") for s, e in zip(cut, cut[1:])]
         yield _packed(rows)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +211,12 @@ def _index(n: int, t: float, bits: int):
     return run
 
 
-def _elect(bits: int):
-    """One part of the index: each n-gram that two or more documents hold elects one of them, the same for all; documents are told for whom their n-grams vote, and how often."""
-    parts = 1 << bits
+def _elect(t_: float, bits: int):
+    """One part of the index: each n-gram that two or more documents hold elects one of them, the same for all whose sizes are within reach; documents are told for whom their n-grams vote, and how often.
+
+    Holders in order of size fall into chains of neighbours within reach, each of which elects for itself.
+    """
+    parts, gap = 1 << bits, _gap(t_)
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column(0)[0].as_py()
@@ -208,13 +227,16 @@ def _elect(bits: int):
         g = np.frombuffer(b"".join(t.column(2).to_pylist()), "<u4")
         doc = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u2").astype(U)
         name, of = np.unique(batches, return_inverse=True)
+        kind = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8)
         who = (np.repeat(of, many).astype(U) << U(16)) | doc
-        o = np.argsort(who, kind="stable")
-        o = o[np.argsort(g[o], kind="stable")]
-        g, who = g[o], who[o]
-        once = _runs(g, who)  # a batch of the same rows may have been read twice
-        g, who = g[once], who[once]
-        first = _runs(g)
+        place = (g.astype(U) << U(8)) | kind
+        o = np.lexsort((who, place))
+        place, who = place[o], who[o]
+        once = _runs(place, who)  # a batch of the same rows may have been read twice
+        g, kind, who = place[once] >> U(8), (place[once] & U(255)).astype(np.int16), who[once]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (kind[1:] - kind[:-1] > gap)
+        first = np.flatnonzero(new)
         many = np.diff(np.append(first, len(g)))
         held = np.repeat(many > 1, many)
         if not held.any():
@@ -509,7 +531,7 @@ def _tiles(rows: DataFrame, stats: DataFrame, most: int, most_grams: int) -> Dat
 def divide(rows: DataFrame, t: float, most: int = ROWS, most_grams: int = GRAMS, n_pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
     """Units for tasks out of regions too large for one: Voronoi cells of n_pivots pivots a region, cells against the rows their windows let in, and again for what is still too large.
 
-    A pair within the radius meets in one unit. Where nearly all rows share one cell (pivots separate nothing) the region is cut into tiles.
+    A pair within the radius meets in one unit. Where cells and windows would spare less than half of all comparisons (pivots separate nothing) the region is cut into tiles.
     rows: ``unit, home, key, size, copies, places, grams``. The columns of the result are those of ``_UNIT``.
     """
     done: list[DataFrame] = []
@@ -525,20 +547,24 @@ def divide(rows: DataFrame, t: float, most: int = ROWS, most_grams: int = GRAMS,
         right = pivots.join(salts.withColumnsRenamed({"unit": "of", "n_": "m_"}), "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m_") - 1))).drop("m_")
         cells = materialize(left.groupBy("unit", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(_cells(t), _CELL), "ngram-cells")
         own = cells.groupBy("unit", "cell").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_"))
-        per = Window.partitionBy("unit")
-        own = materialize(own.withColumns({"stuck": F.max("rows").over(per) > 0.8 * F.sum("rows").over(per), "large": (F.col("rows") > most) | (F.col("grams_") > most_grams)}), "ngram-cell-sizes")
-        stuck = own.where("stuck").groupBy("unit").agg(F.sum("rows").alias("rows"), F.sum("grams_").alias("grams_"))
-        done.append(_tiles(cells.join(stuck.select("unit"), "unit", "left_semi"), stuck, most, most_grams))
-        free = own.where("not stuck").drop("stuck")
+        edges = cells.select("unit", F.explode("near").alias("cell"), "size").groupBy("unit", "cell").agg(F.count("*").alias("edges"), F.sum("size").alias("edge_grams"))
+        per, whole = Window.partitionBy("unit"), F.sum("rows").over(Window.partitionBy("unit"))
+        work = F.sum(F.col("rows") * (F.col("rows") / 2 + F.col("edges"))).over(per)
+        # Tables of a few rows a region, whose true sizes the optimizer knows when it joins them to the rows.
+        plan = materialize(
+            own.join(edges, ["unit", "cell"], "left").fillna(0, ["edges", "edge_grams"])
+            .withColumns({"stuck": work > whole * whole / 4, "large": (F.col("rows") > most) | (F.col("grams_") > most_grams), "own_": _blocks("rows", "grams_", most, most_grams), "edge_": _blocks("edges", "edge_grams", most, most_grams)}),
+            "ngram-plan",
+        )
+        stuck = materialize(plan.where("stuck").groupBy("unit").agg(F.sum("rows").alias("rows"), F.sum("grams_").alias("grams_")), "ngram-stuck")
+        free = materialize(plan.where("not stuck").select("unit", "cell", "large", "edges", "own_", "edge_"), "ngram-free")
+        done.append(_tiles(cells, stuck, most, most_grams))
         cell = F.xxhash64("unit", F.lit("cell"), "cell")
         mine = cells.join(free, ["unit", "cell"]).withColumn("unit", cell)
         done.append(mine.where("not large").select("unit", F.lit(0).alias("side"), F.lit(False).alias("crossed"), *_UNIT[3:]))
-        edges = cells.join(free.select("unit").distinct(), "unit", "left_semi").withColumn("cell", F.explode("near")).withColumn("unit", cell)
-        sizes = mine.groupBy("unit").agg(F.first("rows").alias("rows"), F.first("grams_").alias("grams_")).select("unit", _blocks("rows", "grams_", most, most_grams).alias("own_"))
-        others = edges.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("size").alias("grams_")).select("unit", _blocks("rows", "grams_", most, most_grams).alias("edge_"))
-        both = sizes.join(others, "unit")
-        for side, who, n, m in ((0, mine.drop("rows", "grams_"), "own_", "edge_"), (1, edges, "edge_", "own_")):
-            x = who.join(both, "unit").withColumn("a_", F.pmod(F.xxhash64("key", F.lit(5)), F.col(n)).cast("int")).withColumn("b_", F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+        others = cells.withColumn("cell", F.explode("near")).join(free, ["unit", "cell"]).withColumn("unit", cell)
+        for side, who, n, m in ((0, mine.where("edges > 0"), "own_", "edge_"), (1, others, "edge_", "own_")):
+            x = who.withColumn("a_", F.pmod(F.xxhash64("key", F.lit(5)), F.col(n)).cast("int")).withColumn("b_", F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
             at = ("a_", "b_") if side == 0 else ("b_", "a_")
             done.append(x.select(F.xxhash64("unit", F.lit("edge"), *at).alias("unit"), F.lit(side).alias("side"), F.lit(True).alias("crossed"), *_UNIT[3:]))
         if free.where("large").isEmpty():
@@ -623,7 +649,7 @@ def _near(df: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs: bo
     size = input_bytes(df)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) if size is None else min(MAX_PARTS, max(8, size // PART_BYTES))
     bits = int(parts - 1).bit_length()
-    elected = src.mapInArrow(_index(n, t, bits), _PACKED).groupBy("part").applyInArrow(_elect(bits), _PACKED)
+    elected = src.mapInArrow(_index(n, t, bits), _PACKED).groupBy("part").applyInArrow(_elect(t, bits), _PACKED)
     docs = materialize(elected.groupBy("part").applyInArrow(_documents(t), _DOC), "ngram-docs")
     held = docs.where("size > 0").select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first"))
     places = materialize(_places(t, docs).join(held, "key"), "ngram-places")
