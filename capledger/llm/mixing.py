@@ -120,8 +120,8 @@ def mix_sources(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", t
 
     Epochs below a leaf's whole ones have all its documents; the last has those before which, in the order of a seeded
     hash of the id, fewer tokens lie than are due. Rows with one id in one leaf (null ids too) are in or out
-    together. A null language or source is named ``unknown``; texts without words, null ones too, count 0 tokens. An
-    empty table gives none.
+    together. A null language or source is named ``unknown``; texts without words, null ones too, count 0 tokens; a leaf
+    that has no token at all gives nothing. An empty table gives none. Other columns are ignored, whatever their names.
     """
     mix = mix or Mix()
     narrow, aims = plan(df, mix, id_col, text_col, lang_col, source_col)
@@ -129,11 +129,14 @@ def mix_sources(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", t
 
 
 def mixed(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of df that ``mix_sources`` chooses, once for each epoch, with the columns they have. No text is shuffled: leaves' cuts come to the rows."""
+    """The rows of df that ``mix_sources`` chooses, once for each epoch, with the columns they have, which may have any names. No text is shuffled: leaves' cuts come to the rows."""
     mix = mix or Mix()
     _, aims = plan(df, mix, id_col, text_col, lang_col, source_col)
-    rows = df.select("*", F.col(f"`{id_col}`").alias("__id"), *_leaf(mix, F.col(f"`{lang_col}`"), F.col(f"`{source_col}`")))
-    return _copies(rows, aims, mix).select(*(F.col(f"`{c}`") for c in df.columns))
+    names = [c.lower() for c in df.columns]
+    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
+    at = {c: F.col(f"c{names.index(c.lower())}") for c in (id_col, lang_col, source_col)}
+    rows = plain.select("*", at[id_col].alias("__id"), *_leaf(mix, at[lang_col], at[source_col]))
+    return _copies(rows, aims, mix).select(plain.columns).toDF(*df.columns)
 
 
 def mix_sql(mix: Mix | None = None) -> str:
