@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,9 @@ from capledger.llm.spans import Span, scan
 ACCEPT = 0.5
 WINDOW = 48
 #: A text without either can hold none of the kinds.
-GATE = r"[0-9]|@"
+GATE = r"[0-9]|@|::"
+#: Characters of the longest candidate for an account number.
+ACCOUNT = 64
 IBAN_LENGTH = dict(zip("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split(), (20, 16, 22, 21, 28, 24, 22, 18, 20, 24, 18, 27, 22, 27, 21, 28, 22, 26, 27, 21, 20, 20, 21, 27, 31, 18, 15, 28, 25, 24, 24, 19, 24, 27)))
 
 
@@ -64,7 +67,7 @@ def cards(text: str, x: re.Pattern) -> Iterator[tuple[int, int, float]]:
 
 def _account_end(text: str, m: re.Match) -> int:
     """Where an account number of the country's length ends within a candidate; the candidate's end if that is shorter."""
-    n = IBAN_LENGTH.get(m.group()[:2], 0)
+    n = IBAN_LENGTH.get(m.group()[:2].upper(), 0)
     for at in range(*m.span()):
         n -= text[at] not in " -"
         if not n:
@@ -103,6 +106,15 @@ def _octets(s: str) -> bool:
     return all(len(x) == 1 or x[0] != "0" for x in p) and all(int(x) < 256 for x in p) and p[0] not in ("0", "255")
 
 
+def _ipv6(s: str) -> bool:
+    """Valid, and with four groups at least, as shorter ones are as well times or names."""
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return len([g for g in s.split(":") if g]) >= 4
+
+
 def _phone(s: str) -> bool:
     n = sum(c.isdigit() for c in s)
     return 9 <= n <= 15 and len(set(re.sub(r"\D", "", s))) > 1
@@ -121,8 +133,10 @@ def _nothing(s: str) -> bool:
 RULES: tuple[tuple[str, str, Callable[[str], bool], float, str, str], ...] = (
     ("email", r"(?<![\w.+@-])\w[\w.+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])", _nothing, 0.9, "email mail contact write courriel correo", ""),
     ("card", r"(?<![\w.-])(?:\d[ -]?){12,18}\d(?![\w-]|\.\d)", luhn, 0.8, "card visa credit mastercard amex carte karte tarjeta payment", "isbn order invoice tracking serial checksum"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97, 0.95, "iban bank account konto compte cuenta", ""),
+    ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])", mod97, 0.95, "iban bank account konto compte cuenta", ""),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _octets, 0.7, "ip address host server adresse", "version release v section chapter"),
+    ("ip", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])", _ipv6, 0.75, "ip address host server adresse ipv6", ""),
+    ("phone", r"(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?![\w-]|[ .]?\d)", _phone, 0.7, "phone tel call mobile fax telefon téléphone teléfono contact", "isbn version serial order invoice"),
     ("phone", r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{4}(?![\w-]|\.\d)", _phone, 0.7, "phone tel call mobile fax telefon téléphone teléfono contact", "isbn version serial order invoice"),
     ("phone", r"(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-]|\.\d)", _phone, 0.7, "phone tel call mobile fax telefon téléphone teléfono contact", "version serial order invoice"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn, 0.6, "ssn social security", "isbn part model version"),
@@ -132,7 +146,7 @@ _WORDS = re.compile(r"\w+")
 
 def finder() -> Callable[[str], list[Span]]:
     rules = [(k, re.compile(x), v, s, frozenset(a.split()), frozenset(b.split())) for k, x, v, s, a, b in RULES]
-    anchor = re.compile(r"[0-9@]")
+    anchor = re.compile(GATE)
     account = re.compile(next(x for k, x, *_ in RULES if k == "iban"))
 
     def see(text: str) -> list[Span]:
@@ -143,7 +157,7 @@ def finder() -> Callable[[str], list[Span]]:
             if kind == "email" and "@" not in text:
                 continue
             for s, e, loss in candidates(text, kind, x, valid):
-                if kind == "card" and any(a.start() < s and e <= _account_end(text, a) and a.group()[:2] in IBAN_LENGTH for a in account.finditer(text, max(0, s - 40), min(len(text), e + 40))):
+                if kind == "card" and any(a.start() < s and e <= _account_end(text, a) and a.group()[:2].upper() in IBAN_LENGTH for a in account.finditer(text, max(0, s - ACCOUNT), min(len(text), e + ACCOUNT))):
                     continue  # digits of an account number, whatever their sum
                 near = {w.lower() for w in _WORDS.findall(text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW // 2])}
                 v = min(1.0, score + 0.1 * bool(near & for_it)) - loss - 0.3 * bool(near & against)
@@ -177,7 +191,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Card numbers must pass Luhn, IBANs mod 97 and their country's length, addresses their ranges. Where
     the longest candidate fails its check, the shorter ones between its separators are tried; a card number found so that
     begins or is grouped as none is printed needs a word that speaks for it. Spans of one text don't overlap: the better score stays, then the longer, then the earlier. Null and empty texts have none; a null id
-    is carried on as null; repeated rows give repeated results; texts of any length are read whole.
+    is carried on as null; repeated rows give repeated results; texts of any length are read whole. Other columns are ignored, whatever their names; ids are integers.
     """
     return scan(df, finder, gate, id_col, text_col)
 
