@@ -138,7 +138,7 @@ def js_distance(p: Column, np_: Column, q: Column, nq: Column) -> Column:
 
 def _judged(m: DataFrame, refs: DataFrame) -> DataFrame:
     k = len(CLASSES)
-    j = m.join(F.broadcast(refs), m["__lang"] == refs["__ref_lang"], "left")
+    j = m.join(refs, m["__lang"] == refs["__ref_lang"], "left")
     n = F.col("__chars")[k]
     ref_n = F.col("__ref_chars")[k]
     chars = js_distance(_with_rest(F.slice("__chars", 1, k), n), n, _with_rest(F.slice("__ref_chars", 1, k), ref_n), ref_n)
@@ -159,19 +159,17 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     src = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").cast("string").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     m = materialize(_measured(src, "__text", "__own").drop("__text"), "quality")
-    return _judged(m, _references(m)).select(F.col("__id").alias("doc_id"), F.col("__own").alias("lang"), F.col("__cd").alias("char_distance"), F.col("__wd").alias("word_distance"), F.col("__keep").alias("keep"))
+    return _judged(m, materialize(_references(m), "quality-references")).select(F.col("__id").alias("doc_id"), F.col("__own").alias("lang"), F.col("__cd").alias("char_distance"), F.col("__wd").alias("word_distance"), F.col("__keep").alias("keep"))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of df that ``quality_scores`` keeps, unchanged. Columns of df whose names begin with ``__`` may not be named like the operator's own."""
-    spark = df.sparkSession
+    """The rows of df that ``quality_scores`` keeps, unchanged; columns may have any names."""
     narrow = df.select(F.col(f"`{lang_col}`").cast("string").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    # One row a language, so that judging needs no shuffle of texts.
-    refs = _references(_measured(narrow, "__text", "__own").drop("__text"))
-    small = spark.createDataFrame(refs.collect(), refs.schema)
+    # A table of a row a language: while the optimizer finds it small it is broadcast, and judging needs no shuffle of texts.
+    refs = materialize(_references(_measured(narrow, "__text", "__own").drop("__text")), "quality-references")
     plain = df.select(*(F.col(f"`{c}`").alias(f"__c{n}") for n, c in enumerate(df.columns)))
     m = _measured(plain, f"__c{df.columns.index(text_col)}", f"__c{df.columns.index(lang_col)}")
-    return _judged(m, small).where("__keep").select(*(F.col(f"__c{n}").alias(c) for n, c in enumerate(df.columns)))
+    return _judged(m, refs).where("__keep").select(*(F.col(f"__c{n}").alias(c) for n, c in enumerate(df.columns)))
 
 
 def scores_sql() -> str:
