@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,43 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_OWNED: list = []
+from capledger.sources.tables import kept, scratch  # noqa: F401 - operators take them from here
+
 _U = np.uint64
 M1, M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 GOLDEN = _U(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or, only where that is unset (tests on one machine), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="capledger-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _clean(jvm, path: str) -> None:
-    try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the JVM may have gone at interpreter exit
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/capledger-{name}-{uuid.uuid4().hex}"
-    if not _OWNED:
-        atexit.register(lambda: [_clean(jvm, p) for jvm, p in _OWNED])
-    _OWNED.append((spark.sparkContext._jvm, path))
-    return path
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage in a way that survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, scratch(df.sparkSession, name))
 
 
 def input_bytes(df: DataFrame) -> int | None:

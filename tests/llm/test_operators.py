@@ -190,13 +190,15 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(2, 41)}, 100: 80, 90: 80}
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("most", [65536, 40])
+def test_neighbours_recall(spark, most):
+    """Against brute force; with units smaller than lists, too, as a hot list has."""
     r = np.random.default_rng(2)
     x = r.standard_normal((1500, 16)).astype(np.float32)
-    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1, 2), (5000, None, 1, 2), (5001, [1.0], 1, 2), (5002, [float("nan")] * 16, 1, 2), (0, x[0].tolist(), 1, 2), (5003, x[7].tolist(), 1, 2)]
+    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1, 2), (5000, None, 1, 2), (5001, [1.0], 1, 2), (5002, [float("nan")] * 16, 1, 2), (5004, [float("inf")] + [0.0] * 15, 1, 2), (0, x[0].tolist(), 1, 2), (5003, x[7].tolist(), 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int, id int")
     got: dict = {}
-    for q in ann.nearest_neighbours(df, list_size=64).collect():
+    for q in ann.nearest_neighbours(df, list_size=64, every=1, unit_rows=most).collect():
         got.setdefault(q.vec_id, []).append((q.rank, q.neighbour_id, q.distance))
     assert set(got) == {*range(1500), 5003}
     allv = {**dict(enumerate(x)), 5003: x[7]}
@@ -212,11 +214,31 @@ def test_neighbours_recall(spark):
     assert got[7][0] == (1, 5003, 0.0) or (1, 5003, 0.0) in got[7]
 
 
+def test_neighbours_of_hundredth_rows_ties_and_huge_components(spark):
+    r = np.random.default_rng(5)
+    x = (r.standard_normal((900, 8)) * 1e19).astype(np.float32)
+    x[1:31] = x[0]
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2, 3.0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, unit int, role int, lim double")
+    got: dict = {}
+    for q in ann.nearest_neighbours(df, list_size=50, sample_rows=300).collect():
+        got.setdefault(q.vec_id, []).append((q["rank"], q.neighbour_id, q.distance))
+    assert set(got) == set(range(0, 900, 100))
+    assert sorted(got[0]) == [(k, k, 0.0) for k in range(1, 11)]
+    m = x.astype(np.float64)
+    hit = 0
+    for i in got:
+        d = np.sqrt(((m - m[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hit += sum(d[n] <= np.sort(d)[9] * (1 + 1e-6) for _, n, _ in got[i])
+        assert all(abs(z / d[n] - 1) < 1e-4 for _, n, z in got[i] if d[n])
+    assert hit >= 0.9 * 90
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
-    assert ann.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
-    assert ann.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0])], schema)).count() == 0
-    two = ann.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 5.0])], schema)).collect()
+    assert ann.nearest_neighbours(spark.createDataFrame([], schema), every=1).count() == 0
+    assert ann.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0])], schema), every=1).count() == 0
+    two = ann.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 5.0])], schema), every=1).collect()
     assert sorted((q.vec_id, q.neighbour_id, q["rank"], q.distance) for q in two) == [(1, 2, 1, 3.0), (2, 1, 1, 3.0)]
 
 
@@ -651,3 +673,70 @@ def test_licenses_of_any_length():
     began = time.perf_counter()
     assert len(see("MIT License " * 20_000)) == 20_000
     assert time.perf_counter() - began < 20
+
+
+def test_pii_planted_by_other_means(spark):
+    """Numbers made here, with checksums computed here, among words and numbers that fail them: all that was planted is found, in its place, and nothing else."""
+    r = random.Random(12)
+
+    def card(spread, good=True):
+        body = r.choice(("4", "51", "52", "37")) + "".join(r.choice("0123456789") for _ in range(13))
+        body = (body + "7" * 15)[:15]
+        check = next(c for c in "0123456789" if sum(int(d) if k % 2 == 0 else int(d) * 2 - 9 * (int(d) > 4) for k, d in enumerate(reversed(body + c))) % 10 == 0)
+        n = body + (check if good else str((int(check) + 1) % 10))
+        return " ".join(n[k : k + 4] for k in range(0, 16, 4)) if spread else n
+
+    def iban(small, good=True):
+        body = "".join(r.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        n = f"DE{(check if good else check % 97 + 1):02d}{body}"
+        return n.lower() if small else n
+
+    makers = {
+        "card": [lambda: card(False), lambda: card(True)], "iban": [lambda: iban(False), lambda: iban(True)], "email": [lambda: f"{r.choice('abc')}.x{r.randrange(99)}@mail-{r.randrange(99)}.example.org"],
+        "ip": [lambda: ".".join(str(r.randrange(1, 250)) for _ in range(4)), lambda: "2001:db8:" + ":".join(f"{r.randrange(4096, 65535):x}" for _ in range(6))], "phone": [lambda: f"06 {r.randrange(10, 99)} {r.randrange(10, 99)} {r.randrange(10, 99)} {r.randrange(10, 99)}", lambda: f"+44 20 7{r.randrange(100, 999)} 0{r.randrange(100, 999)}"],
+        "": [lambda: card(False, False), lambda: iban(False, False), lambda: "12:30:45", lambda: "300.1.2.3", lambda: "a@b", lambda: str(r.randrange(10**6))],
+    }
+    texts, want = [], set()
+    for i in range(150):
+        text = words(r.randint(0, 8), r)
+        for _ in range(r.randint(1, 6)):
+            kind = r.choice(list(makers))
+            text += " "
+            s = r.choice(makers[kind])()
+            if kind:
+                want.add((i, kind, len(text), len(text) + len(s)))
+            text += s + " ," + " " + words(6, r)
+        texts.append(text)
+    got = {(x.doc_id, x.kind, x.start, x.end) for x in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want, [(k, texts[k[0]][k[2] : k[3]]) for k in got ^ want]
+
+
+def test_chat_ids_and_masks_by_hand(spark):
+    """Ids one turn after the other and a flag for each, without prefix sums, over many turns."""
+    r = random.Random(9)
+    turns = [(c, n, r.choice(("system", "user", "assistant", "tool", None)), r.choice((None, "", words(5, r), "<|end|>", "a <|start|> b"))) for c in range(30) for n in range(r.randint(1, 7))]
+    odd = spark.createDataFrame([(*t, 1, "x") for t in turns], CHAT + ", c int, input_ids string")
+    encode = chat.encoder(chat.TOKENIZERS).encode_ordinary
+    want = {}
+    for c, _, role, text in sorted(turns, key=lambda t: (t[0], t[1])):
+        ids, flags = want.setdefault(c, ([50257], [0]))
+        role, text = role or "user", (text or "").replace("<|end|>", "<\\|end|>").replace("<|start|>", "<\\|start|>")
+        for piece, on in (([50258], 0), (encode(role), 0), ([50259], 0), (encode(text), role == "assistant"), ([50260], role == "assistant")):
+            ids += piece
+            flags += [int(on)] * len(piece)
+    got = {x.conv_id: (list(x.input_ids), list(x.loss_mask)) for x in chat.format_chats(odd).collect()}
+    assert got == {c: (ids + [50261], flags + [0]) for c, (ids, flags) in want.items()}
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    """Rows come through every stage that filters with whatever columns they have."""
+    more = {"__id": 1, "__lang": 2, "__whole": 3, "__source": 4, "__n": 5, "c0": 6, "key": 7, "doc": 8, "n_": 9, "__gone": 10, "tokens": 11}
+    odd = docs.selectExpr("*", *(f"{v} as `{k}`" for k, v in more.items()))
+    for stage in (quality.keep_good, ngram_join.keep_one_of_each, pii.redact, mixing.mixed):
+        a, b = stage(docs), stage(odd)
+        assert b.columns == odd.columns
+        assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.select(*docs.columns).collect())), stage
+    assert odd.where("`__n` = 5").count() == odd.count()
+    want = Counter(map(tuple, mixing.mix_sources(docs).collect()))
+    assert Counter(map(tuple, mixing.mix_sources(odd).collect())) == want
