@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capledger.functions import text as T
+from capledger.sources.tables import kept, scratch
 from capledger.functions.vocabulary import CORE_KEYS, EXECUTABLE, MARKERS, OTHER_MARKERS, QUOTAS, VERSION_KEYS  # noqa: F401
 
 def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -109,3 +110,24 @@ def stratified(rates: DataFrame) -> DataFrame:
     half = 1.959963984540054 * F.sqrt("v")
     ok = F.col("least") >= 5
     return e.select(F.when(ok, F.round("e", 9)).alias("estimate"), F.when(ok, F.round(F.greatest(F.col("e") - half, F.lit(0.0)), 9)).alias("low"), F.when(ok, F.round(F.least(F.col("e") + half, F.lit(1.0)), 9)).alias("high"))
+
+
+def prng_sample(items: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+    """n rows as Python's own generator draws them from the sorted keys: the same rows as ``random.Random(seed).sample(sorted(keys), n)``, in its order (``position``), without the keys ever coming to the driver.
+
+    The generator draws places, which depend on the count alone; rows are numbered within ranges of the key, whose counts are one row a partition.
+    """
+    import random
+
+    ranged = items.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
+    spark, held = items.sparkSession, scratch(items.sparkSession, "ranged")
+    ranged = kept(ranged, held)
+    counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    total, starts = 0, []
+    for p in sorted(counts):
+        starts.append((p, total))
+        total += counts[p]
+    places = [(i, k) for k, i in enumerate(random.Random(seed).sample(range(total), min(n, total)))]
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    numbered = ranged.withColumn("__r", rank).join(spark.createDataFrame(starts, "__part int, __start long"), "__part").withColumn("__at", F.col("__r") + F.col("__start"))
+    return numbered.join(spark.createDataFrame(places, "__at long, position int"), "__at").drop("__part", "__r", "__start", "__at")

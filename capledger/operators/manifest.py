@@ -36,6 +36,26 @@ def manifests(bundles: DataFrame, inventory: DataFrame, capabilities: DataFrame,
     return out.select("root", F.to_json(doc).alias("json"))
 
 
+def canonical(x):
+    """A document in its one form: keys sorted, what is absent or null left out, lists sorted by their members' own form and without repeats. Doing it again changes nothing."""
+    if isinstance(x, dict):
+        return {k: canonical(v) for k, v in sorted(x.items()) if v is not None}
+    if not isinstance(x, list):
+        return x
+    once = {json.dumps(v, sort_keys=True, ensure_ascii=False): v for v in map(canonical, x)}
+    return [once[k] for k in sorted(once, key=lambda k: _place(once[k], k))]
+
+
+#: What lists of objects are sorted by first.
+_FIRST = ("file", "start_byte", "end_byte", "path", "capability", "signal", "kind")
+
+
+def _place(v, text: str) -> tuple:
+    if not isinstance(v, dict):
+        return ((), text)
+    return (tuple((k not in v, str(type(v.get(k)).__name__), v.get(k, 0)) for k in _FIRST), text)
+
+
 def _clean(x):
     if isinstance(x, dict):
         return {k: _clean(v) for k, v in sorted(x.items()) if v is not None}

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capledger.functions import text as T
@@ -50,6 +50,32 @@ def load_rules(path: str | None = None) -> list[dict]:
     return sorted(rules, key=lambda r: r["id"])
 
 
+def load_languages(path: str | None = None) -> dict[str, dict]:
+    """Languages with their extensions and the names of entry points; unknown keys, and one extension of two languages, are errors."""
+    if path is None:
+        import importlib.resources
+
+        import tomllib
+
+        table = tomllib.loads(importlib.resources.files("capledger.sources").joinpath("languages.toml").read_text("utf-8"))
+    else:
+        table = read_toml(path)
+    seen: set[str] = set()
+    for name, x in table.items():
+        if extra := set(x) - {"extensions", "entry_basenames"}:
+            raise ValueError(f"unknown key of {name}: {sorted(extra)}")
+        if both := seen & set(x["extensions"]):
+            raise ValueError(f"extensions of two languages: {sorted(both)}")
+        seen |= set(x["extensions"])
+    return table
+
+
+def is_entered(phase: Column, path: Column, language: Column, languages: dict[str, dict] | None = None) -> Column:
+    """Files that are loaded, and those that their language enters by name wherever they lie."""
+    named = T.any_of([(language == name) & T.basename(path).isin(*x["entry_basenames"]) for name, x in (load_languages() if languages is None else languages).items() if x.get("entry_basenames")])
+    return phase.isin("on_trigger", "reference") | F.coalesce(named, F.lit(False))
+
+
 def events(files: DataFrame) -> DataFrame:
     """One pass over each text, whatever the number of rules. files: root, path, language, entered, text."""
     src = files.where(F.col("text").isNotNull() & F.col("language").isin(*READ)).select("root", "path", "language", "entered", "text")

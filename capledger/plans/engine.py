@@ -65,8 +65,8 @@ def scan(content: DataFrame, rule_file: str | None = None, strict_entry_case: bo
     named = texts.where(is_entry).select(F.to_json(F.struct("root", "path")).alias("root"), "text")
     at = F.from_json("root", "root string, path string")
     head = frontmatter(named).withColumn("at", at).withColumns({"root": F.col("at.root"), "path": F.col("at.path")}).drop("at").join(entry, ["root", "path"], "left_semi")
-    entered = phases.select("root", "path", F.col("load_phase").isin("on_trigger", "reference").alias("is_entered"))
-    ev = planes.events(texts.withColumn("entered", F.lit(True))).join(entered, ["root", "path"])
+    ev = planes.events(texts.withColumn("entered", F.lit(True))).join(phases.select("root", "path", "load_phase"), ["root", "path"])
+    ev = ev.withColumn("is_entered", planes.is_entered(F.col("load_phase"), F.col("path"), F.col("language"))).drop("load_phase")
     # What isn't entered is never more than present.
     ev = ev.withColumn("reach", F.when(F.col("is_entered") | ~F.col("language").isin(*T.CODE), F.col("reach")).when(F.col("reach").isNotNull(), "present")).drop("is_entered")
     found = planes.findings(ev, planes.load_rules(rule_file))

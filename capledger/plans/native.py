@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions import text as T
-from capledger.operators import corpus, graph, state
+from capledger.operators import corpus, graph, planes, state
 from capledger.plans import oracles as O
 from capledger.sources.tables import table
 
@@ -149,12 +149,16 @@ def trigger_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(T.trigger_terms(F.col("text")), " ").alias("terms"))
 
 
-@query(_PHASE + " SELECT root, path, load_phase IN ('on_trigger', 'reference') OR path = '7.md' AS entered FROM p")
+_ENTRIES = ("main.py", "a/cli.py", "mains.py", "run.sh", "x/entrypoint.sh", "index.js", "index.ts", "run.md", "setup.py", "__main__.py")
+_IS_ENTRY = (True, True, False, True, True, True, True, False, False, True)
+
+
+@query(f"SELECT o_orderkey, o_orderstatus IN ('O', 'F') OR [{', '.join(str(x).lower() for x in _IS_ENTRY)}][o_orderkey % {len(_ENTRIES)} + 1] AS entered FROM orders")
 def entered_files(spark: SparkSession, d: str) -> DataFrame:
     """Entered are files that are loaded, and those that a language always enters by name."""
-    names = spark.createDataFrame([("markdown", ["7.md"])], "language string, entry_basenames array<string>")
-    x = _phases(spark, d).withColumn("language", T.language_of(F.col("path"))).join(F.broadcast(names), "language", "left")
-    return x.select("root", "path", (F.col("load_phase").isin("on_trigger", "reference") | F.coalesce(F.array_contains("entry_basenames", T.basename(F.col("path"))), F.lit(False))).alias("entered"))
+    path = F.element_at(F.array(*map(F.lit, _ENTRIES)), (F.col("o_orderkey") % len(_ENTRIES) + 1).cast("int"))
+    phase = F.when(F.col("o_orderstatus") == "O", "on_trigger").when(F.col("o_orderstatus") == "F", "reference").otherwise("unreferenced")
+    return table(spark, d, "orders").select("o_orderkey", planes.is_entered(phase, path, T.language_of(path)).alias("entered"))
 
 
 @query(f"WITH {_FILES} SELECT root, path, 'unsupported_language' AS reason FROM files WHERE parsed_as NOT IN ('markdown', 'python', 'shell', 'javascript', 'typescript')")

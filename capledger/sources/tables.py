@@ -143,6 +143,9 @@ class _BundleReader(DataSourceReader):
 
 def walked(spark: SparkSession, folder: str, direct: bool = False) -> tuple[DataFrame, DataFrame]:
     """(files: root, path, content; problems: root, reason, file, note) of a folder of bundles, or of one bundle's own folder."""
+    folder = os.path.abspath(folder.removeprefix("file://"))
+    if not os.path.isdir(folder):
+        raise NotADirectoryError(folder)
     spark.dataSource.register(BundleSource)
     x = spark.read.format("bundles").option("direct", str(direct).lower()).load(folder)
     return x.where("content is not null").select("root", "path", "content"), x.where("reason is not null").select("root", "reason", F.col("path").alias("file"), "note")

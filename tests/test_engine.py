@@ -399,3 +399,97 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         tables.shared_dir(Session)
+
+
+def test_canonical_form_is_kept(spark, scanned):
+    r = random.Random(2)
+    doc = json.loads(scanned.manifests().where("root = 'demo'").first().json)
+
+    def mixed(x):
+        if isinstance(x, dict):
+            return {k: mixed(v) for k, v in sorted(x.items(), key=lambda _: r.random())} | {"absent": None}
+        return sorted((mixed(v) for v in x + x[:1]), key=lambda _: r.random()) if isinstance(x, list) else x
+
+    want = manifest.canonical(doc)
+    assert manifest.canonical(want) == want
+    for _ in range(50):
+        assert json.dumps(manifest.canonical(mixed(doc))) == json.dumps(want)
+
+
+def test_prng_sample(spark):
+    keys = [f"{(k * 7919) % 10007:05d}" for k in range(500)]
+    got = corpus.prng_sample(spark.createDataFrame([(k,) for k in keys], "digest string").repartition(5), "digest", "seed-s", 20)
+    assert [r.digest for r in got.orderBy("position").collect()] == random.Random("seed-s").sample(sorted(keys), 20)
+
+
+def test_harvest(spark, tmp_path):
+    import subprocess
+
+    from capledger.sources import harvest
+
+    for p, t in BUNDLE.items():
+        f = tmp_path / "src" / "o" / "one" / "kits" / "demo" / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(t if isinstance(t, bytes) else t.encode())
+    (tmp_path / "src" / "o" / "one" / ".git").mkdir()
+    (tmp_path / "src" / "o" / "one" / ".git" / "HEAD").write_text("x")
+    (tmp_path / "src" / "o" / "none").mkdir()
+    repos = spark.createDataFrame([("s", "o", "one", "1"), ("s", "o", "none", "1"), ("s", "o", "gone", "1"), ("s", "o", "old", "9"), ("s", "z", "late", "1")], "source string, owner string, name string, commit string")
+    want = harvest.wanted(repos, spark.createDataFrame([("o", "old", "9")], "owner string, name string, commit string"), limit=4)
+    files, problems, skipped = harvest.contents(harvest.fetched(want, harvest.local_fetcher(str(tmp_path / "src"))))
+    assert {(r.root, r.path) for r in files.collect()} == {("o/one/kits/demo", p) for p in BUNDLE} and problems.isEmpty()
+    assert {(r.repo, r["class"]) for r in skipped.collect()} == {("o/none", "repository contained no SKILL.md"), ("o/gone", "could not be cloned")}
+    git = tmp_path / "git" / "o" / "two"
+    (git / "b").mkdir(parents=True)
+    (git / "b" / "SKILL.md").write_text("x")
+    run = lambda *a: subprocess.run(["git", "-C", str(git), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True, text=True).stdout
+    run("init", "-q")
+    run("config", "uploadpack.allowAnySHA1InWant", "true")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    one = spark.createDataFrame([("o", "two", run("rev-parse", "HEAD").strip())], "owner string, name string, commit string")
+    assert [(r.bundle_root, r.path) for r in harvest.fetched(one, harvest.git_fetcher(str(tmp_path / "git"))).collect()] == [("b", "SKILL.md")]
+
+
+def test_hook(tmp_path):
+    from capledger.sources import hook
+
+    p = tmp_path / "settings.json"
+    p.write_text('{"model": "m", "hooks": {"Stop": [{"hooks": []}]}}')
+    assert hook.install(str(p)) and hook.status(str(p)) and not hook.install(str(p))
+    assert (tmp_path / "settings.json.bak").exists()
+    assert hook.uninstall(str(p)) and not hook.uninstall(str(p)) and json.loads(p.read_text()) == {"model": "m", "hooks": {"Stop": [{"hooks": []}]}}
+    p.write_text('{"hooks": []}')
+    with pytest.raises(ValueError):
+        hook.install(str(p))
+    assert p.read_text() == '{"hooks": []}'
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from capledger import __main__ as cli
+
+    monkeypatch.chdir(tmp_path)
+    f = tmp_path / "skills" / "demo" / "SKILL.md"
+    f.parent.mkdir(parents=True)
+    f.write_text(HEAD + "see `run.py`\n")
+    (f.parent / "run.py").write_text("eval(x)\n")
+    assert cli.main(["rules"]) == 0 and len(capsys.readouterr().out.splitlines()) == 47
+    assert cli.main(["ci", "skills"]) == 4
+    assert cli.main(["lock", "skills"]) == 0 and cli.main(["ci", "skills"]) == 0
+    (f.parent / "run.py").write_text("eval(x)\nimport subprocess\nsubprocess.run(['ls'])\n")
+    assert cli.main(["ci", "skills"]) == 1 and "gained process.exec" in capsys.readouterr().out
+    assert cli.main(["scan", "skills/demo", "--direct", "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["target"]["root"] == "demo"
+    assert cli.main(["corpus", "skills", "--sample"]) == 0 and {p.name for p in (tmp_path / "corpus").iterdir()} == {"index.json", "report.md", "sample.json"}
+    assert cli.main(["scan", "nowhere"]) == 4
+    with pytest.raises(SystemExit):
+        cli.main(["scan", "skills", "--colour"])
+
+
+def test_languages(tmp_path):
+    assert planes.load_languages()["python"]["entry_basenames"]
+    p = tmp_path / "l.toml"
+    for bad in ('[a]\nextensions = ["x"]\n[b]\nextensions = ["x"]\n', '[a]\nextensions = ["x"]\ncolour = 1\n'):
+        p.write_text(bad)
+        with pytest.raises(ValueError):
+            planes.load_languages(str(p))
