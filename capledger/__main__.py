@@ -33,6 +33,11 @@ def parser() -> argparse.ArgumentParser:
     corpus.add_argument("--head", action="append", default=[], help="roots of the head population")
     corpus.add_argument("--sample", action="store_true", help="write sample.json as well")
     corpus.add_argument("--out", default="corpus")
+    ev = verb("eval", "run the suites of a folder and hold them against their baseline", folder=False)
+    ev.add_argument("folder")
+    ev.add_argument("--rules")
+    ev.add_argument("--baseline")
+    ev.add_argument("--bless", metavar="NOTE", help="write the baseline anew, with a note why")
     hook = verb("hook", "a session hook in a settings file", folder=False)
     hook.add_argument("action", choices=("install", "uninstall", "status", "run"))
     hook.add_argument("--settings", default=os.path.join(os.path.expanduser("~"), ".claude", "settings.json"))
@@ -53,7 +58,8 @@ def _save(path: str, text: str) -> None:
         f.write(text)
 
 
-def run(a: argparse.Namespace, out=sys.stdout) -> int:
+def run(a: argparse.Namespace, out=None) -> int:
+    out = out or sys.stdout
     from capledger.operators import planes
     from capledger.sources import hook
 
@@ -76,6 +82,22 @@ def run(a: argparse.Namespace, out=sys.stdout) -> int:
         return CANNOT
     spark = session()
     ship(spark)
+    if a.verb == "eval":
+        from capledger.operators import gates
+        from capledger.plans import suites
+
+        results = suites.run(spark, a.folder, a.rules).cache()
+        path = a.baseline or os.path.join(a.folder, "baseline.json")
+        old = None
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                old = f.read()
+        text, worse = suites.said(results, old)
+        out.write(text)
+        if a.bless is not None:
+            gates.bless(path, results, a.bless)
+            return 0
+        return int(worse)
     now = engine.scan_folder(spark, a.folder, a.direct, rule_file=a.rules)
     if a.verb == "scan":
         out.write(manifest.framed([r["json"] for r in now.manifests().orderBy("root").toLocalIterator()]) if a.format == "json" else reports.human(now))

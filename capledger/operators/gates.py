@@ -88,8 +88,7 @@ def outcomes(cases: DataFrame, held: DataFrame, suite: str) -> DataFrame:
 def fires(fixtures: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """(fixture, fires): whether any plane finds anything, or meets what it can't tell, in one file taken by itself and as entered. fixtures: fixture, path, language, text."""
     f = fixtures.select(F.col("fixture").cast("string").alias("root"), "path", "language", F.lit(True).alias("entered"), "text")
-    ev = planes.events(f)
-    found = planes.findings(ev, rules).select("root").unionByName(ev.where("kind = 'parse_error'").select("root")).distinct().withColumn("hit", F.lit(True))
+    found = planes.findings(planes.events(f), rules).select("root").distinct().withColumn("hit", F.lit(True))
     return f.select("root").join(found, "root", "left").select(F.col("root").alias("fixture"), F.coalesce("hit", F.lit(False)).alias("fires"))
 
 

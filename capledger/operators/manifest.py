@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capledger.functions import text as T
 
 SCHEMA_VERSION = "1.4.0"
+TOOL_VERSION = "0.2.0"
 
 
 def _nest(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
@@ -20,8 +21,10 @@ def _nest(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
 def manifests(bundles: DataFrame, inventory: DataFrame, capabilities: DataFrame, instructions: DataFrame, unresolved: DataFrame) -> DataFrame:
     """One row a bundle, with ``json``: keys sorted at every level, lists sorted and without repeats, what is absent left out.
 
-    bundles: root, content_digest, description. Lists that a bundle has nothing for are empty, not missing.
+    bundles: root, content_digest, description and, where they are known, declared (capabilities that the frontmatter names) and resolver. Lists that a bundle has nothing for are empty, not missing.
     """
+    declared = F.array_sort(F.array_distinct(F.coalesce("declared", F.array().cast("array<string>")))) if "declared" in bundles.columns else F.array().cast("array<string>")
+    resolver = F.col("resolver") if "resolver" in bundles.columns else F.lit("agent-skills")
     inv = _nest(inventory.withColumn("sha256", T.wire(F.col("sha256"))), "inventory", ["path", "load_phase", "parse_status", "parsed_as", "sha256", "size"])
     cap = _nest(capabilities.withColumn("detail", F.when(F.col("paths").isNotNull(), F.struct("paths"))), "capabilities", [F.col("term").alias("capability"), "detail", "evidence", "reachability"])
     ins = _nest(instructions, "instructions", ["signal", "evidence"])
@@ -30,9 +33,10 @@ def manifests(bundles: DataFrame, inventory: DataFrame, capabilities: DataFrame,
     out = bundles.join(phases, "root", "left")
     for part, name in ((inv, "inventory"), (cap, "capabilities"), (ins, "instructions"), (unr, "unresolved")):
         out = out.join(part, "root", "left").withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), part.schema[name].dataType)))
-    disclosure = F.struct(F.octet_length("description").cast("long").alias("description_bytes"), F.coalesce("reference_files", F.lit(0)).alias("reference_files"), T.trigger_terms(F.col("description")).alias("trigger_terms"), F.coalesce("unreferenced_files", F.lit(0)).alias("unreferenced_files"))
-    target = F.struct("content_digest", F.lit("skill").alias("kind"), F.col("root").alias("name"), F.col("root"))
-    doc = F.struct("capabilities", disclosure.alias("disclosure"), "instructions", "inventory", F.lit(SCHEMA_VERSION).alias("schema_version"), target.alias("target"), "unresolved")
+    disclosure = F.struct(declared.alias("declared_capabilities"), F.octet_length("description").cast("long").alias("description_bytes"), F.coalesce("reference_files", F.lit(0)).alias("reference_files"), T.trigger_terms(F.col("description")).alias("trigger_terms"), F.coalesce("unreferenced_files", F.lit(0)).alias("unreferenced_files"))
+    target = F.struct("content_digest", F.lit("skill").alias("kind"), F.col("root").alias("name"), resolver.alias("resolver"), F.col("root"))
+    tool = F.struct(F.lit("capledger").alias("name"), F.lit(TOOL_VERSION).alias("version"))
+    doc = F.struct(F.struct(F.lit(False).alias("enabled")).alias("advisory"), "capabilities", disclosure.alias("disclosure"), "instructions", "inventory", F.lit(SCHEMA_VERSION).alias("schema_version"), target.alias("target"), tool.alias("tool"), "unresolved")
     return out.select("root", F.to_json(doc).alias("json"))
 
 

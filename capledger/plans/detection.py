@@ -131,7 +131,7 @@ def capabilities(spark: SparkSession, d: str) -> DataFrame:
 def computed_targets(spark: SparkSession, d: str) -> DataFrame:
     f = sources(spark, d, [("python", "import sys\nopen(sys.argv[{k}])\n"), ("shell", 'touch "$1"\n'), ("python", 'open("a{k}")\n')])
     ev = planes.events(f)
-    return planes.unresolved(planes.findings(ev), ev, f).where("reason = 'computed_target'").select(F.col("root").cast("long").alias("p_partkey"), F.col("note").alias("rule"))
+    return planes.unresolved(planes.findings(ev), f).where("reason = 'computed_target'").select(F.col("root").cast("long").alias("p_partkey"), F.col("note").alias("rule"))
 
 
 @query()
@@ -142,7 +142,7 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     found = planes.findings(ev)
     inv = f.select("root", "path", F.octet_length("text").cast("long").alias("size"), T.sha256(F.col("text")).alias("sha256"), F.lit("reference").alias("load_phase"), F.lit("ok").alias("parse_status"), F.col("language").alias("parsed_as"))
     b = state.content_digest(inv, "root").withColumn("description", F.concat(F.lit("Parts of the brand "), "root"))
-    return manifest.manifests(b, inv, planes.capabilities(found), planes.instructions(found), planes.unresolved(found, ev, f))
+    return manifest.manifests(b, inv, planes.capabilities(found), planes.instructions(found), planes.unresolved(found, f))
 
 
 @query("SELECT p_partkey, p_partkey % 4 < 2 AS ok, CASE p_partkey % 4 WHEN 0 THEN 'tool-' || p_partkey WHEN 1 THEN p_name END AS name, CASE p_partkey % 4 WHEN 2 THEN 3 WHEN 3 THEN 4 END::BIGINT AS line, CASE p_partkey % 4 WHEN 0 THEN 'Read,Write' WHEN 1 THEN '' END AS declared FROM part")

@@ -69,17 +69,19 @@ def scan(content: DataFrame, rule_file: str | None = None, strict_entry_case: bo
     ev = ev.withColumn("is_entered", planes.is_entered(F.col("load_phase"), F.col("path"), F.col("language"))).drop("load_phase")
     # What isn't entered is never more than present.
     ev = ev.withColumn("reach", F.when(F.col("is_entered") | ~F.col("language").isin(*T.CODE), F.col("reach")).when(F.col("reach").isNotNull(), "present")).drop("is_entered")
-    found = planes.findings(ev, planes.load_rules(rule_file))
+    # Texts are gone through once, whatever is asked of what was found.
+    found = kept(planes.findings(ev, planes.load_rules(rule_file)), scratch(spark, "findings"))
+    head = kept(head, scratch(spark, "heads"))
     none = F.lit(None).cast("long")
     spans = [none.alias("start_byte"), none.alias("end_byte")]
     bad_head = head.where("not ok").select("root", F.lit("parse_error").alias("reason"), F.col("path").alias("file"), *spans, F.col("line").alias("start_line"), F.col("message").alias("note"))
     said = F.when(F.col("reason") == "size_limit", "too large; hashed, but not read").when(F.col("reason") == "binary_file", "holds a NUL; not read as text").otherwise("no valid UTF-8; hashed, but not read as text")
     unread = facts.where("reason is not null").select("root", "reason", F.col("path").alias("file"), *spans, none.alias("start_line"), said.alias("note"))
     read = facts.select("root", "path", F.col("parsed_as").alias("language"), F.when(F.col("reason").isNull(), "").alias("text"))
-    open_ = planes.unresolved(found, ev, read).unionByName(bad_head).unionByName(unread)
+    open_ = planes.unresolved(found, read).unionByName(bad_head).unionByName(unread)
     if problems is not None:
         open_ = open_.unionByName(problems.select("root", "reason", "file", *spans, none.alias("start_line"), "note"))
-    bundles = state.content_digest(files, "root").join(head.select("root", "description"), "root", "left").withColumn("description", F.coalesce("description", F.lit("")))
+    bundles = state.content_digest(files, "root").join(head.select("root", "description", "declared"), "root", "left").withColumn("description", F.coalesce("description", F.lit("")))
     return Scan(files, bundles, head, planes.capabilities(found), planes.instructions(found), open_, texts)
 
 

@@ -75,3 +75,15 @@ def human(s: Scan) -> str:
 
 def violations_text(broken: DataFrame) -> str:
     return "".join(f"{r['root']}: {r['term']} is not allowed, {r['first']['file']}:{r['first']['start_line']} [{r['first']['rule_id']}]\n" for r in broken.orderBy("root", "term").toLocalIterator())
+
+
+def coverage_sentence(s: Scan) -> str:
+    """What the findings rest on, over all bundles."""
+    r = coverage(s).agg(F.sum("code").alias("c"), F.sum("prose").alias("p"), F.sum("unread").alias("u")).first()
+    return f"Read {r['c'] or 0} files of code and {r['p'] or 0} of prose; {r['u'] or 0} were not read, and nothing is said of them.\n"
+
+
+def variance_text(table: DataFrame, runs: int) -> str:
+    """What repeated model calls agree on. table: of ``advisory.variance``."""
+    lines = [f"{r['kind']}: in {r['runs_present']} of {runs} runs, {r['stable']} of {r['findings']} findings in all of them" for r in table.orderBy("kind").toLocalIterator()]
+    return "\n".join(lines or [f"nothing in {runs} runs"]) + "\n"

@@ -493,3 +493,35 @@ def test_languages(tmp_path):
         p.write_text(bad)
         with pytest.raises(ValueError):
             planes.load_languages(str(p))
+
+
+def test_suites(spark, tmp_path, capsys):
+    from capledger import __main__ as cli
+
+    def put(path, text):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+
+    put("python/eval/positive.py", "eval(x)\n")
+    put("python/eval/negative.py", "x = 1\n")
+    put("notes/eval/positive.py", "x = 1\n")
+    put("adversarial/hidden/SKILL.md", HEAD + "nothing\n")
+    put("adversarial/hidden/a.py", "eval(x)\n")
+    put("adversarial/hidden/expect.toml", 'description = "d"\n[[expect]]\nkind = "capability"\ncapability = "code.dynamic_eval"\nreachability = "present"\n[[expect]]\nkind = "load_phase"\npath = "a.py"\nphase = "unreferenced"\n[[expect]]\nkind = "no_verdict"\n[[expect]]\nkind = "escalation"\ncapability = "code.dynamic_eval"\n')
+    put("adversarial/hidden/lock.json", json.dumps({"bundles": {"bundle": {"capabilities": [], "content_digest": "sha256:00"}}}))
+    put("adversarial/asked/SKILL.md", HEAD)
+    put("adversarial/asked/expect.toml", 'description = "d"\nrequires = {kind = "model"}\nexpect = [{kind = "no_verdict"}]\n')
+    assert cli.main(["eval", str(tmp_path)]) == 0
+    assert capsys.readouterr().out == "adversarial: 1 passed, 0 failed, 1 pending\nfixtures: 2 passed, 0 failed, 0 pending\n"
+    assert cli.main(["eval", str(tmp_path), "--bless", "first"]) == 0
+    put("python/eval/negative.py", "eval(x)\n")
+    assert cli.main(["eval", str(tmp_path)]) == 1 and "failed: python/eval/negative" in capsys.readouterr().out
+    assert cli.main(["eval", str(tmp_path), "--bless", "worse"]) == 4
+    os.remove(tmp_path / "python/eval/negative.py")
+    assert cli.main(["eval", str(tmp_path)]) == 1
+
+
+def test_manifest_has_what_is_declared(scanned):
+    x = json.loads(scanned.manifests().where("root = 'demo'").first().json)
+    assert x["disclosure"]["declared_capabilities"] == ["Bash", "Read"] and x["tool"]["name"] == "capledger" and x["advisory"] == {"enabled": False} and x["target"]["resolver"] == "agent-skills"
