@@ -69,23 +69,29 @@ def cut(text: str) -> list[tuple[int, str]]:
 
 
 def budgeted(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(root, path, start_line, chunk, taken): a running budget a bundle, files in order; a file stops at its first chunk that doesn't fit, the next may go on."""
-
-    def run(key: tuple, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, stopped = budget, None
-        t = pa.Table.from_batches(list(it)).sort_by([("path", "ascending"), ("start_line", "ascending")])
-        taken = []
-        for path, chunk in zip(t["path"].to_pylist(), t["chunk"].to_pylist()):
-            n = len(chunk.encode("utf-8", "surrogatepass"))
-            ok = path != stopped and n <= left
-            if ok:
-                left -= n
-            elif path != stopped:
-                stopped = path
-            taken.append(ok)
-        yield from t.append_column("taken", pa.array(taken)).to_batches()
-
-    return chunks.groupBy("root").applyInArrow(lambda key, t: pa.Table.from_batches(run(key, iter(t.to_batches()))), "root string, path string, start_line long, chunk string, taken boolean")
+    """(root, path, start_line, chunk, taken): a running budget a bundle, files in order; a file stops at its first chunk that doesn't fit, the next may go on.
+
+    The shuffle's sort, which spills, puts chunks in order, and a task goes through them by batches: it holds what is left of one bundle's budget, never the bundle.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, stopped = (), budget, ()
+        for b in it:
+            taken = []
+            for root, path, chunk in zip(*(b.column(c).to_pylist() for c in ("root", "path", "chunk"))):
+                if now != (root,):
+                    now, left, stopped = (root,), budget, ()
+                n = len(chunk.encode("utf-8", "surrogatepass"))
+                ok = stopped != (path,) and n <= left
+                if ok:
+                    left -= n
+                elif stopped != (path,):
+                    stopped = (path,)
+                taken.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(taken, pa.bool_())], names=[*b.schema.names, "taken"])
+
+    narrow = chunks.select("root", "path", F.col("start_line").cast("long").alias("start_line"), "chunk")
+    return narrow.repartition("root").sortWithinPartitions("root", "path", "start_line").mapInArrow(run, "root string, path string, start_line long, chunk string, taken boolean")
 
 
 def unsent(chunks: DataFrame) -> DataFrame:

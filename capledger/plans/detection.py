@@ -158,7 +158,16 @@ def section_starts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(advisory.section_starts(F.col("text"))).alias("start_line"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS n FROM t),
+b AS (SELECT doc_id, n, strlen(s) AS size, starts_with(s, '#') AS head FROM l),
+c AS (SELECT doc_id, n, size, n AS start FROM b WHERE n = 1
+  UNION ALL SELECT b.doc_id, b.n, CASE WHEN b.head OR c.size + b.size > 24000 THEN b.size ELSE c.size + b.size END, CASE WHEN b.head OR c.size + b.size > 24000 THEN b.n ELSE c.start END FROM c JOIN b ON b.doc_id = c.doc_id AND b.n = c.n + 1),
+k AS (SELECT doc_id, start, max(size) AS size FROM c GROUP BY doc_id, start),
+o AS (SELECT d.source AS root, k.doc_id::VARCHAR AS path, k.start, k.size, row_number() OVER (PARTITION BY d.source ORDER BY k.doc_id::VARCHAR, k.start) AS i FROM k JOIN documents d USING (doc_id)),
+g AS (SELECT root, path, start, size, i, size <= 240000 AS taken, CASE WHEN size <= 240000 THEN 240000 - size ELSE 240000 END AS rest, CASE WHEN size > 240000 THEN path END AS stopped FROM o WHERE i = 1
+  UNION ALL SELECT o.root, o.path, o.start, o.size, o.i, fits, CASE WHEN fits THEN g.rest - o.size ELSE g.rest END, CASE WHEN fits THEN g.stopped ELSE o.path END FROM g JOIN o ON o.root = g.root AND o.i = g.i + 1, LATERAL (SELECT o.path IS DISTINCT FROM g.stopped AND o.size <= g.rest AS fits))
+SELECT root, path, start::BIGINT AS start_line, size::INTEGER AS bytes, taken FROM g""")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").cast("string").alias("path"), "text")
     return advisory.budgeted(advisory.sections(f)).select("root", "path", "start_line", F.octet_length("chunk").alias("bytes"), "taken")
