@@ -6,7 +6,8 @@ triangle inequality replicate boundary documents, divided again until a part fit
 Nearly every document is at distance exactly 1 from a randomly drawn one, and with a radius of 0.4 the window of twice
 the radius lets nearly all of these in, so pivots drawn at random separate nothing at the first level. There the pivots are documents
 that *hold* the n-grams: of each document a prefix of its n-grams in an order common to all is looked at, so long that any
-two documents within the radius have ``k`` of them in common; each n-gram that two documents have there elects one
+two documents within the radius have ``k`` of them in common. The order puts n-grams of rare words first, by the words' counts in a
+bounded sample: of those of common words, more and more occur in unrelated documents as the corpus grows, and their votes would bring all together. Each n-gram that two documents have there elects one
 pivot among its holders. A document lies in the regions of the pivots it votes for, weightiest pivots first, in so many that the votes
 left out are fewer than ``k``: a pair within the radius meets for certain. Regions too large for a task are divided by
 pivots of their own as Spark jobs (`divide`), with triangle windows; a region that pivots can't separate, as all of it
@@ -41,6 +42,8 @@ VOTES = 0.25  # of a document's n-grams that must be shared within the prefixes
 PART_BYTES, MAX_PARTS = 24_000_000, 1 << 20  # beyond so many parts they grow, with the same results
 ROWS, GRAMS = 8192, 4_000_000  # the most of a region in one task
 PIVOTS, DEPTH = 32, 8
+SAMPLE_BYTES, SAMPLE_ROWS = 32_000_000, 16_384  # of the texts whose words are counted; rows where the optimizer knows no size
+WORD_BITS = 18
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +69,15 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of the distinct word n-grams, by text, then hash. A text of fewer than n words has one n-gram: all its words; one without words has none."""
+    return weighed_sets(texts, n, np.zeros(1 << WORD_BITS, np.uint8))[:2]
+
+
+def weighed_sets(texts: list[str], n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``gram_sets``, and how common the words of each n-gram are: the sum of their levels."""
     h, doc = _words(texts)
     if not len(h):
-        return h, doc
+        return h, doc, np.zeros(0, U)
+    level = levels[h >> U(64 - WORD_BITS)].astype(U)
     count = np.bincount(doc, minlength=len(texts))
     with np.errstate(over="ignore"):
         m = len(h) - n + 1
@@ -76,17 +85,37 @@ def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n) if m > 0 else ():
             g = mix(g + h[k : k + m] * (GOLDEN * U(2 * k + 1)) + U(k))
         ok = doc[:m] == doc[n - 1 :] if m > 0 else np.zeros(0, bool)
-        g, d = g[ok], doc[:m][ok]
+        common = sum((level[k : k + m] for k in range(n)), np.zeros(max(m, 0), U)) if m > 0 else g
+        g, d, common = g[ok], doc[:m][ok], common[ok]
         few = np.flatnonzero((count > 0) & (count < n))
         if len(few):
             start = np.searchsorted(doc, few)
             extra = np.array([np.bitwise_xor.reduce(mix(h[s : s + c] + np.arange(c, dtype=U) * GOLDEN)) for s, c in zip(start, count[few])], U)
-            g, d = np.concatenate([g, mix(extra + U(77))]), np.concatenate([d, few])
+            g, d, common = np.concatenate([g, mix(extra + U(77))]), np.concatenate([d, few]), np.concatenate([common, np.zeros(len(few), U)])
     o = np.lexsort((g, d))
-    g, d = g[o], d[o]
+    g, d, common = g[o], d[o], common[o]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-    return g[new], d[new]
+    return g[new], d[new], common[new]
+
+
+def word_levels(src: DataFrame, size: int | None) -> np.ndarray:
+    """How common words are, by 18 bits of their hash: eight times the binary logarithm of their count in a sample of 32 MB of the rows ``(i, t)``. It decides what is quick, and nothing of the result."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << WORD_BITS, np.int64)
+        for batch in it:
+            for s, e in batches_by_chars(batch, 0, _CHARS):
+                h, _ = _words([x or "" for x in batch.column(0).slice(s, e - s).to_pylist()])
+                total += np.bincount((h >> U(64 - WORD_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["w", "n"])
+
+    rows = src.select("t").limit(SAMPLE_ROWS) if size is None else src.select("t").sample(min(1.0, SAMPLE_BYTES / max(size, 1)), 5)
+    got = rows.mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(1 << WORD_BITS, np.uint8)
+    levels[np.asarray(got.column(0))] = np.minimum(255, 8 * np.log2(np.asarray(got.column(1)) + 1.0))
+    return levels
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -154,12 +183,12 @@ def _packed(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
-def _index(n: int, t: float, bits: int):
+def _index(n: int, t: float, bits: int, levels):
     """Text rows to packed rows. For each part of the hash space that occurs: 32 bits of the n-grams of the documents' prefixes, the document of each within the batch, and the class of its size. And, in parts from 2**bits on, the batch's documents: fingerprints, sizes, the rows' ids and the document of each."""
     parts = 1 << bits
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        ids, of, g, d, key, size = (np.concatenate([x[i] for x in held]) for i in range(6))
+        ids, of, g, d, key, size, order = (np.concatenate([x[i] for x in held]) for i in range(7))
         with np.errstate(over="ignore"):
             at = np.arange(len(ids), dtype=U)
             batch = mix(np.bitwise_xor.reduce(mix(mix(ids.astype(U)) + key[of] + at * GOLDEN)) + U(len(ids)))
@@ -170,10 +199,10 @@ def _index(n: int, t: float, bits: int):
         keep = np.zeros(len(key), bool)
         keep[first] = True
         m = keep[d]
-        g, d = g[m], inv[d[m]]
+        g, d, order = g[m], inv[d[m]], order[m]
         rows = [(parts + int(batch >> U(64 - bits) if bits else 0), batch.view(np.int64), u.tobytes(), size[first].astype("<u4").tobytes(), ids.astype("<i8").tobytes(), inv[of].astype("<u2").tobytes())]
         if len(g):
-            o = np.lexsort((mix(g), d))
+            o = np.lexsort((order, d))  # equal ones stay in the order of their hashes, as in any document
             g, d = g[o], d[o]
             start = _runs(d)
             many = np.diff(np.append(start, len(d)))
@@ -194,13 +223,13 @@ def _index(n: int, t: float, bits: int):
                 for lo in range(s, e, 8192):
                     hi = min(e, lo + 8192)
                     ids = np.asarray(batch.column(0).slice(lo, hi - lo), dtype=np.int64)
-                    g, d = gram_sets([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()], n)
+                    g, d, common = weighed_sets([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()], n, levels.value)
                     size = np.bincount(d, minlength=len(ids))
                     key = np.zeros(len(ids), U)  # of texts without a word
                     have = np.flatnonzero(size)
                     if len(have):
                         key[have] = _fingerprints(g, np.searchsorted(d, have), size[have])
-                    held.append((ids, np.arange(len(ids)) + docs, g, d + docs, key, size))
+                    held.append((ids, np.arange(len(ids)) + docs, g, d + docs, key, size, (common << U(48)) | (mix(g) >> U(16))))
                     grams, docs = grams + len(g), docs + len(ids)
                     if grams >= _FLUSH or docs > 50_000:
                         yield from flush(held)
@@ -649,7 +678,8 @@ def _near(df: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs: bo
     size = input_bytes(df)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) if size is None else min(MAX_PARTS, max(8, size // PART_BYTES))
     bits = int(parts - 1).bit_length()
-    elected = src.mapInArrow(_index(n, t, bits), _PACKED).groupBy("part").applyInArrow(_elect(t, bits), _PACKED)
+    levels = spark.sparkContext.broadcast(word_levels(src, size))
+    elected = src.mapInArrow(_index(n, t, bits, levels), _PACKED).groupBy("part").applyInArrow(_elect(t, bits), _PACKED)
     docs = materialize(elected.groupBy("part").applyInArrow(_documents(t), _DOC), "ngram-docs")
     held = docs.where("size > 0").select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first"))
     places = materialize(_places(t, docs).join(held, "key"), "ngram-places")

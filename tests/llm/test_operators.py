@@ -166,6 +166,17 @@ def test_join_of_nothing_and_clashing_columns(spark, docs):
     assert ngram_join.keep_one_of_each(odd).columns == odd.columns
 
 
+def test_common_words_bring_no_unrelated_documents_together(spark):
+    """Two in five n-grams of each text are of six words that all texts have; none is near another, but for one copy."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(["the", "of", "and", "to", "in", "a"], k=110)) + " " + " ".join(f"w{i}x{k}" for k in range(115))) for i in range(120)]
+    rows.append((500, rows[7][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, docs, _ = ngram_join._near(df, "doc_id", "text", 3, 0.6, True, ngram_join.ROWS, ngram_join.GRAMS)
+    assert {r.doc for r in docs.where("pivots is not null").collect()} == {7, 500}
+    assert found.count() == 1
+
+
 @pytest.mark.parametrize("t", [0.6, 0.8, 0.95])
 def test_regions_divided_by_pivots_are_exact(t):
     r = np.random.default_rng(1)
