@@ -331,7 +331,7 @@ def _voters(t: pa.Table, t_: float) -> pa.Table:
 
 
 def overlaps(col: np.ndarray, ptr: np.ndarray, width: int, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """How many columns each of rows has in common with each of others, by products of 0/1 blocks."""
+    """How many columns each of rows has in common with each of others: by products of 0/1 blocks, and pair by pair for columns that few of them have."""
     out = np.zeros((len(rows), len(others)), np.float32)
 
     def entries(which):
@@ -341,71 +341,106 @@ def overlaps(col: np.ndarray, ptr: np.ndarray, width: int, rows: np.ndarray, oth
 
     ra, ca = entries(rows)
     rb, cb = entries(others)
+    na, nb = np.bincount(ca, minlength=width), np.bincount(cb, minlength=width)
+    many = na * nb
+    few = (many > 0) & (many * 512 <= out.size)
+    if few.any():
+        a, b = few[ca], few[cb]
+        x, y, c = ra[a], rb[b], ca[a]
+        o = np.argsort(cb[b], kind="stable")
+        n = np.where(few, nb, 0)
+        first = np.cumsum(n) - n
+        for lo in range(0, len(x), 65536):
+            k = c[lo : lo + 65536]
+            size = n[k]
+            at = np.repeat(first[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            np.add.at(out.reshape(-1), np.repeat(x[lo : lo + 65536], size) * len(others) + y[o[at]], np.float32(1))
+    dense = (many > 0) & ~few
+    name, width = np.cumsum(dense) - 1, int(dense.sum())
+    a, b = dense[ca], dense[cb]
+    ra, ca, rb, cb = ra[a], name[ca[a]], rb[b], name[cb[b]]
     step = 4096
     oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
     ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
     for lo in range(0, width, step):
-        sa, ea = np.searchsorted(ca, (lo, lo + step))
-        sb, eb = np.searchsorted(cb, (lo, lo + step))
-        if sa == ea or sb == eb:
-            continue
-        x, y = np.zeros((len(rows), step), np.float32), np.zeros((len(others), step), np.float32)
+        n = min(step, width - lo)
+        sa, ea = np.searchsorted(ca, (lo, lo + n))
+        sb, eb = np.searchsorted(cb, (lo, lo + n))
+        x, y = np.zeros((len(rows), n), np.float32), np.zeros((len(others), n), np.float32)
         x[ra[sa:ea], ca[sa:ea] - lo] = 1
         y[rb[sb:eb], cb[sb:eb] - lo] = 1
         out += x @ y.T
     return out
 
 
-def space(size: np.ndarray, sets: list[np.ndarray]):
-    """A function that gives the overlaps and distances of some of the sets to others."""
+def space(sets: list[np.ndarray]):
+    """A function that gives the overlaps of some of the sets with others."""
     u, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     name = np.cumsum(df > 1) - 1
     keep = (df > 1)[inv]
     ptr = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], minlength=len(sets)))])
     col, width = name[inv[keep]], int((df > 1).sum())
+    return lambda rows, others: overlaps(col, ptr, width, rows, others)
 
-    def distances(rows, others):
-        o = overlaps(col, ptr, width, rows, others)
-        return o, 1 - o / (size[rows][:, None] + size[others][None, :] - o)
 
-    return distances
+def _distances(o: np.ndarray, size: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return 1 - o / (size[rows][:, None] + size[others][None, :] - o)
 
 
-def join_sides(size: np.ndarray, sets: list[np.ndarray], t: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``join_region``, for pairs of one of left and one of right."""
+def _close(rows, others, size, common, t, met) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, jaccard) of those of rows and of others that reach t and haven't met elsewhere."""
+    o = common(rows, others)
+    both = (size[rows][:, None] + size[others][None, :]).astype(np.float32)
+    x, y = np.nonzero(o * np.float32(1 + t) >= both * np.float32(t * (1 - 1e-5)) - np.float32(1e-3))
+    if len(x) and met is not None:
+        new = met(rows, others)[x, y] == 0
+        x, y = x[new], y[new]
+    have = o[x, y].astype(np.float64)
+    x, y = rows[x], others[y]
+    v = have / (size[x] + size[y] - have)
+    hit = v >= t - 1e-12
+    return x[hit], y[hit], v[hit]
+
+
+def _gathered(join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found: list[tuple] = []
-    cross(left, right, size, space(size, sets), found, t)
+    join(lambda *f: found.append(f))
     i, j, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
     return i.astype(np.int64), j.astype(np.int64), v
 
 
-def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (i, j, jaccard), i < j, of one region that reach t, exactly. size: of the whole sets; sets: the n-grams that can be in common."""
+def join_sides(size: np.ndarray, sets: list[np.ndarray], t: float, left: np.ndarray, right: np.ndarray, emit=None, met=None):
+    """As ``join_region``, for pairs of one of left and one of right."""
+    if emit is None:
+        return _gathered(lambda emit: join_sides(size, sets, t, left, right, emit, met))
+    cross(left, right, size, space(sets), emit, t, met)
+
+
+def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int = LEAF, emit=None, met=None):
+    """All (i, j, jaccard), i < j, of one region that reach t, exactly; or emit takes them, block by block. size: of the whole sets; sets: the n-grams that can be in common; met: gives a number but 0 for pairs to be left out."""
+    if emit is None:
+        return _gathered(lambda emit: join_region(size, sets, t, leaf, emit, met))
     if len(size) == 2:
         o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         j = o / (size[0] + size[1] - o)
-        hit = j >= t - 1e-12
-        return np.zeros(int(hit), np.int64), np.ones(int(hit), np.int64), np.full(int(hit), j)
-    found: list[tuple] = []
-    distances = space(size, sets)
+        if j >= t - 1e-12 and (met is None or not met(np.zeros(1, np.int64), np.ones(1, np.int64))[0, 0]):
+            emit(np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, j))
+        return None
+    common = space(sets)
 
     def exact(mine: np.ndarray) -> None:
         for lo in range(0, len(mine), 1024):
             for lo2 in range(lo, len(mine), 1024):
-                a, b = mine[lo : lo + 1024], mine[lo2 : lo2 + 1024]
-                o, _ = distances(a, b)
-                j = o.astype(np.float64) / (size[a][:, None] + size[b][None, :] - o)
-                x, y = np.nonzero(j >= t - 1e-12)
-                v = j[x, y]
-                x, y = a[x], b[y]
+                x, y, v = _close(mine[lo : lo + 1024], mine[lo2 : lo2 + 1024], size, common, t, met)
                 ok = x < y if lo == lo2 else np.ones(len(x), bool)
-                found.append((np.minimum(x, y)[ok], np.maximum(x, y)[ok], v[ok]))
+                if ok.any():
+                    emit(np.minimum(x, y)[ok], np.maximum(x, y)[ok], v[ok])
 
     def divide(mine: np.ndarray, depth: int) -> list[tuple]:
         """Voronoi cells of pivots among mine, each with the boundary documents of earlier cells that a window of twice the radius lets in."""
         order = mine[np.argsort(mix(mine.astype(U) + U(depth + 1)), kind="stable")]
         pivots = order[: max(2, len(mine) // leaf * 2)]
-        _, d = distances(mine, pivots)
+        d = _distances(common(mine, pivots), size, mine, pivots)
         home = d.argmin(1)
         near = d[np.arange(len(mine)), home]
         reach = d <= near[:, None] + 2 * (1 - t) + 1e-6
@@ -420,7 +455,7 @@ def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int =
     while todo:
         own, edge, depth = todo.pop()
         if len(edge):
-            cross(own, edge, size, distances, found, t)
+            cross(own, edge, size, common, emit, t, met)
         if len(own) <= leaf:
             exact(own)
             continue
@@ -429,21 +464,15 @@ def join_region(size: np.ndarray, sets: list[np.ndarray], t: float, leaf: int =
             exact(own)
             continue
         todo += [(c, e, depth + 1) for c, e in cells]
-    i, j, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
-    return i.astype(np.int64), j.astype(np.int64), v
 
 
-def cross(own, edge, size, distances, found, t) -> None:
+def cross(own, edge, size, common, emit, t, met) -> None:
     """Pairs of a cell's own documents with the boundary documents replicated to it."""
     for lo in range(0, len(own), 1024):
         for lo2 in range(0, len(edge), 1024):
-            a, b = own[lo : lo + 1024], edge[lo2 : lo2 + 1024]
-            o, _ = distances(a, b)
-            j = o.astype(np.float64) / (size[a][:, None] + size[b][None, :] - o)
-            x, y = np.nonzero(j >= t - 1e-12)
-            v = j[x, y]
-            x, y = a[x], b[y]
-            found.append((np.minimum(x, y), np.maximum(x, y), v))
+            x, y, v = _close(own[lo : lo + 1024], edge[lo2 : lo2 + 1024], size, common, t, met)
+            if len(x):
+                emit(np.minimum(x, y), np.maximum(x, y), v)
 
 
 def _components(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -530,10 +559,11 @@ def _cells(t: float):
         sets = [_unpack(b) for b in [*rows.column("grams").to_pylist(), *pivots.column("pivot_grams").to_pylist()]]
         size = np.concatenate([np.asarray(rows.column("size")), np.asarray(pivots.column("pivot_size"))]).astype(np.int64)
         m = rows.num_rows
-        distances = space(size, sets)
+        common = space(sets)
         home, near = np.zeros(m, np.int32), []
         for lo in range(0, m, 1024):
-            _, d = distances(np.arange(lo, min(m, lo + 1024)), np.arange(m, len(size)))
+            which = np.arange(lo, min(m, lo + 1024)), np.arange(m, len(size))
+            d = _distances(common(*which), size, *which)
             k = d.argmin(1)
             home[lo : lo + len(k)] = k
             in_ = (d <= d.min(1)[:, None] + 2 * (1 - t) + 1e-6) & (np.arange(d.shape[1])[None, :] > k[:, None])
@@ -618,22 +648,28 @@ def _joined(t: float, pairs: bool):
         side, key, size, copies = (x[once] for x in (side, key, size, copies))
         if len(key) < 2:
             return []
-        sets, far = [_unpack(blobs[i]) for i in once.tolist()], [places[i] for i in once.tolist()]
-        i, j, v = join_sides(size, sets, t, np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else join_region(size, sets, t)
-        if not len(i):
-            return []
-        many = np.array([len(p) for p in far]) > 1
-        ours = np.ones(len(i), bool)
-        for x in np.flatnonzero(many[i] & many[j]).tolist():
-            ours[x] = min(set(far[i[x]]) & set(far[j[x]])) == home
-        i, j, v = i[ours], j[ours], v[ours]
+        sets = [_unpack(blobs[i]) for i in once.tolist()]
+        before = [np.array([r for r in places[i] if r < home], np.int64) for i in once.tolist()]
+        met = space(before) if any(map(len, before)) else None
+        join = lambda emit: join_sides(size, sets, t, np.flatnonzero(side == 0), np.flatnonzero(side == 1), emit, met) if crossed else join_region(size, sets, t, emit=emit, met=met)
         none = lambda n, kind: pa.nulls(n, kind)
         if pairs:
-            return [(np.minimum(key[i], key[j]), pa.array(np.maximum(key[i], key[j])), pa.array(v), none(len(i), pa.int64()))]
-        root = _components(len(key), i, j)
-        moved = np.flatnonzero(root != np.arange(len(key)))
-        links = np.bincount(i, copies[j], len(key)) + np.bincount(j, copies[i], len(key))
-        some = np.flatnonzero(links)
+            i, j, v = _gathered(join)
+            return [(np.minimum(key[i], key[j]), pa.array(np.maximum(key[i], key[j])), pa.array(v), none(len(i), pa.int64()))] if len(i) else []
+        root, links, every = np.arange(len(key)), np.zeros(len(key)), np.arange(len(key))
+
+        def count(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
+            """The pairs of a block are counted and forgotten: a dense cluster has tens of millions of them."""
+            nonlocal root, links
+            links = links + np.bincount(i, copies[j], len(key)) + np.bincount(j, copies[i], len(key))
+            apart = root[i] != root[j]
+            if apart.any():
+                root = _components(len(key), np.concatenate([every, i[apart]]), np.concatenate([root, j[apart]]))
+
+        join(count)
+        moved, some = np.flatnonzero(root != every), np.flatnonzero(links)
+        if not len(some):
+            return []
         return [(key[moved], pa.array(key[root[moved]]), none(len(moved), pa.float64()), none(len(moved), pa.int64())), (key[some], none(len(some), pa.int64()), none(len(some), pa.float64()), pa.array(links[some].astype(np.int64)))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,12 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from capledger.llm import ann, chat, licenses, mixing, ngram_join, pieces, pii, quality, resharding, secret_scan
@@ -177,6 +179,22 @@ def test_common_words_bring_no_unrelated_documents_together(spark):
     assert found.count() == 1
 
 
+def test_pairs_of_a_dense_cluster_are_counted_block_by_block():
+    """Each of 3000 sets is near all others, and all have two regions: only the smaller one counts them, and holds no list of 4.5 million pairs."""
+    m = 3000
+    grams = [ngram_join._pack((np.append(np.arange(1, 31), 1000 + k).astype(np.uint64)) << np.uint64(16)) for k in range(m)]
+    cols = [pa.array([v] * m, k) for v, k in ((5, pa.int64()), (0, pa.int32()), (False, pa.bool_()))]
+    for home, ours in ((5, True), (9, False)):
+        row = [*cols, pa.array([home] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array([31] * m, pa.int32()), pa.array([2] + [1] * (m - 1), pa.int64()), pa.array([[5, 9]] * m), pa.array(grams)]
+        tracemalloc.start()
+        got = [x for b in ngram_join._joined(0.6, False)(iter([pa.RecordBatch.from_arrays(row, names=ngram_join._UNIT)])) for x in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 160e6
+        assert {x["a"]: x["links"] for x in got if x["links"]} == ({k: m - 1 + (k > 0) for k in range(m)} if ours else {})
+        assert {x["a"]: x["b"] for x in got if x["b"] is not None} == ({k: 0 for k in range(1, m)} if ours else {})
+
+
 @pytest.mark.parametrize("t", [0.6, 0.8, 0.95])
 def test_regions_divided_by_pivots_are_exact(t):
     r = np.random.default_rng(1)
