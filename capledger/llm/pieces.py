@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ SEED = 17
 SHIFT = 2.7
 U = np.uint64
 _CHARS = 1_000_000
-_EDGES = 4_000_000
+_SLICE = 200_000
+_EDGES = 2_000_000
+_WORD = re.compile(" *[^ ]+")
 
 
 @functools.lru_cache(2)
@@ -77,21 +80,39 @@ class Lattices:
             self.tables.append((u, piece, weight))
         self.clear()
 
+    @property
+    def edges(self) -> int:
+        return self._size["cum"]
+
     @staticmethod
     def _next(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix(h + c.astype(U) * GOLDEN + U(1))
 
     def clear(self) -> None:
+        """No words. Arrays have room for what they hold at most, save with very long words; pages not written yet take no memory."""
         self.index: dict[str, int] = {}
-        self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.cum, self.piece, self.span = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int8)
+        room = _EDGES + _EDGES // 4
+        for name, kind in (("base", np.int64), ("length", np.int64), ("first", np.int64), ("cum", np.float32), ("piece", np.int32), ("span", np.int8)):
+            if len(getattr(self, name, ())) != room:
+                setattr(self, name, np.empty(room, kind))
+        self._size = dict.fromkeys(("base", "length", "first", "cum", "piece", "span"), 0)
+
+    def _put(self, name: str, *values: np.ndarray) -> None:
+        """Append in place, so that no second copy of a whole array is made."""
+        a, n = getattr(self, name), self._size[name]
+        to = n + sum(map(len, values))
+        if to > len(a):
+            grown = np.empty(to + to // 4, a.dtype)
+            grown[:n] = a[:n]
+            setattr(self, name, a := grown)
+        np.concatenate(values, out=a[n:to], casting="same_kind")
+        self._size[name] = to
 
     def add(self, words: list[str]) -> None:
         """Tables of new words, all at once: one round a piece length to find edges, one a position to weigh them."""
         plain, odd = [w for w in words if w[0] in self.known], [w for w in words if w[0] not in self.known]
-        n0 = len(self.base)
+        n0 = self._size["base"]
         for k, w in enumerate(plain + odd):
             self.index[w] = n0 + k
         size = np.array([len(w) for w in plain], np.int64)
@@ -148,32 +169,39 @@ class Lattices:
         cum[np.append(head[1:], len(end)) - 1] = 2.0  # the last edge takes what is left
         raw = [w.encode("utf-8", "surrogatepass") for w in odd]
         spell = np.array([self.bytes[b] for r in raw for b in r], np.int32)
-        states, edges = len(self.first) - 1, len(self.cum)
+        states, edges = self._size["first"], self.edges
         rsize = np.array([len(r) for r in raw], np.int64)
-        self.base = np.concatenate([self.base, states + start, states + total + np.cumsum(rsize) - rsize])
-        self.length = np.concatenate([self.length, size, rsize])
-        self.first = np.concatenate([self.first[:-1], edges + head, edges + len(end) + np.arange(len(spell) + 1)])
-        self.cum = np.concatenate([self.cum, cum.astype(np.float32), np.full(len(spell), 2, np.float32)])
-        self.piece = np.concatenate([self.piece, piece, spell])
-        self.span = np.concatenate([self.span, span, np.ones(len(spell), np.int8)])
+        self._put("base", states + start, states + total + np.cumsum(rsize) - rsize)
+        self._put("length", size, rsize)
+        self._put("first", edges + head, edges + len(end) + np.arange(len(spell)))
+        self._put("cum", cum, np.full(len(spell), 2, np.float32))
+        self._put("piece", piece, spell)
+        self._put("span", span, np.ones(len(spell), np.int8))
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all texts, number of each)."""
-        units = [self.units.findall(" " + t) if t else [] for t in texts]
+        outs, total, passed = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for rows, parts in slices(texts, _SLICE):
+            out, n, units = self._draw(parts, seeds[rows], passed[rows])
+            outs.append(out)
+            total[rows] += n
+            passed[rows] += units
+        return np.concatenate(outs), total
+
+    def _draw(self, parts: list[str], seeds: np.ndarray, passed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece ids of parts of texts, number of each, words of each). passed: words of the text before the part."""
+        units = [self.units.findall(p) for p in parts]
         counts = np.array([len(u) for u in units], np.int64)
-        if not counts.sum():
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        if len(self.cum) > _EDGES:
+        if self.edges > _EDGES:
             self.clear()
-        new = {w for u in units for w in u if w not in self.index}
+        new = set(chain.from_iterable(units)).difference(self.index)
         if new:
             self.add(sorted(new))
-        get = self.index.__getitem__
-        word = np.fromiter((get(w) for u in units for w in u), np.int64, int(counts.sum()))
-        text = np.repeat(np.arange(len(texts)), counts)
+        word = np.fromiter(map(self.index.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+        text = np.repeat(np.arange(len(parts)), counts)
         begin = np.cumsum(counts) - counts
         with np.errstate(over="ignore"):
-            seed = mix(seeds[text] + (np.arange(len(word)) - begin[text]).astype(U) * GOLDEN)
+            seed = mix(seeds[text] + (np.arange(len(word)) - begin[text] + passed[text]).astype(U) * GOLDEN)
         at, left, state0 = np.arange(len(word)), self.length[word], self.base[word] - 1
         drawn, step, taken = [], 0, np.zeros(len(word), np.int64)
         while len(at):
@@ -193,10 +221,31 @@ class Lattices:
         out = np.empty(int(end[-1]), np.int32)
         for k, (a, p) in enumerate(drawn):
             out[end[a] - 1 - k] = p
-        total = np.zeros(len(texts), np.int64)
-        has = counts > 0
-        total[has] = np.add.reduceat(taken, begin[has])
-        return out, total
+        return out, np.add.reduceat(taken, begin), counts
+
+
+def slices(texts: list[str], limit: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, their texts with the space before): ``limit`` characters at most. A longer text comes in parts, one at a time, cut before runs of spaces as paths are; only a longer word makes a longer part."""
+    rows, parts, size = [], [], 0
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        t, at = " " + t, 0
+        if parts and size + len(t) > limit:
+            yield rows, parts
+            rows, parts, size = [], [], 0
+        while len(t) - at > limit:
+            to = at + len(t[at : max(at, t.rfind(" ", at, at + limit + 1))].rstrip(" "))
+            if to == at:  # a run of spaces or a word is longer
+                to = m.end() if (m := _WORD.match(t, at)) else len(t)
+            yield [k], [t[at:to]]
+            at = to
+        if at < len(t):
+            rows.append(k)
+            parts.append(t[at:])
+            size += len(t) - at
+    if parts:
+        yield rows, parts
 
 
 _OPEN: dict[tuple, Lattices] = {}
@@ -230,6 +279,7 @@ def sample_pieces(df: DataFrame, key_col: str = "doc_id", text_col: str = "text"
                 null = np.array([t is None for t in texts])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.int32(), mask=np.append(null, False))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int32), pa.int32(), mask=null), pa.ListArray.from_arrays(offsets, pa.array(out, pa.int32()))], names=["doc_id", "n_pieces", "pieces"])
+            b = ids = None  # before the next batch is read
 
     return src.mapInArrow(run, "doc_id long, n_pieces int, pieces array<int>")
 

@@ -416,6 +416,41 @@ def test_pieces_are_lossless_and_seeded(spark):
     assert pieces.sample_pieces(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_pieces_take_bounded_memory():
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 10, 150_000)]
+    lat = pieces.Lattices(pieces.MODEL, pieces.ALPHA)
+    tracemalloc.start()
+    try:
+        lat.sample([" ".join(words)], np.zeros(1, np.uint64))
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_of_a_text_do_not_depend_on_its_parts(monkeypatch):
+    texts = ["one two  three   four", "", " ", " " * 50 + "x", "y" + " " * 50, "long" * 20, "a " + "b" * 30 + "  c", "日本 語\n\t x é", "end "]
+    assert max(len(p) for _, parts in pieces.slices(texts, 9) for p in parts) > 9
+    for limit in (1, 2, 9, 1000):
+        whole = [""] * len(texts)
+        for rows, parts in pieces.slices(texts, limit):
+            assert len(set(rows)) == len(rows) and (len(rows) == 1 or sum(map(len, parts)) <= limit)
+            for r, p in zip(rows, parts):
+                assert not whole[r] or p[0] == " " != whole[r][-1]
+                whole[r] += p
+        assert whole == [" " + t if t else "" for t in texts]
+    seeds = pieces.mix(np.arange(len(texts)).astype(np.uint64))
+    lat = pieces.Lattices(pieces.MODEL, pieces.ALPHA)
+    want, n = lat.sample(texts, seeds)
+    monkeypatch.setattr(pieces, "_EDGES", 20)  # words are forgotten and arrays grow on the way
+    for limit in (1, 9):
+        monkeypatch.setattr(pieces, "_SLICE", limit)
+        lat = pieces.Lattices(pieces.MODEL, pieces.ALPHA)
+        got, many = lat.sample(texts, seeds)
+        assert got.tolist() == want.tolist() and many.tolist() == n.tolist()
+    assert pieces.decode_ids(want[: n[0]].tolist()) == texts[0]
+
+
 def test_pieces_follow_the_lattice_distribution():
     ids = pieces._vocabulary(pieces.MODEL)[0]
 
