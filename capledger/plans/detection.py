@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from capledger.functions import text as T
 from capledger.functions.frontmatter import frontmatter as read_frontmatter
 from capledger.operators import advisory, gates, manifest, planes, state
-from capledger.sources.tables import table
+from capledger.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,21 +38,28 @@ FAMILIES: dict[str, tuple[str, list[tuple[str, str, bool]]]] = {
 _SUFFIX = {"python": "py", "shell": "sh", "javascript": "js", "typescript": "ts", "markdown": "md"}
 
 
-def _written(template: str, key: Column, name: Column) -> Column:
-    return F.replace(F.replace(F.replace(F.replace(F.lit(template), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")), F.lit("{k}"), key), F.lit("{n}"), name)
+def _written(templates: list[str], key: Column, name: Column) -> Column:
+    """The template that a row's key picks, filled in: one is written a row, not each."""
+    picked = _pick([F.lit(t.replace("{{", "{").replace("}}", "}")) for t in templates], key)
+    return F.replace(F.replace(picked, F.lit("{k}"), key.cast("string")), F.lit("{n}"), name)
 
 
 def _pick(items: list[Column], key: Column) -> Column:
     return F.element_at(F.array(*items), (key % len(items) + 1).cast("int"))
 
 
+def parts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Columns of ``part``, spread: its rows are short, and what is made of each takes long."""
+    return spread(table(spark, d, "part").select(*columns), "p_partkey")
+
+
 def sources(spark: SparkSession, d: str, templates: list[tuple[str, str]], entered: Column | None = None) -> DataFrame:
     """One file for each part, by its key."""
     key = F.col("p_partkey")
-    text = _pick([_written(t, key.cast("string"), F.col("p_name")) for _, t in templates], key)
+    text = _written([t for _, t in templates], key, F.col("p_name"))
     language = _pick([F.lit(lang) for lang, _ in templates], key)
     suffix = _pick([F.lit(_SUFFIX[lang]) for lang, _ in templates], key)
-    return table(spark, d, "part").select(key.cast("string").alias("root"), F.concat(F.lit("run."), suffix).alias("path"), language.alias("language"), (F.lit(True) if entered is None else entered).alias("entered"), text.alias("text"))
+    return parts(spark, d, "p_partkey", "p_name").select(key.cast("string").alias("root"), F.concat(F.lit("run."), suffix).alias("path"), language.alias("language"), (F.lit(True) if entered is None else entered).alias("entered"), text.alias("text"))
 
 
 def _family(name: str):
@@ -61,7 +68,7 @@ def _family(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         f = sources(spark, d, [(lang, t) for lang, t, _ in cases])
         hit = planes.findings(planes.events(f)).where((F.col("outcome") == "hit") & (F.col("term") == term)).select("root").distinct().withColumn("hit", F.lit(True))
-        return f.select("root").join(hit, "root", "left").select(F.col("root").cast("long").alias("p_partkey"), F.coalesce("hit", F.lit(False)).alias("fired"))
+        return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("root")).join(hit, "root", "left").select(F.col("root").cast("long").alias("p_partkey"), F.coalesce("hit", F.lit(False)).alias("fired"))
 
     run.__name__ = name
     QUERIES[name] = run

@@ -59,6 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """rows over all cores, by a column with many values, whatever files they come from: a table of few and small files is few tasks, and a pass over it in Python as many cores."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), by)
+
+
 def bundle_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(root, path, content)`` of all files under a folder of bundles, a bundle being each directory right below it. By Spark's own file listing, for any file system; links are followed or not as that does."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

@@ -224,6 +224,16 @@ def test_the_library_does_without_the_corpus_operators():
                     assert "capledger.llm" not in open(os.path.join(folder, n), encoding="utf-8").read()
 
 
+def test_a_table_in_one_file_is_read_by_all_cores(spark):
+    from capledger.plans import detection
+
+    d = "/root/testdata/sf0.001"
+    assert tables.table(spark, d, "part").rdd.getNumPartitions() == 1
+    f = detection.sources(spark, d, [x[:2] for x in detection._FOLDS])
+    assert planes.events(f).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert detection.fold_values(spark, d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_every_query_has_rows_and_a_schema(spark):
     import duckdb
 
