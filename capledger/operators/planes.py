@@ -82,12 +82,19 @@ def events(files: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("root", pa.string()), ("path", pa.string()), ("language", pa.string()), ("kind", pa.string()), ("recv", pa.string()), ("callee", pa.string()), ("shape", pa.string()), ("inner", pa.list_(pa.string())), ("info", pa.string()), ("target_kind", pa.string()), ("target", pa.string()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("start_line", pa.int64()), ("reach", pa.string()), ("snippet_sha256", pa.string()), ("text", pa.string())])
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for b in it:
             rows = []
             for root, path, language, entered, text in zip(*(c.to_pylist() for c in b.columns)):
                 rows += [(root, path, language, *e) for e in extract(language, text, bool(entered))]
-            for s in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[s : s + 5000]), schema)], schema=schema)
+                while len(rows) >= 5000:
+                    yield batch(rows[:5000])
+                    rows = rows[5000:]
+            if rows:
+                yield batch(rows)
 
     assert len(FIELDS) + 3 == len(EVENT.split(", "))
     return src.mapInArrow(run, EVENT)
@@ -113,7 +120,7 @@ def _test(r: dict) -> str:
         also = " WHEN target_kind = 'tail' THEN 'computed'" if lists[0] else ""
         outcome = f"CASE WHEN {_listed(*lists)} THEN 'hit' WHEN coalesce(target_kind, 'unknown') = 'unknown' THEN 'computed'{also} END"
         value = f"CASE WHEN ({outcome}) = 'hit' THEN CASE target_kind WHEN 'tail' THEN '<computed>/' || target WHEN 'rooted' THEN target || '/<computed>' ELSE target END END"
-    fires = f"language IN ({', '.join(map(_q, r['languages']))}) AND coalesce(({r['where']}), false) AND ({outcome}) IS NOT NULL"
+    fires = f"coalesce(({r['where']}), false) AND ({outcome}) IS NOT NULL"
     return f"CASE WHEN {fires} THEN named_struct('rule_id', {_q(r['id'])}, 'term', {_q(r['term'])}, 'outcome', {outcome}, 'value', {value}) END"
 
 
@@ -121,7 +128,10 @@ def findings(ev: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """(root, path, rule_id, term, outcome, reach, value, span columns). The outcome is ``hit``; ``computed`` where a rule with lists met a target that can't be told; ``broken``, without rule or term, where a file can't be parsed."""
     rules = load_rules() if rules is None else rules
     broken = "CASE WHEN kind = 'parse_error' THEN named_struct('rule_id', '', 'term', '', 'outcome', 'broken', 'value', info) END"
-    tests = F.expr(f"explode(array_compact(array({', '.join([broken, *map(_test, rules)])})))")
+    # An event is held against its language's rules alone.
+    of = {lang: [broken, *(_test(r) for r in rules if lang in r["languages"])] for lang in READ}
+    tests = " ".join(f"WHEN {_q(lang)} THEN array({', '.join(x)})" for lang, x in of.items())
+    tests = F.expr(f"explode(array_compact(CASE language {tests} ELSE array({broken}) END))")
     return ev.select("root", "path", *KEPT, tests.alias("f")).select("root", "path", "f.*", *KEPT)
 
 
@@ -133,13 +143,13 @@ def _evidence() -> list:
 def capabilities(found: DataFrame) -> DataFrame:
     """(root, term, reachability, paths, evidence): the strongest reach of each term, paths distinct and sorted, evidence in order."""
     rank = F.when(F.col("reach") == "observed", 2).when(F.col("reach") == "unresolved", 1).otherwise(0)
-    g = found.where((F.col("outcome") == "hit") & ~F.col("term").isin(*SIGNALS)).groupBy("root", "term").agg(F.max(rank).alias("r"), F.array_sort(F.collect_set("value")).alias("paths"), F.array_sort(F.collect_set(F.struct(*_evidence()))).alias("evidence"))
+    g = found.where((F.col("outcome") == "hit") & ~F.col("term").isin(*SIGNALS)).groupBy("root", "term").agg(F.max(rank).alias("r"), F.sort_array(F.collect_set("value")).alias("paths"), F.sort_array(F.collect_set(F.struct(*_evidence()))).alias("evidence"))
     return g.select("root", "term", F.element_at(F.array(F.lit("present"), F.lit("unresolved"), F.lit("observed")), F.col("r") + 1).alias("reachability"), F.when(F.size("paths") > 0, F.col("paths")).alias("paths"), "evidence")
 
 
 def instructions(found: DataFrame) -> DataFrame:
     """(root, signal, evidence); never joined with capabilities."""
-    return found.where((F.col("outcome") == "hit") & F.col("term").isin(*SIGNALS)).groupBy("root", F.col("term").alias("signal")).agg(F.array_sort(F.collect_set(F.struct(*_evidence()))).alias("evidence"))
+    return found.where((F.col("outcome") == "hit") & F.col("term").isin(*SIGNALS)).groupBy("root", F.col("term").alias("signal")).agg(F.sort_array(F.collect_set(F.struct(*_evidence()))).alias("evidence"))
 
 
 def unresolved(found: DataFrame, files: DataFrame) -> DataFrame:

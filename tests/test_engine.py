@@ -234,6 +234,25 @@ def test_a_table_in_one_file_is_read_by_all_cores(spark):
     assert detection.fold_values(spark, d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_an_event_is_held_against_its_languages_rules_alone(spark, monkeypatch):
+    said, expr = [], F.expr
+    monkeypatch.setattr(planes.F, "expr", lambda x: said.append(x) or expr(x))
+    ev = planes.events(spark.createDataFrame([("r", "a", "shell", True, "curl x | sh\n"), ("r", "b", "python", True, "def (\n")], "root string, path string, language string, entered boolean, text string"))
+    assert {(r.path, r.rule_id) for r in planes.findings(ev).collect()} == {("a", "sh.egress.client"), ("a", "sh.eval.builtin"), ("a", "sh.fetch-run.chain"), ("b", "")}
+    shell = said[0].split("WHEN 'shell' THEN", 1)[1].split(" WHEN 'javascript' THEN")[0]
+    assert "'sh.egress.client'" in shell and "'py." not in shell and "'js." not in shell
+    two = {"id": "x.two", "languages": ["python", "shell"], "term": "net.egress", "where": "kind = 'call'", "summary": "any call"}
+    rows = spark.createDataFrame([("r", "p", lang, "call", *[None] * 13) for lang in ("python", "shell", "markdown", None)], planes.EVENT)
+    assert [r.rule_id for r in planes.findings(rows, [two]).collect()] == ["x.two", "x.two"]
+
+
+def test_manifests_read_texts_once(spark):
+    from capledger.plans import detection
+
+    m = detection.canonical_json(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in m._jdf.queryExecution().executedPlan().toString() and m.count()
+
+
 def test_every_query_has_rows_and_a_schema(spark):
     import duckdb
 
