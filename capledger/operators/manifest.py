@@ -15,7 +15,7 @@ TOOL_VERSION = "0.2.0"
 
 def _nest(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
     """(root, name): the rows of each bundle as a sorted list without repeats; fields in the order that sorts them."""
-    return rows.groupBy("root").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias(name))
+    return rows.groupBy("root").agg(F.sort_array(F.collect_set(F.struct(*fields))).alias(name))
 
 
 def manifests(bundles: DataFrame, inventory: DataFrame, capabilities: DataFrame, instructions: DataFrame, unresolved: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from capledger.functions import text as T
 from capledger.functions.frontmatter import frontmatter as read_frontmatter
 from capledger.operators import advisory, gates, manifest, planes, state
-from capledger.sources.tables import spread, table
+from capledger.sources.tables import kept, scratch, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,13 +53,14 @@ def parts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spread(table(spark, d, "part").select(*columns), "p_partkey")
 
 
-def sources(spark: SparkSession, d: str, templates: list[tuple[str, str]], entered: Column | None = None) -> DataFrame:
-    """One file for each part, by its key."""
+def sources(spark: SparkSession, d: str, templates: list[tuple[str, str]], entered: Column | None = None, bundle: str | None = None) -> DataFrame:
+    """One file for each part, by its key; a bundle of its own, or in that which a column names."""
     key = F.col("p_partkey")
     text = _written([t for _, t in templates], key, F.col("p_name"))
     language = _pick([F.lit(lang) for lang, _ in templates], key)
-    suffix = _pick([F.lit(_SUFFIX[lang]) for lang, _ in templates], key)
-    return parts(spark, d, "p_partkey", "p_name").select(key.cast("string").alias("root"), F.concat(F.lit("run."), suffix).alias("path"), language.alias("language"), (F.lit(True) if entered is None else entered).alias("entered"), text.alias("text"))
+    path = F.concat(F.lit("run."), _pick([F.lit(_SUFFIX[lang]) for lang, _ in templates], key))
+    root, path = (F.col(bundle), F.concat(key.cast("string"), F.lit("/"), path)) if bundle else (key.cast("string"), path)
+    return parts(spark, d, "p_partkey", "p_name", *([bundle] if bundle else [])).select(root.alias("root"), path.alias("path"), language.alias("language"), (F.lit(True) if entered is None else entered).alias("entered"), text.alias("text"))
 
 
 def _family(name: str):
@@ -124,9 +125,7 @@ _MIXED = (("python", 'import subprocess\nsubprocess.run(["{n}"])\neval(x)\nopen(
 
 def _bundles(spark: SparkSession, d: str) -> DataFrame:
     """A bundle is a brand: all its parts' files."""
-    brand = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("root"), "p_brand")
-    f = sources(spark, d, [m[:2] for m in _MIXED]).withColumn("path", F.concat(F.col("root"), F.lit("/"), "path"))
-    return f.join(brand, "root").drop("root").withColumnRenamed("p_brand", "root").select("root", "path", "language", "entered", "text")
+    return sources(spark, d, [m[:2] for m in _MIXED], bundle="p_brand")
 
 
 @query("WITH f AS (SELECT p_brand AS root, unnest(CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN [{', '.join(repr(t) for t in ts)}]::VARCHAR[]" for i, (*_, ts) in enumerate(_MIXED)) + " END) AS term FROM part) SELECT root, term, count(*)::INTEGER AS evidence, 'observed' AS reachability FROM f GROUP BY root, term")
@@ -145,8 +144,8 @@ def computed_targets(spark: SparkSession, d: str) -> DataFrame:
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     """One manifest a brand."""
     f = _bundles(spark, d)
-    ev = planes.events(f)
-    found = planes.findings(ev)
+    # Four lists are made of what was found: kept, so that texts are read once.
+    found = kept(planes.findings(planes.events(f)), scratch(spark, "findings"))
     inv = f.select("root", "path", F.octet_length("text").cast("long").alias("size"), T.sha256(F.col("text")).alias("sha256"), F.lit("reference").alias("load_phase"), F.lit("ok").alias("parse_status"), F.col("language").alias("parsed_as"))
     b = state.content_digest(inv, "root").withColumn("description", F.concat(F.lit("Parts of the brand "), "root"))
     return manifest.manifests(b, inv, planes.capabilities(found), planes.instructions(found), planes.unresolved(found, f))
