@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +37,43 @@ def prompt_digest() -> str:
     return "sha256:" + hashlib.sha256(b"".join(leaves)).hexdigest()
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """(root, path, start_line, chunk): texts cut at heading lines, longer sections at lines."""
+#: What a pass holds at once beside the batch that it was given: so many characters of texts.
+HELD = 4 << 20
+
+
+def _cut(files: DataFrame, kind: str, of: Callable[[str], object], arrow: pa.DataType) -> DataFrame:
     src = files.where(F.col("text").isNotNull()).select("root", "path", "text")
+    name = kind.split()[0]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), arrow))], names=["root", "path", "start_line", name])
+
         for b in it:
-            rows = []
-            for root, path, text in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(root, path, n, c) for n, c in cut(text)]
+            rows, held = [], 0
+            for root, path, text in zip(*b.columns):  # one at a time: a batch of texts isn't copied whole
+                root, path, text = root.as_py(), path.as_py(), text.as_py()
+                rows += [(root, path, n, of(c)) for n, c in cut(text)]
+                held += len(text)
+                if held >= HELD:
+                    if rows:
+                        yield batch(rows)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["root", "path", "start_line", "chunk"])
+                yield batch(rows)
+            b = rows = text = None  # else kept until the next batch is there
+
+    return src.mapInArrow(run, f"root string, path string, start_line long, {kind}")
+
+
+def sections(files: DataFrame) -> DataFrame:
+    """(root, path, start_line, chunk): texts cut at heading lines, longer sections at lines."""
+    return _cut(files, "chunk string", lambda c: c, pa.string())
+
 
-    return src.mapInArrow(run, "root string, path string, start_line long, chunk string")
+def section_sizes(files: DataFrame) -> DataFrame:
+    """(root, path, start_line, bytes): the sections' sizes alone, for what needs no text after."""
+    return _cut(files, "bytes int", lambda c: len(c.encode("utf-8", "surrogatepass")), pa.int32())
 
 
 def section_starts(text: Column) -> Column:
@@ -69,19 +94,20 @@ def cut(text: str) -> list[tuple[int, str]]:
 
 
 def budgeted(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(root, path, start_line, chunk, taken): a running budget a bundle, files in order; a file stops at its first chunk that doesn't fit, the next may go on.
+    """(root, path, start_line, chunk, taken): a running budget a bundle, files in order; a file stops at its first chunk that doesn't fit, the next may go on. Chunks may come as their ``bytes`` alone, and go so.
 
-    The shuffle's sort, which spills, puts chunks in order, and a task goes through them by batches: it holds what is left of one bundle's budget, never the bundle.
+    The shuffle's sort, which spills, puts chunks in order, and a task goes through them by batches: it holds what is left of one bundle's budget, never the bundle, and makes no copy of a chunk.
     """
+    name, kind = ("chunk", "string") if "chunk" in chunks.columns else ("bytes", "int")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left, stopped = (), budget, ()
         for b in it:
             taken = []
-            for root, path, chunk in zip(*(b.column(c).to_pylist() for c in ("root", "path", "chunk"))):
+            what = b.column(name)
+            for root, path, n in zip(*(c.to_pylist() for c in (b.column("root"), b.column("path"), pc.binary_length(what) if name == "chunk" else what))):
                 if now != (root,):
                     now, left, stopped = (root,), budget, ()
-                n = len(chunk.encode("utf-8", "surrogatepass"))
                 ok = stopped != (path,) and n <= left
                 if ok:
                     left -= n
@@ -89,9 +115,10 @@ def budgeted(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
                     stopped = (path,)
                 taken.append(ok)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(taken, pa.bool_())], names=[*b.schema.names, "taken"])
+            b = what = None
 
-    narrow = chunks.select("root", "path", F.col("start_line").cast("long").alias("start_line"), "chunk")
-    return narrow.repartition("root").sortWithinPartitions("root", "path", "start_line").mapInArrow(run, "root string, path string, start_line long, chunk string, taken boolean")
+    narrow = chunks.select("root", "path", F.col("start_line").cast("long").alias("start_line"), name)
+    return narrow.repartition("root").sortWithinPartitions("root", "path", "start_line").mapInArrow(run, f"root string, path string, start_line long, {name} {kind}, taken boolean")
 
 
 def unsent(chunks: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ g AS (SELECT root, path, start, size, i, size <= 240000 AS taken, CASE WHEN size
 SELECT root, path, start::BIGINT AS start_line, size::INTEGER AS bytes, taken FROM g""")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").cast("string").alias("path"), "text")
-    return advisory.budgeted(advisory.sections(f)).select("root", "path", "start_line", F.octet_length("chunk").alias("bytes"), "taken")
+    return advisory.budgeted(advisory.section_sizes(f)).select("root", "path", "start_line", "bytes", "taken")
 
 
 _ANSWERS = ("good", "kind", "line", "file", "shape", "auditor", "empty")

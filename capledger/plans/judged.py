@@ -202,7 +202,7 @@ def fixture_fires(spark: SparkSession, d: str) -> DataFrame:
 def chunked_files(spark: SparkSession, d: str) -> DataFrame:
     """Every file with a text is cut into sections, whatever its length."""
     f = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").cast("string").alias("path"), "text")
-    return advisory.sections(f).groupBy("root").agg(F.count_distinct("path").alias("files"))
+    return advisory.section_sizes(f).groupBy("root").agg(F.count_distinct("path").alias("files"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT user_id, event_id AS path, 1 + event_id % 40 AS n, row_number() OVER (PARTITION BY user_id ORDER BY lpad(event_id::VARCHAR, 9, '0')) AS k FROM events),
@@ -211,7 +211,7 @@ UNION ALL SELECT c.user_id, c.path, c.n, c.k, c.n <= left_, CASE WHEN c.n <= lef
 SELECT user_id::VARCHAR AS root, path::VARCHAR AS path, taken FROM b""")
 def content_budget(spark: SparkSession, d: str) -> DataFrame:
     """A chunk for each event of a user, against a budget of 100 bytes."""
-    c = table(spark, d, "events").select(F.col("user_id").cast("string").alias("root"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("path"), F.lit(1).cast("long").alias("start_line"), F.repeat(F.lit("x"), (F.col("event_id") % 40 + 1).cast("int")).alias("chunk"))
+    c = table(spark, d, "events").select(F.col("user_id").cast("string").alias("root"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("path"), F.lit(1).cast("long").alias("start_line"), (F.col("event_id") % 40 + 1).cast("int").alias("bytes"))
     return advisory.budgeted(c, 100).select("root", F.col("path").cast("long").cast("string").alias("path"), "taken")
 
 

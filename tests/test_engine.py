@@ -178,6 +178,17 @@ def test_model_plane(spark):
     assert advisory.ask(p, advisory.replay({})).first().response is None
 
 
+def test_a_budget_needs_sizes_alone(spark):
+    from capledger.plans import detection
+
+    texts = [("r", f"{i:02d}", "".join(f"# {j}\n" + "é" * (7 * i * j % 40) + "\n" for j in range(i % 5))) for i in range(40)] + [("s", "big", "x" * 30_000 + "\n# y\n"), ("s", "none", ""), ("s", "null", None)]
+    f = spark.createDataFrame(texts, "root string, path string, text string")
+    whole = advisory.budgeted(advisory.sections(f), 300).select("root", "path", "start_line", F.octet_length("chunk").alias("bytes"), "taken").collect()
+    assert sorted(whole) == sorted(advisory.budgeted(advisory.section_sizes(f), 300).collect()) and {r.taken for r in whole} == {True, False}
+    plan = detection.chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "bytes#" in plan and "chunk#" not in plan  # no section's text leaves its worker
+
+
 def test_reading_bundles_from_a_folder(spark, tmp_path):
     for p, t in BUNDLE.items():
         f = tmp_path / "demo" / p
