@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,40 +41,37 @@ def check_expectations(rows: DataFrame) -> DataFrame:
 
 
 def hold(expectations: DataFrame, files: DataFrame, capabilities: DataFrame, instructions: DataFrame, unresolved: DataFrame, manifests: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
-    """(case, kind, about, ok): every expectation held against the planes of its bundle, by equality joins alone.
+    """(case, kind, about, ok): every expectation held against the planes of its bundle, by one equality join: each kind asks one plane for one key, so planes are put below one another.
 
     expectations: case, root, kind, capability, reachability, reason, path, phase, signal (null where a kind doesn't use it).
     A capability may say how far it has to reach; ``escalation`` looks in changes (root, kind, capability) against an earlier lock, and fails without
     one; the negative kinds hold for bundles that nothing was found in; ``no_verdict`` reads manifests (root, json).
     """
-    e = check_expectations(expectations).withColumn("about", F.coalesce("capability", "signal", "reason", "path", F.lit("")))
-    caps = capabilities.select("root", F.col("term").alias("capability"), F.col("reachability").alias("got_reach")).withColumn("has_cap", F.lit(True))
-    e = e.join(caps, ["root", "capability"], "left")
-    e = e.join(unresolved.select("root", "reason").distinct().withColumn("has_reason", F.lit(True)), ["root", "reason"], "left")
-    e = e.join(files.select("root", "path", F.col("load_phase").alias("got_phase")), ["root", "path"], "left")
-    e = e.join(instructions.select("root", "signal").withColumn("has_signal", F.lit(True)), ["root", "signal"], "left")
-    e = e.join(capabilities.select("root").distinct().withColumn("any_cap", F.lit(True)), "root", "left").join(instructions.select("root").distinct().withColumn("any_signal", F.lit(True)), "root", "left")
+
+    def plane(rows: DataFrame, kind: str, key: str | None = None, got: Column | None = None) -> DataFrame:
+        return rows.select("root", F.lit(kind).alias("kind"), (F.col(key) if key else F.lit("")).alias("key"), (F.lit("") if got is None else got).alias("got"))
+
+    said = [
+        plane(capabilities, "capability", "term", F.coalesce("reachability", F.lit(""))),
+        plane(unresolved.select("root", "reason").distinct(), "unresolved", "reason"),
+        plane(files, "load_phase", "path", F.coalesce("load_phase", F.lit(""))),
+        plane(instructions, "instruction", "signal"),
+        plane(capabilities.select("root").distinct(), "no_capability"),
+        plane(instructions.select("root").distinct(), "no_instruction"),
+    ]
     if changes is not None:
         gained = changes.where("kind = 'capability_added'").select("root", "capability").distinct()
         # What a bundle that wasn't there before brings is no escalation of an update to it.
-        gained = gained.join(changes.where("kind = 'bundle_added'").select("root"), "root", "left_anti").withColumn("gained", F.lit(True))
-        e = e.join(gained, ["root", "capability"], "left")
-    else:
-        e = e.withColumn("gained", F.lit(False))
+        said.append(plane(gained.join(changes.where("kind = 'bundle_added'").select("root"), "root", "left_anti"), "escalation", "capability"))
     if manifests is not None:
-        e = e.join(manifests.select("root", verdict_free(F.col("json")).alias("free")), "root", "left")
-    else:
-        e = e.withColumn("free", F.lit(None).cast("boolean"))
-    ok = (
-        F.when(F.col("kind") == "capability", F.col("has_cap") & (F.col("reachability").isNull() | (F.col("reachability") == F.col("got_reach"))))
-        .when(F.col("kind") == "unresolved", F.col("has_reason"))
-        .when(F.col("kind") == "load_phase", F.col("got_phase") == F.col("phase"))
-        .when(F.col("kind") == "instruction", F.col("has_signal"))
-        .when(F.col("kind") == "escalation", F.col("gained"))
-        .when(F.col("kind") == "no_capability", F.col("any_cap").isNull())
-        .when(F.col("kind") == "no_instruction", F.col("any_signal").isNull())
-        .when(F.col("kind") == "no_verdict", F.col("free"))
-    )
+        said.append(plane(manifests, "no_verdict", None, F.when(verdict_free(F.col("json")), "free").otherwise("")))
+    kind, want, got = F.col("kind"), F.col("want"), F.col("got")
+    key = F.when(kind.isin("capability", "escalation"), F.col("capability")).when(kind == "instruction", F.col("signal")).when(kind == "load_phase", F.col("path")).when(kind == "unresolved", F.col("reason")).otherwise("")
+    wanted = F.when(kind == "capability", F.col("reachability")).when(kind == "load_phase", F.col("phase")).when(kind == "no_verdict", "free")
+    about = F.coalesce("capability", "signal", "reason", "path", F.lit(""))
+    e = check_expectations(expectations).select("case", "root", "kind", about.alias("about"), key.alias("key"), wanted.alias("want"))
+    e = e.join(reduce(DataFrame.unionByName, said), ["root", "kind", "key"], "left")
+    ok = F.when(kind.isin("no_capability", "no_instruction"), got.isNull()).when(kind.isin("load_phase", "no_verdict"), got == want).otherwise(got.isNotNull() & (want.isNull() | (got == want)))
     return e.select("case", "kind", "about", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 

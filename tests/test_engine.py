@@ -389,6 +389,22 @@ def test_expectations_outcomes_and_bless(spark, scanned, tmp_path):
     assert gates.read_baseline(gates.bless(str(tmp_path / "b.json"), out.where("outcome <> 'failed'"), "first")) == {"adversarial": 2}
 
 
+def test_expectations_are_held_by_one_join(spark):
+    from capledger.operators import gates
+    from capledger.plans import judged
+
+    plan = judged.expectation_kinds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Join" in x]) <= 2  # the other: what new bundles bring
+    e = "case string, root string, kind string, capability string, reachability string, reason string, path string, phase string, signal string"
+    rows = [("1", "r", "capability", "net.egress", None, None, None, None, None), ("2", "r", "capability", "net.egress", "present", None, None, None, None), ("3", "r", "load_phase", None, None, None, "a", None, None), ("4", "r", "load_phase", None, None, None, "a", "reference", None), ("5", None, "no_capability", *[None] * 6), ("6", "r", "no_verdict", *[None] * 6), ("7", "r", "escalation", "net.egress", None, None, None, None, None), ("8", "r", "no_instruction", "net.egress", *[None] * 5), ("9", "r", "unresolved", None, None, "parse_error", None, None, None)]
+    files = spark.createDataFrame([("r", "a", "reference"), ("r", "b", None)], "root string, path string, load_phase string")
+    caps = spark.createDataFrame([("r", "net.egress", "observed"), ("r", "process.exec", None)], "root string, term string, reachability string")
+    signals = spark.createDataFrame([], "root string, signal string")
+    why = spark.createDataFrame([("r", "parse_error"), ("r", "parse_error")], "root string, reason string")
+    held = sorted((r.case, r.about, r.ok) for r in gates.hold(spark.createDataFrame(rows, e), files, caps, signals, why).collect())
+    assert held == [("1", "net.egress", True), ("2", "net.egress", False), ("3", "a", False), ("4", "a", True), ("5", "", True), ("6", "", False), ("7", "net.egress", False), ("8", "net.egress", True), ("9", "parse_error", True)]
+
+
 def test_rules_against_all_their_examples(spark):
     """Every positive fires; what a negative holds is silent for its own rule."""
     from capledger.operators import gates
