@@ -245,6 +245,16 @@ def test_a_table_in_one_file_is_read_by_all_cores(spark):
     assert detection.fold_values(spark, d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("name", "fixture_polarity capabilities obfuscation_rule agent_config_rule write_rule sdk_rule dotenv_rule exec_dynamic_rule read_rule fixture_fires".split())
+def test_written_sources_are_spread_and_written_once(spark, name):
+    from capledger.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "RepartitionByExpression [p_partkey" in below
+    assert below.count("replace(") <= 8  # a template's two, in the text and where it is asked whether there is one
+
+
 def test_an_event_is_held_against_its_languages_rules_alone(spark, monkeypatch):
     said, expr = [], F.expr
     monkeypatch.setattr(planes.F, "expr", lambda x: said.append(x) or expr(x))
